@@ -1,6 +1,6 @@
 """All registered queries. Importing the modules fills the registry."""
 
-from fieldseq.plans import ingest_queries  # noqa: F401
+from fieldseq.plans import ingest_queries, search_queries  # noqa: F401
 from fieldseq.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
