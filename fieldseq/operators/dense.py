@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldseq.operators.skew import top_k
+from fieldseq.spec import ZONES
 
 POOL = 50
 SCORE_DIGITS = 9
@@ -150,6 +151,16 @@ def _blocks(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id
             .applyInPandas(run, out))
 
 
+def zone_profile(zone_path: Column) -> Column:
+    """How often each zone of the grid is visited, as a vector."""
+    zones = F.split(zone_path, " ")
+    return F.array(*[F.size(F.filter(zones, _equals(z))).cast("double") for z in ZONES])
+
+
+def _equals(name: str):
+    return lambda z: z == name
+
+
 def with_vectors(items: DataFrame, vectors: DataFrame, item_id: str = "uid",
                  vector: str = "embedding") -> DataFrame:
     """Items with their vector set anew; items without one get null."""

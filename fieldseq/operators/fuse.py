@@ -49,7 +49,8 @@ def hybrid(queries: DataFrame, items: DataFrame, index: sparse.SparseIndex, word
     """Sparse, dense and fused rankings for a table of queries.
 
     `queries` has qid, what `words` reads, `filters` (when used) and an
-    `embedding` when `vectors` (item id, embedding) are given.
+    `embedding` when `vectors` (item id, embedding) are given. For filtered dense
+    ranking `vectors` also has `allowed`, see `filters.allowed_queries`.
     """
     item_id = index.id_col
     pairs = sparse.scores(sparse.query_vectors(queries, index.vocab, words), index,
@@ -58,7 +59,9 @@ def hybrid(queries: DataFrame, items: DataFrame, index: sparse.SparseIndex, word
         pairs = filters.restrict(pairs, queries, items, item_id)
     found = {"sparse": sparse.rank(pairs, item_id, pool)}
     if vectors is not None:
-        found["dense"] = dense.nearest(queries, vectors, pool, item_id=item_id)
+        found["dense"] = dense.nearest(
+            queries, vectors, pool, item_id=item_id,
+            allowed="allowed" if "allowed" in vectors.columns else None)
     found["fused"] = fuse(list(found.values()), item_id, limit)
     return found
 
@@ -91,6 +94,7 @@ def hydrate(ranked: DataFrame, items: DataFrame, columns: Sequence[str], item_id
             query_id: str = "qid") -> DataFrame:
     """Display columns for ranked ids; the rank column keeps the order."""
     keep = [c for c in columns if c != item_id]
+    ranked = ranked.select(query_id, "rank", item_id, "score")
     return ranked.join(items.select(item_id, *keep), item_id) \
         .select(query_id, "rank", item_id, "score", *keep)
 
