@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldseq.operators import order_stats, rubrics
 from fieldseq.operators.filters import Filters
+from fieldseq.operators.quality import seeded_order
 
 
 def ranking_metrics(judged: DataFrame, queries: DataFrame, rankers: Sequence[str]) -> DataFrame:
@@ -117,7 +118,7 @@ def judging_pool(pool: DataFrame, judged: DataFrame | None = None, k: int = 10,
     w = Window.partitionBy("qid")
     return merged.select(
         "qid", "uid", (F.row_number().over(w.orderBy("first", "uid")) - 1).alias("position"),
-        (F.row_number().over(w.orderBy(F.xxhash64("uid", F.lit(seed)), F.col("uid"))) - 1)
+        (F.row_number().over(w.orderBy(seeded_order(F.col("uid"), seed), F.col("uid"))) - 1)
         .alias("blind_order"))
 
 
@@ -128,7 +129,7 @@ def budgeted(pool: DataFrame, per_query: int, budget: int, seed: int = 11) -> Da
     count per query.
     """
     some = pool.filter(F.col("blind_order") < per_query)
-    turn = Window.orderBy(F.xxhash64("qid", F.lit(seed)), F.col("qid"))
+    turn = Window.orderBy(seeded_order(F.col("qid"), seed), F.col("qid"))
     before = (some.groupBy("qid").agg(F.count("*").alias("n"))
               .withColumn("taken_before", F.coalesce(F.sum("n").over(
                   turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))

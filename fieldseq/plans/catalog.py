@@ -1,6 +1,7 @@
 """All registered queries. Importing the modules fills the registry."""
 
 from fieldseq.plans import (evaluation_queries, ingest_queries, model_queries,  # noqa: F401
+                            quality_queries,
                             result_queries, search_queries)
 from fieldseq.plans.base import ORACLES, QUERIES
 

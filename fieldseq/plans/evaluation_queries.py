@@ -193,7 +193,20 @@ def judging_pool(spark, sf_dir):
     return metrics.judging_pool(pool, judged).select("qid", "uid", "position")
 
 
-@query("audit_sample")
+@query("audit_sample", with_sql(("sparse_top", "dense_eval"), """
+select qid, uid, position, blind_order from (
+  select *, coalesce(sum(n) over (order by md5(concat(qid, ':11')), qid
+      rows between unbounded preceding and 1 preceding), 0) as before
+  from (select qid, count(*) as n from audit_some group by qid)) join audit_some using (qid)
+where before + blind_order < 40""".replace("audit_some", """(
+  select * from (select qid, uid,
+    (row_number() over (partition by qid order by ranker_no, rank, uid) - 1)::int as position,
+    (row_number() over (partition by qid order by md5(concat(uid, ':11')), uid) - 1)::int
+      as blind_order
+  from (select qid, uid, min(ranker_no) as ranker_no, arg_min(rank, ranker_no) as rank from (
+    select qid, uid, rank, 0 as ranker_no from sparse_top where rank < 6
+    union all select qid, uid, rank, 1 from dense_eval where rank < 6) group by qid, uid))
+  where blind_order < 5)""")))
 def audit_sample(spark, sf_dir):
     """Seeded blind sample: up to five items per query, forty overall."""
     _, _, found = eval_rankings(spark, sf_dir)
