@@ -2,7 +2,7 @@
 
 from fieldseq.plans import (evaluation_queries, ingest_queries, model_queries,  # noqa: F401
                             quality_queries,
-                            result_queries, search_queries)
+                            result_queries, search_queries, text_queries)
 from fieldseq.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

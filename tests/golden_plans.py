@@ -1,0 +1,94 @@
+"""Expected translations of the 30 evaluation texts (fixed values)."""
+
+GOLDEN = {
+    "q01": ({"ended_in_shot": True},
+            "RECV@F-R CARRY@F-R CROSS@F-R> RECV@F-C SHOT@F-C",
+            "that"),
+    "q02": ({"ended_in_shot": True},
+            "RECV@F-L CARRY@F-L CROSS@F-L> RECV@F-C SHOT@F-C",
+            "that"),
+    "q03": ({},
+            "RECV@M-C CARRY@M-C SWITCH@M-C+",
+            "from one flank to the other"),
+    "q04": ({"play_pattern": "From Counter", "ended_in_shot": True},
+            "RECV@F-C CARRY@F-C SHOT@F-C",
+            "fast"),
+    "q05": ({"play_pattern": "From Corner", "ended_in_shot": True},
+            "SETP@F-R> RECV@F-C SHOT@F-C",
+            ""),
+    "q06": ({},
+            "RECV@M-C CARRY@M-C THROUGH@M-C+ THROUGH@M-C+",
+            "the defence"),
+    "q07": ({"play_pattern": "From Keeper", "start_band": "D", "end_band": "F"},
+            "RECV@D-C CARRY@D-C PASS@D-C RECV@D-LI PASS@D-LI PASS@D-LI+ RECV@M-LI",
+            "that reaches the"),
+    "q08": ({"ended_in_shot": True, "min_events": 25},
+            "RECV@F-C CARRY@F-C SHOT@F-C",
+            "that"),
+    "q09": ({"start_band": "F", "ended_in_shot": True},
+            "RECV@F-C CARRY@F-C RECOV@F-C SHOT@F-C",
+            "high in the leading immediately to a"),
+    "q10": ({},
+            "RECV@F-C CARRY@F-C DRIB@F-C CARRY@F-C> RECV@F-C",
+            ""),
+    "q11": ({"team": "Barcelona"},
+            "RECV@F-LI CARRY@F-LI CARRY@F-LI",
+            "working the ball into the"),
+    "q12": ({"team": "Paris Saint-Germain", "play_pattern": "From Counter"},
+            "RECV@F-C CARRY@F-C CARRY@F-C",
+            ""),
+    "q13": ({"team": "Bayer Leverkusen", "ended_in_goal": True},
+            "RECV@F-C CARRY@F-C RECOV@F-C SHOT@F-C",
+            "and"),
+    "q14": ({"ended_in_shot": True},
+            "SHOT@M-C PASS@M-C+ RECV@F-LI PASS@F-LI PASS@F-LI",
+            "from after a"),
+    "q15": ({"ended_in_shot": True},
+            "CARRY@M-R PASS@M-R+ RECV@F-R PASS@F-R> RECV@F-C SHOT@F-C",
+            "ending in a"),
+    "q16": ({"play_pattern": "From Throw In", "ended_in_shot": True},
+            "SETP@F-R PASS@F-R RECV@F-C SHOT@F-C",
+            "routine"),
+    "q17": ({"play_pattern": "From Free Kick"},
+            "SETP@F-LI> RECV@F-C",
+            "played"),
+    "q18": ({},
+            "SWITCH@M-C+ CARRY@M-C PASS@M-C+ RECV@F-C",
+            "possession recycled backwards then and again"),
+    "q19": ({},
+            "RECV@F-C CARRY@F-C PASS@F-C PASS@F-C",
+            "play"),
+    "q20": ({"ended_in_goal": True},
+            "RECV@F-C CARRY@F-C SHOT@F-C",
+            "scored from inside the"),
+    "q21": ({"start_band": "D"},
+            "RECV@D-C^ CARRY@D-C^ PASS@D-C^ RECV@D-LI^ PASS@D-LI^ PASS@D-LI+^ RECV@M-LI^",
+            "under heavy pressing"),
+    "q22": ({"start_band": "D", "end_band": "F"},
+            "PASS@D-C+ RECV@F-C RECV@F-C CARRY@F-C CARRY@F-C",
+            "long ball into the"),
+    "q23": ({"team": "England", "end_band": "F"},
+            "RECOV@M-LI CARRY@M-LI PASS@M-LI+ RECV@F-LI",
+            "the in the"),
+    "q24": ({"team": "Spain", "ended_in_shot": True, "min_events": 20},
+            "RECV@F-C CARRY@F-C SHOT@F-C",
+            "possession"),
+    "q25": ({"ended_in_shot": True},
+            "SHOT@F-C RECOV@F-C SHOT@F-C",
+            "from a after a blocked"),
+    "q26": ({"end_zone": "F-RI", "ended_in_shot": True},
+            "RECV@F-RI CARRY@F-RI SHOT@F-RI",
+            "attack that"),
+    "q27": ({},
+            "INT@M-C CARRY@M-C PASS@M-C+ RECV@F-C",
+            "in turned into an"),
+    "q28": ({"ended_in_shot": True},
+            "RECV@F-R CARRY@F-R PASS@F-R> RECV@F-C SHOT@F-C",
+            "from the byline"),
+    "q29": ({},
+            "RECV@F-LI CARRY@F-LI PASS@F-LI PASS@F-LI",
+            "quick through the"),
+    "q30": ({"play_pattern": "Regular Play", "min_xg": 0.3},
+            "RECV@F-C CARRY@F-C CARRY@F-C",
+            "chance created from"),
+}
