@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldseq.operators.lexicon import NEAR
+from fieldseq.operators.skew import stacked
 
 INFLECTION = "(?:s|es|ed|ing|d)?"
 
@@ -97,7 +98,7 @@ def _swept(found: DataFrame, probes: DataFrame, id_col: str, probe: str,
                       F.lit(1 if hits_first else 0).alias("_kind"),
                       F.lit(None).cast(h.schema["_hit"].dataType).alias("_hit"),
                       F.col(probe).cast("int").alias(probe)).distinct()
-    return h.unionByName(p)
+    return stacked([h, p])
 
 
 def preceding(found: DataFrame, probes: DataFrame, id_col: str = "id",
@@ -139,7 +140,7 @@ def outside(found: DataFrame, spans: DataFrame, id_col: str = "id") -> DataFrame
                      F.col("end").cast("int").alias("_reach"))
     w = Window.partitionBy(id_col).orderBy("_at", "_kind").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    swept = h.unionByName(s).withColumn("_far", F.max("_reach").over(w))
+    swept = stacked([h, s]).withColumn("_far", F.max("_reach").over(w))
     free = F.coalesce(F.col("_far") <= F.col("_hit")["pos"], F.lit(True))
     return swept.filter(F.col("_hit").isNotNull() & free).select(id_col, "_hit.*")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldseq.functions import grammar as G
 from fieldseq.operators import dense, filters, sparse
-from fieldseq.operators.skew import top_k
+from fieldseq.operators.skew import stacked, top_k
 
 RRF_K = 60
 POOL = 50
@@ -24,10 +24,8 @@ def reciprocal(rank: Column, k: int = RRF_K) -> Column:
 def fuse(rankings: Sequence[DataFrame], item_id: str = "uid", limit: int = LIMIT,
          query_id: str = "qid") -> DataFrame:
     """Merge rankings by rank alone. A single non-empty list keeps its order."""
-    weighted = None
-    for ranking in rankings:
-        part = ranking.select(query_id, item_id, reciprocal(F.col("rank")).alias("w"))
-        weighted = part if weighted is None else weighted.unionByName(part)
+    weighted = stacked([r.select(query_id, item_id, reciprocal(F.col("rank")).alias("w"))
+                        for r in rankings])
     fused = weighted.groupBy(query_id, item_id).agg(F.sum("w").alias("score"))
     return top_k(fused, [query_id], [F.desc("score"), F.asc(item_id)], limit)
 
@@ -37,10 +35,7 @@ def pooled(rankings: Mapping[str, DataFrame], item_id: str = "uid",
     """Rankings stacked with the name of their ranker."""
     parts = [r.select(query_id, F.lit(name).alias("ranker"), item_id, "rank", "score")
              for name, r in rankings.items()]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    return stacked
+    return stacked(parts)
 
 
 def hybrid(queries: DataFrame, items: DataFrame, index: sparse.SparseIndex, words: Column,

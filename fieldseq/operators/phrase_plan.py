@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fieldseq.operators import annotate
 from fieldseq.operators import lexicon as L
 from fieldseq.operators.filters import FILTER_TYPE
+from fieldseq.operators.skew import stacked
 from fieldseq.spec import BANDS
 
 _HIT = "struct<pos:int,value:string,phrase:string>"
@@ -79,7 +80,7 @@ def _found(texts: DataFrame, id_col: str) -> DataFrame:
         hits.filter(F.col("kind").isin("channel", "band", "action")), id_col, ["kind"])
     columns = [id_col, "kind", "value", "value_no", "phrase", "pos", "end"]
     patterns = hits.filter(F.col("kind") == "pattern").select(*columns)
-    claimed = disjoint.filter(F.col("kind") != "action").select(*columns).unionByName(patterns)
+    claimed = stacked([disjoint.filter(F.col("kind") != "action").select(*columns), patterns])
     attack = annotate.first_outside(hits.filter(F.col("kind") == "attack"), claimed, id_col)
     attack = attack.select(id_col, F.struct("pos", "phrase").alias("attack"))
 
@@ -90,7 +91,7 @@ def _found(texts: DataFrame, id_col: str) -> DataFrame:
     best = F.max_by(F.struct("value", "phrase", "pos"), F.when(
         F.col("kind") == "pattern",
         F.struct(F.length("phrase"), -F.col("value_no"), -F.col("pos"))))
-    grouped = disjoint.select(*columns).unionByName(patterns).groupBy(id_col).agg(
+    grouped = stacked([disjoint.select(*columns), patterns]).groupBy(id_col).agg(
         of("channel").alias("channels"), of("band").alias("bands"), of("action").alias("actions"),
         best.alias("pattern"))
     joined = texts.join(grouped, id_col, "left").join(attack, id_col, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldseq.functions import grammar as G
-from fieldseq.operators.skew import order_chunk
+from fieldseq.operators.skew import order_chunk, stacked
 from fieldseq.spec import DEFAULT_GRID, ORDER_CHUNK, GridSpec
 
 
@@ -119,10 +119,10 @@ def breakdown(possessions: DataFrame, by: str) -> DataFrame:
 
 def load_statistics(matches: DataFrame, events: DataFrame, shots: DataFrame) -> DataFrame:
     """Row counts of the three tables and the share of shots with a freeze frame."""
-    counts = (matches.select(F.lit("matches").alias("table"), F.lit(None).cast("boolean").alias("f"))
-              .unionByName(events.select(F.lit("events").alias("table"),
-                                         F.lit(None).cast("boolean").alias("f")))
-              .unionByName(shots.select(F.lit("shots").alias("table"),
-                                        F.col("freeze_frame").isNotNull().alias("f"))))
+    framed = F.lit(None).cast("boolean")
+    counts = stacked([
+        matches.select(F.lit("matches").alias("table"), framed.alias("f")),
+        events.select(F.lit("events").alias("table"), framed.alias("f")),
+        shots.select(F.lit("shots").alias("table"), F.col("freeze_frame").isNotNull().alias("f"))])
     return counts.groupBy("table").agg(F.count("*").alias("n"),
                                        rate(F.col("f")).alias("freeze_frame_share"))

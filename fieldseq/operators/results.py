@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldseq.functions import geometry as X
 from fieldseq.functions import grammar as G
-from fieldseq.operators.skew import lead_within
+from fieldseq.operators.skew import lead_within, stacked
 from fieldseq.spec import DEFAULT_GRID, ORDER_CHUNK, GridSpec
 
 MIN_STEP_MS, DEFAULT_STEP_MS = 120, 400
@@ -137,7 +137,4 @@ def corpus_counts(**tables: DataFrame) -> DataFrame:
     """Row count of each named table."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
              for name, df in tables.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return stacked(parts)

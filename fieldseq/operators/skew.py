@@ -51,6 +51,21 @@ def lead_within(df: DataFrame, keys: Sequence[str], order: str, columns: dict[st
             .drop("_chunk", "_next", "_over", "_step", "_keep"))
 
 
+def stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    """Union by name.
+
+    Spark 4.1 may take a union of equally partitioned parts as partitioned itself,
+    and fails ("Can't zip RDDs with unequal numbers of partitions") when a part is
+    re-planned at run time. The session is told not to; the next grouping then
+    places the rows by its own keys.
+    """
+    parts[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
           rank: str = "rank") -> DataFrame:
     """First k rows of each group with a 0-based rank.

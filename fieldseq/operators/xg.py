@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldseq.operators.prediction_metrics import clipped, logistic
 from fieldseq.operators.results import PENALTY
+from fieldseq.operators.skew import stacked
 
 NUMERIC = ("distance", "angle")
 CONTEXT = ("n_def_in_cone", "dist_nearest_def", "gk_dist_to_goal", "gk_off_line")
@@ -245,10 +246,7 @@ def out_of_fold(train: DataFrame, method: str, settings: TreeSettings = TreeSett
     for i in range(folds):
         model = fit_ensemble(folded.filter(F.col("fold") != i).drop("fold"), method, settings)
         parts.append(model.predict(folded.filter(F.col("fold") == i), "p"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return stacked(parts)
 
 
 def choose_method(train: DataFrame, settings: TreeSettings = TreeSettings(), folds: int = 5,

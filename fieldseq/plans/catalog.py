@@ -2,7 +2,8 @@
 
 from fieldseq.plans import (evaluation_queries, ingest_queries, model_queries,  # noqa: F401
                             quality_queries,
-                            result_queries, search_queries, text_queries)
+                            result_queries, search_queries, text_queries,
+                            translation_queries)
 from fieldseq.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldseq.operators.skew import stacked
 from fieldseq.sources.readers import latest
 
 _CHECKPOINT = "spark.checkpoint.dir"
@@ -72,7 +73,7 @@ def upsert(new: DataFrame, path: str, keys: Sequence[str], partition_by: Sequenc
             for c in keep:
                 fresh = fresh.withColumn(c, F.coalesce(f"_old_{c}", c)).drop(f"_old_{c}")
         left = nearby.join(fresh.select(*keys), list(keys), "left_anti")
-        fresh = fresh.unionByName(left.select(*fresh.columns))
+        fresh = stacked([fresh, left.select(*fresh.columns)])
     (fresh.hint("rebalance", *[F.col(c) for c in partition_by])
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
@@ -105,11 +106,9 @@ def export(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], path: str,
 
 def export_sizes(tables: Mapping[str, DataFrame], ids: DataFrame | None = None) -> DataFrame:
     """Rows each table would export, and their total (table name null)."""
-    parts = None
-    for name, table in tables.items():
-        part = (table if ids is None else subset(table, ids)).select(F.lit(name).alias("table"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.rollup("table").agg(F.count("*").alias("n"))
+    parts = [(table if ids is None else subset(table, ids)).select(F.lit(name).alias("table"))
+             for name, table in tables.items()]
+    return stacked(parts).rollup("table").agg(F.count("*").alias("n"))
 
 
 def write_predictions(preds: DataFrame, path: str) -> None:

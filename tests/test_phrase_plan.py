@@ -1,10 +1,9 @@
 """Texts turn into the expected filters, hints and left-over words."""
 
 import pytest
-from golden_plans import GOLDEN
 
 from fieldseq.operators.phrase_plan import plan
-from fieldseq.plans.eval_set import EVAL_QUERIES
+from fieldseq.plans.eval_set import EVAL_QUERIES, TRANSLATIONS
 
 TEAMS = ["Barcelona", "Paris Saint-Germain", "Bayer Leverkusen", "England", "England Women's",
          "Spain", "Italy"]
@@ -18,9 +17,9 @@ def plans(spark):
     return {r["qid"]: r for r in plan(texts, teams).collect()}
 
 
-@pytest.mark.parametrize("qid", list(GOLDEN))
+@pytest.mark.parametrize("qid", list(TRANSLATIONS))
 def test_golden(plans, qid):
-    filters, hint, ignored = GOLDEN[qid]
+    filters, hint, ignored = TRANSLATIONS[qid]
     got = plans[qid]
     assert {k: v for k, v in got["filters"].asDict().items() if v is not None} == filters
     assert got["hint"] == hint
