@@ -170,16 +170,14 @@ def ngrams(tokens: Column, longest: int = 3) -> Column:
     """All 1..longest-grams, space-joined. Short inputs give the ones that exist."""
     parts = [tokens]
     for n in range(2, longest + 1):
-        joined = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), _joined(tokens, n))
-        parts.append(F.when(F.size(tokens) >= n, joined)
-                     .otherwise(F.array().cast("array<string>")))
+        # Grams one word shorter, each joined with the word that follows it.
+        starts = F.greatest(F.lit(0), F.size(tokens) - (n - 1))
+        parts.append(F.zip_with(F.slice(parts[-1], F.lit(1), starts),
+                                F.slice(tokens, F.lit(n), starts),
+                                lambda gram, word: F.concat(gram, F.lit(" "), word)))
     return F.concat(*parts)
 
 
-def _joined(tokens: Column, n: int):
-    return lambda i: F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n)])
-
-
 def words(text: Column) -> Column:
     """Whitespace-separated, case-kept words of a text; no empty words."""
     return F.filter(F.split(text, WHITESPACE), lambda w: w != "")

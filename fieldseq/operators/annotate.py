@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldseq.functions.grammar import ngrams
 from fieldseq.operators.lexicon import NEAR
 from fieldseq.operators.skew import stacked
 
@@ -175,22 +176,28 @@ def longest_entity(texts: DataFrame, names: DataFrame, id_col: str = "id",
     """Longest name that stands in each text as whole words.
 
     Only the first occurrence of a name is looked at. Candidates come from an
-    equi-join on the name's first word, so names and texts are never crossed.
+    equi-join on the name's first two words (or its only one), so names and texts
+    are never crossed, and only then is the text itself searched.
     """
-    word = r"[\p{L}\p{N}]+"
-    keyed = names.select(name_col).distinct().withColumn(
-        "_word", F.regexp_extract(F.lower(name_col), word, 0))
-    found = texts.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower(text_col), F.lit(word), F.lit(0)))).alias("_word"))
-    pairs = found.join(keyed, "_word").select(id_col, name_col)
-    low, name = F.lower(text_col), F.lower(name_col)
-    at = F.instr(low, name)
-    before = F.when(at > 1, F.substring(low, at - 1, F.lit(1))).otherwise(F.lit(""))
-    after = F.substring(low, at + F.length(name), F.lit(1))
+    word = F.lit(r"[\p{L}\p{N}]+")
+    low_names = names.select(name_col, F.lower(name_col).alias("_name")).distinct()
+    keyed = low_names.withColumn("_key", F.array_join(F.slice(
+        F.regexp_extract_all("_name", word, F.lit(0)), 1, 2), " "))
+    low_texts = texts.select(id_col, F.lower(text_col).alias("_low"))
+    found = low_texts.select(id_col, F.explode(ngrams(
+        F.regexp_extract_all("_low", word, F.lit(0)), 2)).alias("_key"))
+    pairs = found.join(keyed, "_key").select(id_col, name_col, "_name").distinct()
     letter = r"[\p{L}\p{N}]"
-    whole = (at > 0) & ~before.rlike(letter) & ~after.rlike(letter)
-    verified = (pairs.join(texts.select(id_col, text_col), id_col)
-                .select(id_col, name_col, (at - 1).alias("pos"), whole.alias("_ok"))
-                .filter("_ok"))
+
+    def whole(at: Column) -> Column:
+        before = F.when(at > 1, F.substring("_low", at - 1, F.lit(1))).otherwise(F.lit(""))
+        after = F.substring("_low", at + F.length("_name"), F.lit(1))
+        return (at > 0) & ~before.rlike(letter) & ~after.rlike(letter)
+
+    # A one-element array, so that the text is searched once per pair.
+    at = F.filter(F.array(F.instr(F.col("_low"), F.col("_name"))), whole)
+    verified = (pairs.join(low_texts, id_col)
+                .select(id_col, name_col, F.explode(at).alias("_at"))
+                .select(id_col, name_col, (F.col("_at") - 1).alias("pos")))
     best = F.min_by(F.struct(name_col, "pos"), F.struct(-F.length(name_col), F.col(name_col)))
     return verified.groupBy(id_col).agg(best.alias("m")).select(id_col, "m.*")

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from fieldseq.operators.possessions import build_possessions
 from fieldseq.sources.adapter import field_events, field_matches, field_shots, table
+from fieldseq.sources.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 __all__ = ["QUERIES", "ORACLES", "query", "events", "matches", "shots", "possessions",
-           "table", "r6", "with_sql"]
+           "stored_possessions",           "table", "r6", "with_sql"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -38,6 +39,11 @@ def possessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_possessions(events(spark, sf_dir), matches(spark, sf_dir))
 
 
+def stored_possessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a table in the shared folder, for jobs that read it several times."""
+    return written(possessions(spark, sf_dir), "possessions")
+
+
 def r6(value: Column | str) -> Column:
     return F.round(F.col(value) if isinstance(value, str) else value, 6)
 

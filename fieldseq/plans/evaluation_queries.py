@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from fieldseq.operators import dense, filters, fuse, metrics, rubrics
 from fieldseq.operators.possessions import zone_line
-from fieldseq.plans.base import cte, events, possessions, query, r6, table, with_sql
+from fieldseq.plans.base import (cte, events, possessions, query, r6, stored_possessions, table,
+                                 with_sql)
 from fieldseq.plans.eval_set import FILTER_DOMINATED, query_table
 from fieldseq.plans.search_queries import EVAL, eval_filters, hint_tokens, sql_predicate, token_index
 from fieldseq.spec import ZONES
@@ -107,7 +108,7 @@ RANKERS = ("sparse", "dense", "fused")
 
 def eval_rankings(spark, sf_dir, limit=10):
     """Sparse, zone-profile and fused rankings of the evaluation queries."""
-    items = possessions(spark, sf_dir)
+    items = stored_possessions(spark, sf_dir)
     asked = query_table(spark, EVAL).withColumn(
         "embedding", dense.zone_profile(zone_line(F.col("hint"))))
     vectors = items.select("uid", dense.zone_profile(F.col("zone_path")).alias("embedding"),
@@ -173,7 +174,7 @@ select median(n_events)::double as median_top,
 from sparse_top join poss using (uid) where rank < 5"""))
 def length_diagnostic(spark, sf_dir):
     from fieldseq.plans.search_queries import eval_sparse
-    items = possessions(spark, sf_dir)
+    items = stored_possessions(spark, sf_dir)
     return metrics.length_diagnostic(eval_sparse(spark, items), items)
 
 

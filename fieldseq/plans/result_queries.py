@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldseq.operators import filters, fuse, notes, results
-from fieldseq.plans.base import (cte, events, matches, possessions, query, r6, shots, table,
+from fieldseq.plans.base import (cte, events, matches, possessions, query, r6, shots,
+                                 stored_possessions, table,
                                  with_sql)
 from fieldseq.plans.eval_set import query_table
 from fieldseq.plans.search_queries import (EVAL, SHAPE_FILTERS, SHAPES, eval_sparse, team_seeds,
@@ -33,7 +34,7 @@ SHOWN = ["match_id", "possession", *[c for c in SUMMARY_COLUMNS if c not in ("ui
 
 def search_page(spark, sf_dir):
     """Search job: ranked, hydrated rows of the evaluation queries with model totals."""
-    items = possessions(spark, sf_dir)
+    items = stored_possessions(spark, sf_dir)
     page = fuse.hydrate(eval_sparse(spark, items).filter(F.col("rank") < fuse.LIMIT), items, SHOWN)
     return results.attach_model_xg(page, scored_shots(spark, sf_dir))
 
@@ -143,7 +144,7 @@ claim_ctes("sh", "shape_page", "where kind not in ('finish', 'chance') and not "
 @query("shape_job", with_sql(("sh_claims",), _CLAIMS.format("sh")))
 def shape_job(spark, sf_dir):
     """Cited summary of shape search; the drawing already fixes where moves end."""
-    items = possessions(spark, sf_dir)
+    items = stored_possessions(spark, sf_dir)
     found = fuse.shape_search(items, SHAPES, SHAPE_FILTERS)
     page = results.attach_model_xg(fuse.hydrate(found, items, SHOWN), scored_shots(spark, sf_dir))
     given = spark.createDataFrame(
@@ -159,7 +160,7 @@ claim_ctes("sm", "sim_page", "where kind <> 'chance'")
 
 @query("similar_job", with_sql(("sm_claims",), _CLAIMS.format("sm")))
 def similar_job(spark, sf_dir):
-    items = possessions(spark, sf_dir)
+    items = stored_possessions(spark, sf_dir)
     found = fuse.similar(team_seeds(items), token_index(items))["fused"]
     page = results.attach_model_xg(fuse.hydrate(found, items, SHOWN), scored_shots(spark, sf_dir))
     return _claim_columns(notes.claims(page))

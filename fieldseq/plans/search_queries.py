@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from fieldseq.functions import grammar as G
 from fieldseq.operators import dense, filters, fuse, sparse
 from fieldseq.operators.filters import Filters
-from fieldseq.plans.base import cte, possessions, query, r6, table, with_sql
+from fieldseq.plans.base import (cte, possessions, query, r6, stored_possessions, table,
+                                 with_sql)
 from fieldseq.plans.eval_set import adapted, query_table
 from fieldseq.spec import ZONES
 
@@ -160,7 +161,7 @@ select (select count(distinct uid) from pt_post) as n_docs, (select count(*) fro
   (select count(distinct gram) from pt_post) as n_grams,
   (select round(avg(n_events), 6) from poss) as mean_words"""))
 def sparse_index_statistics(spark, sf_dir):
-    items = possessions(spark, sf_dir)
+    items = stored_possessions(spark, sf_dir)
     mean = items.agg(F.round(F.avg("n_events"), 6).alias("m")).scalar()
     return sparse.index_statistics(token_index(items)).withColumn("mean_words", mean)
 
@@ -170,7 +171,7 @@ select s.qid, s.rank, s.uid, round(s.score, 6) as score, p.team, p.opponent, p.c
   p.play_pattern, p.token_string, p.n_events, p.ended_in_shot
 from sparse_top s join poss p using (uid)"""))
 def sparse_search(spark, sf_dir):
-    items = possessions(spark, sf_dir)
+    items = stored_possessions(spark, sf_dir)
     shown = fuse.hydrate(eval_sparse(spark, items), items,
                          ["team", "opponent", "competition", "play_pattern", "token_string",
                           "n_events", "ended_in_shot"])
@@ -186,7 +187,7 @@ select qid, uid, rank, round(score, 6) as score from (
     from pt_post join eq_vec using (gram) join pt_vocab using (gram) join poss using (uid)
     group by qid, uid)) where rank < 20"""))
 def length_normalised_search(spark, sf_dir):
-    items = possessions(spark, sf_dir)
+    items = stored_possessions(spark, sf_dir)
     index = token_index(items)
     vectors = sparse.query_vectors(query_table(spark, EVAL), index.vocab, hint_tokens())
     lengths = items.select("uid", F.col("n_events").alias("n_words"))
@@ -213,7 +214,7 @@ def team_seeds(items):
 @query("similar_sparse", with_sql(("similar_top",), """
 select qid, uid, rank, round(score, 6) as score from similar_top"""))
 def similar_sparse(spark, sf_dir):
-    items = possessions(spark, sf_dir)
+    items = stored_possessions(spark, sf_dir)
     found = fuse.similar(team_seeds(items), token_index(items))["sparse"]
     return found.filter(F.col("rank") < 20).withColumn("score", r6("score"))
 

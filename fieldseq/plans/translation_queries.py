@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldseq.operators import filters, fuse, metrics, phrase_plan, rubrics, sparse
-from fieldseq.plans.base import cte, possessions, query, r6, with_sql
+from fieldseq.plans.base import cte, possessions, query, r6, stored_possessions, with_sql
 from fieldseq.plans.eval_set import (EXPECTED_FAILURES, FILTER_DOMINATED, PARAPHRASES, query_table,
                                      stand_in, translated)
 from fieldseq.plans.evaluation_queries import VERDICT
@@ -95,7 +95,7 @@ cte("translation", f"""select q.qid, coalesce(h.hand_p5, 0) as hand_p5, coalesce
 
 def hand_and_parsed(spark, sf_dir):
     """Precision of hand-written and translated queries side by side."""
-    items = possessions(spark, sf_dir)
+    items = stored_possessions(spark, sf_dir)
     index = token_index(items)
     hand = query_table(spark, EVAL)
     parsed = parsed_queries(spark, items, eval_texts())
@@ -134,7 +134,7 @@ def translation_report(spark, sf_dir):
 @query("paraphrase_report")
 def paraphrase_report(spark, sf_dir):
     """Precision of rephrased texts against the originals, expected failures marked."""
-    items = possessions(spark, sf_dir)
+    items = stored_possessions(spark, sf_dir)
     index = token_index(items)
     before = precision(parsed_queries(spark, items, eval_texts()), items, index)
     other = {q: stand_in(t) for q, t in PARAPHRASES.items()}
