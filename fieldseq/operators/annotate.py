@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldseq.functions.grammar import ngrams
 from fieldseq.operators.lexicon import NEAR
-from fieldseq.operators.skew import stacked
+from fieldseq.operators.skew import spread_join, stacked
 
 INFLECTION = "(?:s|es|ed|ing|d)?"
 
@@ -186,7 +186,8 @@ def longest_entity(texts: DataFrame, names: DataFrame, id_col: str = "id",
     low_texts = texts.select(id_col, F.lower(text_col).alias("_low"))
     found = low_texts.select(id_col, F.explode(ngrams(
         F.regexp_extract_all("_low", word, F.lit(0)), 2)).alias("_key"))
-    pairs = found.join(keyed, "_key").select(id_col, name_col, "_name").distinct()
+    pairs = spread_join(found, keyed, ["_key"], F.col(id_col)) \
+        .select(id_col, name_col, "_name").distinct()
     letter = r"[\p{L}\p{N}]"
 
     def whole(at: Column) -> Column:

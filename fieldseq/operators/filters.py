@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldseq.operators.skew import spread_join
+
 EQUALITY = ("team", "opponent", "competition", "season", "play_pattern",
             "start_zone", "end_zone")
 
@@ -109,7 +111,7 @@ def restrict(pairs: DataFrame, queries: DataFrame, items: DataFrame,
     """
     wanted = queries.select(query_id, "filters")
     attributes = items.select(item_id, *FILTER_INPUTS)
-    joined = pairs.join(attributes, item_id).join(wanted, query_id)
+    joined = spread_join(pairs.join(attributes, item_id), wanted, [query_id], F.col(item_id))
     return joined.filter(F.col("filters").isNull() | pair_predicate(F.col("filters"))) \
         .select(*pairs.columns)
 

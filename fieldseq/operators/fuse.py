@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldseq.functions import grammar as G
 from fieldseq.operators import dense, filters, sparse
-from fieldseq.operators.skew import stacked, top_k
+from fieldseq.operators.skew import spread_join, stacked, top_k
 
 RRF_K = 60
 POOL = 50
@@ -71,7 +71,8 @@ def similar(seeds: DataFrame, index: sparse.SparseIndex, vectors: DataFrame | No
     item_id = index.id_col
     own = seeds.select("qid", F.col(item_id).alias("_seed"))
     pairs = sparse.scores(sparse.seed_vectors(index, seeds), index)
-    pairs = pairs.join(own, "qid").filter(F.col(item_id) != F.col("_seed")).drop("_seed")
+    pairs = spread_join(pairs, own, ["qid"], F.col(item_id))
+    pairs = pairs.filter(F.col(item_id) != F.col("_seed")).drop("_seed")
     found = {"sparse": sparse.rank(pairs, item_id, pool)}
     if vectors is not None:
         asked = (seeds.select("qid", item_id).join(vectors, item_id)

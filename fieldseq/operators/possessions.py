@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldseq.functions import grammar as G
-from fieldseq.operators.skew import order_chunk, stacked
+from fieldseq.operators.skew import order_chunk, spread_join, stacked
 from fieldseq.spec import DEFAULT_GRID, ORDER_CHUNK, GridSpec
 
 
@@ -88,7 +88,7 @@ def with_match(possessions: DataFrame, matches: DataFrame) -> DataFrame:
     meta = matches.select("match_id", "competition", "season", "home_team", "away_team")
     opponent = F.when(F.col("team") == F.col("home_team"), F.col("away_team")) \
         .otherwise(F.col("home_team"))
-    return (possessions.join(meta, "match_id")
+    return (spread_join(possessions, meta, ["match_id"], F.col("possession"))
             .withColumn("opponent", opponent).drop("home_team", "away_team"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from fieldseq.spec import ORDER_CHUNK
 
+SPREAD = 64
+
 
 def order_chunk(order: Column, width: int = ORDER_CHUNK) -> Column:
     """Range of the order column a row falls in: at most `width` values per range."""
@@ -80,6 +82,18 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
             .drop("_place"))
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], seed: Column,
+                how: str = "inner", spread: int = SPREAD) -> DataFrame:
+    """Join to a much smaller table on keys of which one may hold a large share of the rows.
+
+    The small side is repeated `spread` times and rows of one key go to as many
+    tasks. Spark still broadcasts the small side when it turns out to fit.
+    """
+    cut = rows.withColumn("_spread", F.pmod(F.xxhash64(seed), F.lit(spread)).cast("int"))
+    copies = table.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return cut.join(copies, [*keys, "_spread"], how).drop("_spread")
+
+
 def salted_lookup(rows: DataFrame, table: DataFrame, key: str, salt_seed: Column,
                   hot: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Left join `rows` to a table with unique keys, safe against hot keys.

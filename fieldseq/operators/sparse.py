@@ -116,9 +116,8 @@ def is_small(queries: DataFrame, words: Column, longest: int = LONGEST,
     return (total or 0) <= rows
 
 
-def scores(vectors: DataFrame, index: SparseIndex, query_id: str = "qid",
-           small: bool | None = None) -> DataFrame:
-    """Cosine of every (query, item) pair that shares a gram.
+def matching(vectors: DataFrame, index: SparseIndex, small: bool | None = None) -> DataFrame:
+    """Postings of all grams the queries have.
 
     A query side known (`small`) or counted to be small is broadcast: postings
     stay where they are and are summed without a shuffle of the pairs. Otherwise
@@ -128,14 +127,17 @@ def scores(vectors: DataFrame, index: SparseIndex, query_id: str = "qid",
     if small is None:
         small = vectors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if small:
-        side = F.broadcast(vectors.drop("salts"))
-        joined = index.postings.join(side, "gram")
-    else:
-        split = index.postings.withColumn(
-            "salt", F.pmod(F.xxhash64(index.id_col), F.col("salts")).cast("int")).drop("salts")
-        side = vectors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        joined = split.join(side.drop("salts"), ["gram", "salt"])
-    return (joined.groupBy(query_id, index.id_col)
+        return index.postings.join(F.broadcast(vectors.drop("salts")), "gram")
+    split = index.postings.withColumn(
+        "salt", F.pmod(F.xxhash64(index.id_col), F.col("salts")).cast("int")).drop("salts")
+    side = vectors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    return split.join(side.drop("salts"), ["gram", "salt"])
+
+
+def scores(vectors: DataFrame, index: SparseIndex, query_id: str = "qid",
+           small: bool | None = None) -> DataFrame:
+    """Cosine of every (query, item) pair that shares a gram."""
+    return (matching(vectors, index, small).groupBy(query_id, index.id_col)
             .agg(F.round(F.sum(F.col("weight") * F.col("qw")), SCORE_DIGITS).alias("score"))
             .filter(F.col("score") > 0))
 
@@ -153,15 +155,15 @@ def index_statistics(index: SparseIndex) -> DataFrame:
 
 
 def bm25_scores(vectors: DataFrame, index: SparseIndex, lengths: DataFrame, k1: float = 1.2,
-                b: float = 0.75, query_id: str = "qid") -> DataFrame:
+                b: float = 0.75, query_id: str = "qid", small: bool | None = None) -> DataFrame:
     """Alternative score with explicit length normalisation.
 
     Cosine favours short items; here `b` sets how strongly length counts.
     `lengths` has the item id and `n_words`.
     """
     mean = lengths.agg(F.avg("n_words").alias("m")).scalar()
-    side = vectors.select(query_id, "gram").join(index.vocab.select("gram", "idf"), "gram")
-    joined = index.postings.join(side, "gram").join(lengths, index.id_col)
+    side = vectors.drop("qw").join(index.vocab.select("gram", "idf"), "gram")
+    joined = matching(side, index, small).join(lengths, index.id_col)
     damp = k1 * (1 - b + b * F.col("n_words") / mean)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + damp)
     return (joined.groupBy(query_id, index.id_col)

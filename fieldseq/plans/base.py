@@ -16,7 +16,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 __all__ = ["QUERIES", "ORACLES", "query", "events", "matches", "shots", "possessions",
-           "stored_possessions",           "table", "r6", "with_sql"]
+           "stored_possessions", "table", "r6", "with_sql"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

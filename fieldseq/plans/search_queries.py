@@ -189,10 +189,12 @@ select qid, uid, rank, round(score, 6) as score from (
 def length_normalised_search(spark, sf_dir):
     items = stored_possessions(spark, sf_dir)
     index = token_index(items)
-    vectors = sparse.query_vectors(query_table(spark, EVAL), index.vocab, hint_tokens())
+    asked = query_table(spark, EVAL)
+    vectors = sparse.query_vectors(asked, index.vocab, hint_tokens())
     lengths = items.select("uid", F.col("n_events").alias("n_words"))
-    return sparse.rank(sparse.bm25_scores(vectors, index, lengths), "uid", 20) \
-        .withColumn("score", r6("score"))
+    small = sparse.is_small(asked, hint_tokens())
+    scored = sparse.bm25_scores(vectors, index, lengths, small=small)
+    return sparse.rank(scored, "uid", 20).withColumn("score", r6("score"))
 
 
 cte("seeds", """select team as qid, arg_max(uid, {'n': n_events, 'u': uid}) as seed

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldseq.functions import geometry as X
 from fieldseq.functions import grammar as G
-from fieldseq.operators.skew import lead_within
+from fieldseq.operators.skew import lead_within, spread_join
 
 # Event ids are global, so ranges of this many ids hold at most as many rows.
 ID_CHUNK = 1 << 20
@@ -110,4 +110,5 @@ def field_shots(events: DataFrame, matches: DataFrame) -> DataFrame:
         F.when(k % 9 != 0, frame).alias("freeze_frame"))
     shots = shots.select("*", *[c.alias(n) for n, c in X.freeze_frame_features(
         F.col("freeze_frame"), F.col("x"), F.col("y")).items()])
-    return shots.join(matches.select("match_id", "competition_id", "season_id"), "match_id")
+    ids = matches.select("match_id", "competition_id", "season_id")
+    return spread_join(shots, ids, ["match_id"], F.col("event_id"))

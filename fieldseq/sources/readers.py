@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldseq.functions import geometry as X
 from fieldseq.functions import grammar as G
+from fieldseq.operators.skew import spread_join
 from fieldseq.spec import (DEFAULT_GRID, MATCH_COLUMNS, RAW_COMPETITION, RAW_EVENT, RAW_MATCH,
                            SHOT_COLUMNS, GridSpec)
 
@@ -116,4 +117,4 @@ def flatten_shots(raw: DataFrame, matches: DataFrame, grid: GridSpec = DEFAULT_G
     shots = shots.select("*", *[c.alias(n) for n, c in X.freeze_frame_features(
         F.col("freeze_frame"), F.col("x"), F.col("y"), grid).items()])
     ids = matches.select("match_id", "competition_id", "season_id")
-    return shots.join(ids, "match_id").select(*SHOT_COLUMNS)
+    return spread_join(shots, ids, ["match_id"], F.col("event_id")).select(*SHOT_COLUMNS)
