@@ -74,6 +74,14 @@ def agreement(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .withColumn("share", F.try_divide(F.col("agree"), F.col("n"))))
 
 
+def audit_pairs(labels: DataFrame, possessions: DataFrame) -> DataFrame:
+    """Human labels (qid, uid, human) with the rule's verdict; unknown ids are dropped."""
+    rows = labels.join(possessions.select("uid", "token_string", "zone_path", "n_events",
+                                          "ended_in_shot"), "uid")
+    return rows.select("qid", "uid", "human", rubrics.judged(F.col("qid")).alias("auto"),
+                       "token_string")
+
+
 def disagreements(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("auto") != F.col("human"))
 
@@ -144,3 +152,10 @@ def paired_change(before: DataFrame, after: DataFrame, drop: float = 0.19) -> Da
         after.select("qid", F.col("p5").alias("p5_after")), "qid")
     return (both.withColumn("delta", F.col("p5_after") - F.col("p5_before"))
             .withColumn("loser", F.col("delta") < -drop))
+
+
+def change_summary(changes: DataFrame) -> DataFrame:
+    """Mean metric before and after, mean change and number of losers."""
+    return changes.agg(F.count("*").alias("n"), F.avg("p5_before").alias("p5_before"),
+                       F.avg("p5_after").alias("p5_after"), F.avg("delta").alias("mean_delta"),
+                       F.count_if("loser").alias("n_losers"))

@@ -47,6 +47,11 @@ class SparseIndex:
                            spark.read.parquet(f"{path}/vocab"), id_col)
 
 
+def corpus(items: DataFrame, id_col: str = "uid", text_col: str = "token_string") -> DataFrame:
+    """(id, text) in a fixed order of ids."""
+    return items.select(id_col, text_col).orderBy(id_col)
+
+
 def term_counts(docs: DataFrame, id_col: str, words: Column, longest: int = LONGEST) -> DataFrame:
     """How often each gram occurs in each document.
 

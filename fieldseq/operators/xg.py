@@ -28,7 +28,7 @@ MISSING = -1.0
 
 @dataclass(frozen=True)
 class TreeSettings:
-    """Defaults follow the reference's boosted model as far as Spark trees express it."""
+    """Defaults: many small steps of shallow trees on most rows and features."""
 
     rounds: int = 300
     step: float = 0.05

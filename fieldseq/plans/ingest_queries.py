@@ -73,6 +73,15 @@ def possession_breakdown(spark, sf_dir):
     return b.select("play_pattern", "n", *[r6(c).alias(c) for c in b.columns[2:]])
 
 
+@query("shot_type_breakdown", with_sql(("shots",), """
+select shot_type, count(*) as n, round(avg(is_goal::int), 6) as goal_rate,
+  round(avg(provider_xg), 6) as mean_xg from shots group by shot_type"""))
+def shot_type_breakdown(spark, sf_dir):
+    return shots(spark, sf_dir).groupBy("shot_type").agg(
+        F.count("*").alias("n"), r6(P.rate(F.col("is_goal"))).alias("goal_rate"),
+        r6(F.avg("provider_xg")).alias("mean_xg"))
+
+
 @query("load_statistics", with_sql(("shots",), """
 select 'matches' as "table", count(*) as n, null::double as freeze_frame_share from matches
 union all select 'events', count(*), null from ev

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldseq.operators import filters, fuse, notes, results
+from fieldseq.operators import notes, results
+from fieldseq.plans import jobs
 from fieldseq.plans.base import (cte, events, matches, possessions, query, r6, shots,
                                  stored_possessions, table,
                                  with_sql)
 from fieldseq.plans.eval_set import query_table
-from fieldseq.plans.search_queries import (EVAL, SHAPE_FILTERS, SHAPES, eval_sparse, team_seeds,
-                                           token_index)
-from fieldseq.spec import SUMMARY_COLUMNS
+from fieldseq.plans.search_queries import EVAL, SHAPE_FILTERS, SHAPES, team_seeds, token_index
 
 # A fixed logistic of distance and angle stands for the trained model where a
 # result must be comparable across engines.
@@ -29,19 +28,11 @@ def scored_shots(spark, sf_dir):
         "my_xg", F.when(why.isNull(), 1 / (1 + F.exp(logit))))
 
 
-SHOWN = ["match_id", "possession", *[c for c in SUMMARY_COLUMNS if c not in ("uid", "match_id")]]
-
-
-def search_page(spark, sf_dir):
-    """Search job: ranked, hydrated rows of the evaluation queries with model totals."""
+def search_job_tables(spark, sf_dir):
+    """Sparse search job over the evaluation queries."""
     items = stored_possessions(spark, sf_dir)
-    page = fuse.hydrate(eval_sparse(spark, items).filter(F.col("rank") < fuse.LIMIT), items, SHOWN)
-    return results.attach_model_xg(page, scored_shots(spark, sf_dir))
-
-
-def given_table(spark):
-    asked = query_table(spark, EVAL)
-    return asked.select("qid", filters.given_fields(F.col("filters")).alias("given"))
+    return jobs.search(query_table(spark, EVAL), items, token_index(items),
+                       shots=scored_shots(spark, sf_dir))
 
 
 cte("page", """select s.qid, s.rank, s.score, p.*, t.my_xg_sum from sparse_top s
@@ -56,11 +47,11 @@ def _page_columns(df):
 
 
 @query("search_job", with_sql(("page",), """
-select qid, rank, round(score, 6) as score, uid, match_id, team, opponent, competition, season,
+select qid, rank, round(1.0::double / (61 + rank), 6) as score, uid, match_id, team, opponent, competition, season,
   play_pattern, zone_path, token_string, n_events, duration_s, ended_in_shot, ended_in_goal,
   round(xg_sum, 6) as xg_sum, round(my_xg_sum, 6) as my_xg_sum from page"""))
 def search_job(spark, sf_dir):
-    return _page_columns(results.summaries(search_page(spark, sf_dir), ("qid", "rank", "score")))
+    return _page_columns(search_job_tables(spark, sf_dir)["results"])
 
 
 def claim_ctes(p: str, page: str, given: str) -> None:
@@ -106,7 +97,6 @@ _KEEP = """not case kind when 'team' then list_contains(given, 'team')
     when 'goals' then list_contains(given, 'ended_in_goal')
     when 'finish' then list_contains(given, 'end_zone') else false end"""
 cte("evalgiven", "select qid as gq, given from evalq", ("evalq",))
-CTE_NEEDS = ("evalgiven",)
 claim_ctes("nt", "page", f"join evalgiven on gq = qid where {_KEEP}")
 _CLAIMS = """select qid, claim_no, kind, label, support, round(value, 6) as value, uids
 from {}_claims where claim_no <= 5"""
@@ -120,15 +110,15 @@ def _claim_columns(made):
 
 @query("search_notes", with_sql(("evalgiven", "nt_claims"), _CLAIMS.format("nt")))
 def search_notes(spark, sf_dir):
-    return _claim_columns(notes.claims(search_page(spark, sf_dir), given_table(spark)))
+    return _claim_columns(search_job_tables(spark, sf_dir)["notes"])
 
 
 @query("note_citations", with_sql(("page",), """
 select qid, 0 as claim_no, uid from page where false"""))
 def note_citations(spark, sf_dir):
     """Claims citing rows outside their page: there must be none."""
-    page = search_page(spark, sf_dir)
-    return notes.unsupported(notes.claims(page, given_table(spark)), page)
+    job = search_job_tables(spark, sf_dir)
+    return notes.unsupported(job["notes"], job["page"])
 
 
 cte("shape_page", """select s.qid, s.rank, p.*, t.my_xg_sum from (
@@ -144,13 +134,9 @@ claim_ctes("sh", "shape_page", "where kind not in ('finish', 'chance') and not "
 @query("shape_job", with_sql(("sh_claims",), _CLAIMS.format("sh")))
 def shape_job(spark, sf_dir):
     """Cited summary of shape search; the drawing already fixes where moves end."""
-    items = stored_possessions(spark, sf_dir)
-    found = fuse.shape_search(items, SHAPES, SHAPE_FILTERS)
-    page = results.attach_model_xg(fuse.hydrate(found, items, SHOWN), scored_shots(spark, sf_dir))
-    given = spark.createDataFrame(
-        [(q, [*(SHAPE_FILTERS[q].given() if q in SHAPE_FILTERS else ()), "end_zone"])
-         for q in SHAPES], "qid string, given array<string>")
-    return _claim_columns(notes.claims(page, given))
+    made = jobs.shape(SHAPES, stored_possessions(spark, sf_dir), SHAPE_FILTERS,
+                      scored_shots(spark, sf_dir))
+    return _claim_columns(made["notes"])
 
 
 cte("sim_page", """select s.qid, s.rank, p.*, t.my_xg_sum from similar_top s join poss p using (uid)
@@ -161,9 +147,9 @@ claim_ctes("sm", "sim_page", "where kind <> 'chance'")
 @query("similar_job", with_sql(("sm_claims",), _CLAIMS.format("sm")))
 def similar_job(spark, sf_dir):
     items = stored_possessions(spark, sf_dir)
-    found = fuse.similar(team_seeds(items), token_index(items))["fused"]
-    page = results.attach_model_xg(fuse.hydrate(found, items, SHOWN), scored_shots(spark, sf_dir))
-    return _claim_columns(notes.claims(page))
+    made = jobs.similar(team_seeds(items), items, token_index(items),
+                        shots=scored_shots(spark, sf_dir))
+    return _claim_columns(made["notes"])
 
 
 cte("detail", """select concat(match_id, ':', possession) as uid, event_id, idx, period, minute, second,

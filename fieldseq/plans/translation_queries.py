@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldseq.operators import filters, fuse, metrics, phrase_plan, rubrics, sparse
+from fieldseq.operators import filters, fuse, metrics, rubrics, sparse
+from fieldseq.plans import jobs
 from fieldseq.plans.base import cte, possessions, query, r6, stored_possessions, with_sql
 from fieldseq.plans.eval_set import (EXPECTED_FAILURES, FILTER_DOMINATED, PARAPHRASES, query_table,
                                      stand_in, translated)
@@ -21,10 +22,7 @@ def texts(spark: SparkSession, chosen: dict[str, str]) -> DataFrame:
 
 
 def parsed_queries(spark, items, chosen: dict[str, str]) -> DataFrame:
-    """Translated texts; team and competition names are those of the table."""
-    teams = items.select(F.col("team").alias("name")).distinct()
-    competitions = items.select(F.col("competition").alias("name")).distinct()
-    return phrase_plan.plan(texts(spark, chosen), teams, competitions)
+    return jobs.translate(texts(spark, chosen), items)
 
 
 def eval_texts() -> dict[str, str]:
@@ -143,6 +141,13 @@ def paraphrase_report(spark, sf_dir):
         "expected_failure", F.col("qid").isin(*EXPECTED_FAILURES))
 
 
+@query("paraphrase_summary")
+def paraphrase_summary(spark, sf_dir):
+    """Mean change over the paraphrases that are not expected to fail."""
+    changes = paraphrase_report(spark, sf_dir)
+    return metrics.change_summary(changes.filter(~F.col("expected_failure")))
+
+
 @query("explicit_over_parsed", with_sql(("poss",), " union all ".join(
     "select '{}' as qid, uid from poss where {}".format(q, sql_predicate(
         f.overridden_by(filters.Filters(play_pattern="From Corner", ended_in_shot=False))))
