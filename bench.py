@@ -28,6 +28,7 @@ def main() -> None:
              .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
              .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
              .config("spark.ui.enabled", "false")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

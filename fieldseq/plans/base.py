@@ -28,13 +28,35 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-events, matches = field_events, field_matches
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def _described_once(build: Query) -> Query:
+    """Keep the description of a derived table (not its rows) for the application's lifetime."""
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, build.__name__, sf_dir)
+        if key not in _PLANS:
+            _PLANS[key] = build(spark, sf_dir)
+        return _PLANS[key]
+    return get
+
+
+@_described_once
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_events(spark, sf_dir)
+
+
+@_described_once
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_matches(spark, sf_dir)
+
+
+@_described_once
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return field_shots(events(spark, sf_dir), matches(spark, sf_dir))
 
 
+@_described_once
 def possessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_possessions(events(spark, sf_dir), matches(spark, sf_dir))
 

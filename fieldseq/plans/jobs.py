@@ -1,12 +1,12 @@
 """The user-facing jobs: tables of requests in, result tables out.
 
-Each job returns lazy DataFrames by name. Results are ordered by `rank` within
+Each job returns DataFrames by name, described when first asked for. Results are ordered by `rank` within
 `qid`; nothing is collected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,25 @@ from fieldseq.spec import SUMMARY_COLUMNS, ZONES
 SHOWN = ("match_id", "possession", *SUMMARY_COLUMNS[2:])
 
 
+class Tables(Mapping[str, DataFrame]):
+    """Named result tables; a table nobody asks for costs nothing."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]) -> None:
+        self._makers = makers
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def _page(ranked: DataFrame, items: DataFrame, shots: DataFrame | None) -> DataFrame:
     page = fuse.hydrate(ranked, items, SHOWN)
     return page if shots is None else results.attach_model_xg(page, shots)
@@ -51,7 +70,7 @@ def with_explicit(plans: DataFrame, explicit: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, items: DataFrame, index: SparseIndex,
            vectors: DataFrame | None = None, shots: DataFrame | None = None,
-           limit: int = fuse.LIMIT) -> dict[str, DataFrame]:
+           limit: int = fuse.LIMIT) -> Tables:
     """Hybrid search for a table of queries (qid, filters, hint[, embedding]).
 
     Gives `results`, `rankings` (per ranker), `notes` and `given`. `shots` with a
@@ -60,46 +79,50 @@ def search(queries: DataFrame, items: DataFrame, index: SparseIndex,
     found = fuse.hybrid(queries, items, index, F.split("hint", " "), vectors, limit)
     page = _page(found["fused"], items, shots)
     given = queries.select("qid", filters.given_fields(F.col("filters")).alias("given"))
-    ranked = {k: v.filter(F.col("rank") < limit) for k, v in found.items() if k != "fused"}
-    return {"results": _shown(page), "rankings": fuse.pooled(ranked, index.id_col),
-            "notes": notes.claims(page, given), "given": given, "page": page}
+
+    def rankings() -> DataFrame:
+        return fuse.pooled({k: v.filter(F.col("rank") < limit) for k, v in found.items()
+                            if k != "fused"}, index.id_col)
+    return Tables(results=lambda: _shown(page), rankings=rankings,
+                  notes=lambda: notes.claims(page, given), given=lambda: given,
+                  page=lambda: page)
 
 
 def shape(shapes: Mapping[str, Sequence[str]], items: DataFrame,
           wanted: Mapping[str, Filters] | None = None, shots: DataFrame | None = None,
-          limit: int = fuse.LIMIT) -> dict[str, DataFrame]:
+          limit: int = fuse.LIMIT) -> Tables:
     """Possessions holding drawn zone sequences. A zone off the grid is an error."""
     wanted = wanted or {}
     unknown = sorted({z for zones in shapes.values() for z in zones} - set(ZONES))
     if unknown or not all(shapes.values()):
         raise ValueError(f"unknown zones {unknown} or an empty shape; zones are {list(ZONES)}")
-    matches = fuse.shape_matches(items, shapes, wanted)
     page = _page(fuse.shape_search(items, shapes, wanted, limit), items, shots)
     given = items.sparkSession.createDataFrame(
         [(q, [*wanted.get(q, Filters()).given(), "end_zone"]) for q in shapes],
         "qid string, given array<string>")
-    return {"results": _shown(page), "counts": fuse.shape_counts(matches),
-            "notes": notes.claims(page, given), "page": page}
+    return Tables(
+        results=lambda: _shown(page), notes=lambda: notes.claims(page, given), page=lambda: page,
+        counts=lambda: fuse.shape_counts(fuse.shape_matches(items, shapes, wanted)))
 
 
 def similar(seeds: DataFrame, items: DataFrame, index: SparseIndex,
             vectors: DataFrame | None = None, shots: DataFrame | None = None,
-            limit: int = fuse.LIMIT) -> dict[str, DataFrame]:
+            limit: int = fuse.LIMIT) -> Tables:
     """More like each seed (qid, id); `unknown` lists seeds that are not indexed."""
     found = fuse.similar(seeds, index, vectors, limit)
     page = _page(found["fused"], items, shots)
-    return {"results": _shown(page), "notes": notes.claims(page), "page": page,
-            "unknown": fuse.unknown_seeds(seeds, index)}
+    return Tables(results=lambda: _shown(page), notes=lambda: notes.claims(page),
+                  page=lambda: page, unknown=lambda: fuse.unknown_seeds(seeds, index))
 
 
 def possession(asked: DataFrame, items: DataFrame, events: DataFrame,
-               shots: DataFrame) -> dict[str, DataFrame]:
+               shots: DataFrame) -> Tables:
     """Everything about the asked possessions (uid): summary, events, steps, frame, shots."""
     rows = items.join(asked.select("uid").distinct(), "uid", "left_semi")
     details = results.detail(events, rows)
-    return {"summary": results.summaries(results.attach_model_xg(rows, shots)),
-            "events": details, "steps": results.playback(details),
-            "freeze_frame": results.last_frame(details, shots),
-            "shots": results.shots_of(details, shots), "panel": results.shot_panel(
-                shots.join(rows.select("match_id", "possession"), ["match_id", "possession"],
-                           "left_semi"))}
+    own = shots.join(rows.select("match_id", "possession"), ["match_id", "possession"], "left_semi")
+    return Tables(
+        summary=lambda: results.summaries(results.attach_model_xg(rows, shots)),
+        events=lambda: details, steps=lambda: results.playback(details),
+        freeze_frame=lambda: results.last_frame(details, shots),
+        shots=lambda: results.shots_of(details, shots), panel=lambda: results.shot_panel(own))
