@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldseq.functions import grammar as G
 from fieldseq.operators import dense, filters, sparse
 from fieldseq.operators.skew import spread_join, stacked, top_k
+from fieldseq.sources.tables import written
 
 RRF_K = 60
 POOL = 50
@@ -40,12 +41,14 @@ def pooled(rankings: Mapping[str, DataFrame], item_id: str = "uid",
 
 def hybrid(queries: DataFrame, items: DataFrame, index: sparse.SparseIndex, words: Column,
            vectors: DataFrame | None = None, limit: int = LIMIT, pool: int = POOL,
-           use_filters: bool = True) -> dict[str, DataFrame]:
+           use_filters: bool = True, shared: bool = False) -> dict[str, DataFrame]:
     """Sparse, dense and fused rankings for a table of queries.
 
     `queries` has qid, what `words` reads, `filters` (when used) and an
     `embedding` when `vectors` (item id, embedding) are given. For filtered dense
-    ranking `vectors` also has `allowed`, see `filters.allowed_queries`.
+    ranking `vectors` also has `allowed`, see `filters.allowed_queries`. With
+    `shared`, the single rankings (at most `pool` rows per query) are written to the
+    shared folder once, for callers that read them besides the fused one.
     """
     item_id = index.id_col
     pairs = sparse.scores(sparse.query_vectors(queries, index.vocab, words), index,
@@ -57,6 +60,8 @@ def hybrid(queries: DataFrame, items: DataFrame, index: sparse.SparseIndex, word
         found["dense"] = dense.nearest(
             queries, vectors, pool, item_id=item_id,
             allowed="allowed" if "allowed" in vectors.columns else None)
+    if shared:
+        found = {name: written(ranking, name) for name, ranking in found.items()}
     found["fused"] = fuse(list(found.values()), item_id, limit)
     return found
 

@@ -108,8 +108,10 @@ def ranker_overlap(pool: DataFrame, left: str, right: str, k: int = 10) -> DataF
 def length_diagnostic(ranked: DataFrame, possessions: DataFrame, k: int = 5) -> DataFrame:
     """Median token count of the first k results against that of the corpus."""
     top = ranked.filter(F.col("rank") < k).join(possessions.select("uid", "n_events"), "uid")
-    corpus = possessions.agg(F.median("n_events").alias("m")).scalar()
-    return top.agg(F.median("n_events").alias("median_top")).withColumn("median_corpus", corpus)
+    half = order_stats.linear_quantiles(top, "n_events", [0.5])
+    corpus = order_stats.linear_quantiles(possessions, "n_events", [0.5])
+    return half.select(F.get("edges", 0).alias("median_top"),
+                       F.lit(corpus.select(F.get("edges", 0)).scalar()).alias("median_corpus"))
 
 
 def judging_pool(pool: DataFrame, judged: DataFrame | None = None, k: int = 10,

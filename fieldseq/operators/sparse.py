@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldseq.functions import grammar as G
 from fieldseq.operators.skew import salted_lookup, top_k
+from fieldseq.sources.tables import written
 
 MIN_DF = 2
 LONGEST = 3
@@ -41,6 +42,11 @@ class SparseIndex:
          .write.mode("overwrite").parquet(f"{path}/postings"))
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
 
+    def shared(self) -> SparseIndex:
+        """The same index from tables in the shared folder, for jobs that use it repeatedly."""
+        return SparseIndex(written(self.postings, "postings"), written(self.vocab, "vocab"),
+                           self.id_col)
+
     @staticmethod
     def load(spark, path: str, id_col: str) -> SparseIndex:
         return SparseIndex(spark.read.parquet(f"{path}/postings"),
@@ -154,9 +160,10 @@ def rank(pairs: DataFrame, item_id: str, k: int = POOL, query_id: str = "qid") -
 
 def index_statistics(index: SparseIndex) -> DataFrame:
     """Documents with at least one known gram, vocabulary size and stored entries."""
-    return index.postings.agg(
-        F.count_distinct(index.id_col).alias("n_docs"), F.count("*").alias("nnz"),
-        F.count_distinct("gram").alias("n_grams"))
+    n_grams = index.vocab.agg(F.count("*").alias("n")).scalar()
+    per_doc = index.postings.groupBy(index.id_col).agg(F.count("*").alias("n"))
+    return per_doc.agg(F.count("*").alias("n_docs"), F.sum("n").alias("nnz")) \
+        .withColumn("n_grams", n_grams)
 
 
 def bm25_scores(vectors: DataFrame, index: SparseIndex, lengths: DataFrame, k1: float = 1.2,

@@ -113,7 +113,8 @@ def eval_rankings(spark, sf_dir, limit=10):
         "embedding", dense.zone_profile(zone_line(F.col("hint"))))
     vectors = items.select("uid", dense.zone_profile(F.col("zone_path")).alias("embedding"),
                            filters.allowed_queries(eval_filters()).alias("allowed"))
-    found = fuse.hybrid(asked, items, token_index(items), hint_tokens(), vectors, limit)
+    found = fuse.hybrid(asked, items, token_index(items), hint_tokens(), vectors, limit,
+                        shared=True)
     return items, asked, found
 
 

@@ -94,7 +94,7 @@ cte("translation", f"""select q.qid, coalesce(h.hand_p5, 0) as hand_p5, coalesce
 def hand_and_parsed(spark, sf_dir):
     """Precision of hand-written and translated queries side by side."""
     items = stored_possessions(spark, sf_dir)
-    index = token_index(items)
+    index = token_index(items).shared()
     hand = query_table(spark, EVAL)
     parsed = parsed_queries(spark, items, eval_texts())
     same = metrics.filter_agreement(hand, parsed)
@@ -133,7 +133,7 @@ def translation_report(spark, sf_dir):
 def paraphrase_report(spark, sf_dir):
     """Precision of rephrased texts against the originals, expected failures marked."""
     items = stored_possessions(spark, sf_dir)
-    index = token_index(items)
+    index = token_index(items).shared()
     before = precision(parsed_queries(spark, items, eval_texts()), items, index)
     other = {q: stand_in(t) for q, t in PARAPHRASES.items()}
     after = precision(parsed_queries(spark, items, other), items, index)
