@@ -168,10 +168,10 @@ def export_sizes(spark, sf_dir):
 
 
 @query("vector_update", """
-select doc_id, lang, len(embedding) as width from documents left join embeddings on vec_id = doc_id""")
+select doc_id, lang, len(embedding)::double as width from documents left join embeddings on vec_id = doc_id""")
 def vector_update(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     joined = dense.with_vectors(docs, vectors, "doc_id")
     return joined.select("doc_id", "lang", F.when(F.col("embedding").isNotNull(),
-                                                  F.size("embedding")).cast("bigint").alias("width"))
+                                                  F.size("embedding")).cast("double").alias("width"))

@@ -97,7 +97,7 @@ def asof_preceding(spark, sf_dir):
 
 
 @query("nearest_binding", with_sql(("probes", "targets"), """
-select p.id, p.probe, t.pos as bound from probes p left join (
+select p.id, p.probe, t.pos::double as bound from probes p left join (
   select p.id, p.probe, arg_min(t.pos, (abs(t.pos - p.probe), t.pos)) as pos
   from probes p join targets t on t.id = p.id and t.pos between p.probe - 40 and p.probe + 40
   group by p.id, p.probe) t using (id, probe)"""))
@@ -105,7 +105,8 @@ def nearest_binding(spark, sf_dir):
     """Closest target word within 40 characters of each probe word."""
     found, probes = near_tables(spark, sf_dir)
     targets = found.filter(F.col("value") == "M").select("id", "pos", F.col("pos").alias("value"))
-    return annotate.nearest(targets, probes).withColumnRenamed("value", "bound")
+    found = annotate.nearest(targets, probes)
+    return found.select("id", "probe", F.col("value").cast("double").alias("bound"))
 
 
 @query("hits_outside_spans", with_sql(("ch_hits",), """

@@ -67,6 +67,36 @@ def plan_queries(spark, sf_dir):
         "ended_in_goal", "min_xg")], F.col("filters.min_events").cast("double").alias("min_events"))
 
 
+_WORDS = {"From Corner": "corner", "From Counter": "counter-attack", "From Throw In": "throw-in",
+          "Regular Play": "open play"}
+_HINTS = {("From Corner", False): "SETP@F-R> RECV@F-C",
+          ("From Corner", True): "SETP@F-R> RECV@F-C SHOT@F-C",
+          ("From Throw In", False): "SETP@F-R",
+          ("From Throw In", True): "SETP@F-R PASS@F-R RECV@F-C SHOT@F-C"}
+_HINT_SQL = "case " + " ".join(
+    f"when play_pattern = '{p}' and ended_in_shot = {str(s).lower()} then '{h}'"
+    for (p, s), h in _HINTS.items()) + """ when ended_in_shot then 'RECV@F-C CARRY@F-C SHOT@F-C'
+    else 'RECV@F-C CARRY@F-C CARRY@F-C' end"""
+
+
+@query("plan_descriptions", with_sql(("poss",), f"""
+select uid, team, play_pattern, case when ended_in_shot then true end as ended_in_shot,
+  {_HINT_SQL} as hint, 'ended here' as ignored
+from poss"""))
+def plan_descriptions(spark, sf_dir):
+    """Each possession described in words, and the descriptions translated back."""
+    items = stored_possessions(spark, sf_dir)
+    kind = F.lit(None)
+    for pattern, words in _WORDS.items():
+        kind = F.when(F.col("play_pattern") == pattern, words).otherwise(kind)
+    text = F.concat_ws(" ", "team", kind, F.when(F.col("ended_in_shot"), "ending in a shot"),
+                       F.lit("ended here"))
+    described = items.select(F.col("uid").alias("qid"), text.alias("text"))
+    return jobs.translate(described, items).select(
+        F.col("qid").alias("uid"), "filters.team", "filters.play_pattern", "filters.ended_in_shot",
+        "hint", "ignored")
+
+
 cte("pcand", " union all ".join(
     f"select '{q}' as qid, uid from poss where {sql_predicate(f)}"
     for q, (_, f, _h) in PARSED.items()), ("poss",))
