@@ -45,9 +45,12 @@ def _beat(action: str | Column, band: str | Column | None, channel: str | Column
 
 
 def _lookup(key: Column, table: dict[str, str], default: Column) -> Column:
-    out = default
+    keys_of: dict[str, list[str]] = {}
     for k, v in table.items():
-        out = F.when(key == k, v).otherwise(out)
+        keys_of.setdefault(v, []).append(k)
+    out = default
+    for v, keys in keys_of.items():
+        out = F.when(key.isin(keys), v).otherwise(out)
     return out
 
 
