@@ -14,10 +14,11 @@ _TEST = "('1:0', '2:1')"
 cte("mrows", """select *, concat(competition_id, ':', season_id) as grp from shots
     where shot_type <> 'Penalty' and distance is not null and angle is not null""", ("shots",))
 # Fixed formulas of distance and angle in place of trained models, so both
-# engines score alike. The first is rounded to give equal scores.
+# engines score alike. The first is rounded coarsely to give equal scores, the second
+# finely, as the last digit of exp() differs between math libraries.
 cte("preds", """select event_id, grp, is_goal::int as y,
     round(1 / (1 + exp(0.5::double + 0.03::double * distance)), 2) as p_base,
-    1 / (1 + exp(0.9::double + 0.045::double * distance - 1.1::double * angle)) as p_mine,
+    round(1 / (1 + exp(0.9::double + 0.045::double * distance - 1.1::double * angle)), 9) as p_mine,
     provider_xg as p_ref from mrows""", ("mrows",))
 cte("plong", """select event_id, grp, y, 'baseline' as model, p_base as p from preds
     union all select event_id, grp, y, 'mine', p_mine from preds
@@ -42,7 +43,7 @@ def formula_predictions(spark, sf_dir):
     return rows.select(
         "event_id", "group", "is_goal",
         F.round(1 / (1 + F.exp(0.5 + 0.03 * d)), 2).alias("p_base"),
-        (1 / (1 + F.exp(0.9 + 0.045 * d - 1.1 * a))).alias("p_mine"),
+        F.round(1 / (1 + F.exp(0.9 + 0.045 * d - 1.1 * a)), 9).alias("p_mine"),
         F.col("provider_xg").alias("p_ref"))
 
 
