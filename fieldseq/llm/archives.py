@@ -55,9 +55,9 @@ def records(pages: DataFrame, written_at: str, least: int = REVISIT_BYTES) -> Da
     heads = headers(pages, least)
     payloads = (pages.select(F.coalesce(F.col("html"), F.lit("")).alias("payload"))
                 .withColumn("digest", F.sha2("payload", 256)).dropDuplicates(["digest"]))
-    full = heads.filter("kind = 'response'").join(payloads, "digest")
-    short = heads.filter("kind = 'revisit'").withColumn("payload", F.lit(""))
-    both = full.unionByName(short)
+    both = heads.join(payloads, (heads["digest"] == payloads["digest"])
+                      & (heads["kind"] == "response"), "left").drop(payloads["digest"])
+    both = both.withColumn("payload", F.coalesce("payload", F.lit("")))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                           "Content-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))

@@ -1,6 +1,6 @@
 """All registered queries of this package. Importing the modules fills the registry."""
 
-from fieldseq.llm import archives, mixing  # noqa: F401
+from fieldseq.llm import archives, mixing, secrets, url_filter, vector_join  # noqa: F401
 from fieldseq.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
