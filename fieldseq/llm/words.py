@@ -67,8 +67,9 @@ def _slices(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def word_spans(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice: hash, index of the text, and byte length of every word, in order."""
+def word_spans(texts: pa.Array
+               ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice: hash, index of the text, byte length and first byte of every word."""
     raw, offsets = text_buffers(texts)
     for lo, hi in _slices(raw, offsets):
         part = raw[lo:hi]
@@ -88,7 +89,7 @@ def word_spans(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         hashes = np.add.reduceat(value[starts[0]:] * powers[place], starts - starts[0])
         length = np.add.reduceat((~blank[starts[0]:]).astype(np.int64), starts - starts[0])
         doc = np.searchsorted(offsets, starts + lo, "right") - 1
-        yield mix(hashes + length.astype(np.uint64) * _LANES[0]), doc, length
+        yield mix(hashes + length.astype(np.uint64) * _LANES[0]), doc, length, starts + lo
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
