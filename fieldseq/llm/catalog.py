@@ -1,7 +1,7 @@
 """All registered queries of this package. Importing the modules fills the registry."""
 
-from fieldseq.llm import (archives, language, mixing, quality_crf, secrets,  # noqa: F401
-                          url_filter, vector_join)
+from fieldseq.llm import (archives, decontaminate, language, mixing, quality_crf,  # noqa: F401
+                          secrets, url_filter, vector_join)
 from fieldseq.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
