@@ -29,7 +29,7 @@ from fieldseq.llm.words import shingles, text_buffers, words
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, TRIPLE = 0.5, 0.5, 3
 FEW_WORDS = 8
-BLOCK, WIDE_BLOCKS, STRIDE = 8, 32, 64
+BLOCK, RANGES, STRIDE, ROWS = 8, 256, 64, 16384
 ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 32 << 20
 _SENTENCE = re.compile(r"[.!?]+\s+(?=\S)")
 
@@ -63,14 +63,20 @@ class Index:
     answer: list[np.ndarray]
     stride: int
 
-    def wand(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All items whose impacts over the given terms reach the threshold, with scores.
+    def wand(self, terms: np.ndarray, threshold: float, first: int, stop: int
+             ) -> list[tuple[int, float]]:
+        """Items from `first` to `stop` whose impacts over the terms reach the threshold.
 
         Cursors are kept in item order; the pivot is the first cursor at which the terms'
         maxima add up to the threshold. Before the pivot item is scored, the maxima of its
         blocks must add up as well, else all cursors skip past the nearest block end.
         """
-        cursors = [[int(self.start[t]), int(self.start[t + 1]), int(t)] for t in terms]
+        cursors = []
+        for t in terms:
+            own = self.items[self.start[t]:self.start[t + 1]]
+            a, b = np.searchsorted(own, (first, stop)) + self.start[t]
+            if a < b:
+                cursors.append([int(a), int(b), int(t)])
         found = []
         while cursors:
             cursors.sort(key=lambda c: self.items[c[0]])
@@ -85,7 +91,7 @@ class Index:
             item = int(self.items[cursors[pivot][0]])
             while pivot + 1 < len(cursors) and self.items[cursors[pivot + 1][0]] == item:
                 pivot += 1
-            bound, end = 0.0, len(self.item_ids)
+            bound, end = 0.0, stop
             for c in cursors[:pivot + 1]:
                 lo, hi = int(self.block_start[c[2]]), int(self.block_start[c[2] + 1])
                 k = lo + int(np.searchsorted(self.block_last[lo:hi], item))
@@ -133,8 +139,8 @@ def build_index(item_ids: list[int], texts: list[str], df: dict[int, int], n_ite
     heads = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(start, start[1:])]) \
         if len(terms) else np.zeros(0, np.int64)
     ends = np.append(heads[1:], len(item)) if len(heads) else heads
-    span = max(1, -(-n // WIDE_BLOCKS))
-    wide = np.zeros((len(terms), WIDE_BLOCKS), np.float32)
+    span = max(1, -(-n // RANGES))
+    wide = np.zeros((len(terms), RANGES), np.float32)
     np.maximum.at(wide, (term, item // span), weight.astype(np.float32) * np.float32(1 + 1e-6))
     cut = [answer_start(t) for t in texts]
     first = np.concatenate(([0], np.cumsum(size)))
@@ -187,15 +193,21 @@ def _hits(index: Index, h: np.ndarray, doc: np.ndarray, n: int, threshold: float
     near = passage(np.bincount(segment, index.most[term], total)) >= threshold - 1e-9
     wanted = near.copy()
     wanted[1:] |= near[:-1]
-    rows = np.flatnonzero(wanted[segment])
-    by_range = np.zeros((total, WIDE_BLOCKS), np.float32)
-    if len(rows):
-        heads = np.flatnonzero(np.append(True, segment[rows][1:] != segment[rows][:-1]))
-        by_range[segment[rows][heads]] = np.add.reduceat(index.wide[term[rows]], heads, axis=0)
-    near &= (passage(by_range) >= threshold - 1e-4).any(axis=1)
-    for s in np.flatnonzero(near):
+    by_range = np.zeros((total, RANGES), np.float32)
+    rows, at = np.flatnonzero(wanted[segment]), 0
+    while at < len(rows):  # some rows at a time, whole segments
+        to = int(np.searchsorted(segment[rows], segment[rows[min(at + ROWS, len(rows)) - 1]], "right"))
+        part = rows[at:to]
+        heads = np.flatnonzero(np.append(True, segment[part][1:] != segment[part][:-1]))
+        by_range[segment[part][heads]] = np.add.reduceat(index.wide[term[part]], heads, axis=0)
+        at = to
+    span = max(1, -(-len(index.item_ids) // RANGES))
+    close = passage(by_range) >= threshold - 1e-4
+    for s in np.flatnonzero(near & close.any(axis=1)):
         stop = s + 1 if last[s] else s + 2
-        found = index.wand(np.unique(term[cut[s]:cut[stop]]), threshold)
+        own = np.unique(term[cut[s]:cut[stop]])
+        found = [x for r in np.flatnonzero(close[s])
+                 for x in index.wand(own, threshold, r * span, (r + 1) * span)]
         if not found:
             continue
         d = int(np.searchsorted(seg_first, s, "right")) - 1
