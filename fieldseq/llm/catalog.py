@@ -1,7 +1,7 @@
 """All registered queries of this package. Importing the modules fills the registry."""
 
-from fieldseq.llm import (archives, decontaminate, language, mixing, ngram_join,  # noqa: F401
-                          quality_crf, secrets, url_filter, vector_join)
+from fieldseq.llm import (archives, decontaminate, language, mixing,  # noqa: F401
+                          ngram_join, ngram_lm, quality_crf, secrets, url_filter, vector_join)
 from fieldseq.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
