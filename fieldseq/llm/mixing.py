@@ -115,8 +115,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         most: float = 2.0, seed: int = 7) -> DataFrame:
     """Copies of each document in a mix of sources.
 
-    Returns doc_id, source, size, source_size, target, copies, taken, one row per
-    input row. Null texts have size 0 and take nothing; null sources are a source of
+    Returns doc_id, source, size, k, source_size, target, copies, taken, one row per
+    input row; k numbers rows equal in id, source and size. Null texts have size 0 and take nothing; null sources are a source of
     their own; equal rows are rounded one by one and are interchangeable. Reruns agree:
     chunks and draws depend on the rows alone. An empty table gives no rows.
     """
@@ -152,10 +152,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     for part in parts[1:]:
         out = out.unionByName(part)
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
+    return out.select("doc_id", "source", "size", "k", "source_size", "target", copies.alias("copies"),
                       (copies * F.col("size")).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """Documents the mix takes, all columns and size, target, copies and taken."""
+    names = [c for c in docs.columns if c not in ("size", "target", "copies", "taken")]
+    alike = Window.partitionBy("doc_id", "source", "size").orderBy("text")
+    rows = (docs.select(*names, n_words("text").alias("size"))
+            .withColumn("k", F.row_number().over(alike)))
+    taken = mix(docs, **settings).filter("copies > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
+        F.col("k").alias("_k"), "target", "copies", "taken")
+    return (rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))
+                      & F.col("source").eqNullSafe(F.col("_source"))
+                      & (F.col("size") == F.col("_size")) & (F.col("k") == F.col("_k")))
+            .select(*names, "size", "target", "copies", "taken"))
+
+
 @query("op9_source_mix")
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(

@@ -65,7 +65,8 @@ def _split(fragments: int, k: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, marks = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)
+                          for i in (0, 2))
             _, offsets = text_buffers(batch.column(1))
             for a0, b0 in groups(offsets):
                 for a in range(a0, b0, GROUP_DOCS):
@@ -89,7 +90,7 @@ def _split(fragments: int, k: int):
                         pa.array([_HOME], pa.int32()), pa.array([number]),
                         pa.array([_pack(token[home])], pa.binary()),
                         pa.array([doc[home].astype(np.uint16).tobytes()], pa.binary()),
-                        pa.array([ids[a:b].tobytes()], pa.binary()),
+                        pa.array([np.stack((ids[a:b], marks[a:b])).tobytes()], pa.binary()),
                         pa.array([size.astype(np.int64).tobytes()], pa.binary()),
                         pa.array([keys.tobytes()], pa.binary())], schema=_SENT)
                     sent = order[lead]
@@ -139,7 +140,7 @@ def _gathered(share: tuple[int, int]):
 
     def apply(rows: pa.Table) -> pa.Table:
         home = next(i for i, x in enumerate(rows["ids"]) if x.is_valid)
-        ids = np.frombuffer(rows["ids"][home].as_buffer(), np.int64)
+        ids, marks = np.frombuffer(rows["ids"][home].as_buffer(), np.int64).reshape(2, -1)
         size = np.frombuffer(rows["sizes"][home].as_buffer(), np.int64)
         keys = np.frombuffer(rows["keys"][home].as_buffer(), np.int64).reshape(-1, 2)
         token = np.concatenate([_unpack(x.as_buffer()) for x in rows["tokens"]])
@@ -156,17 +157,17 @@ def _gathered(share: tuple[int, int]):
         chosen = [token[cut[i]:cut[i + 1]] if able[i] else None for i in range(len(ids))]
         batch = rows["batch"][0].as_py()
         return pa.table([
-            pa.array(ids), pa.array((batch << 16) + np.arange(len(ids))), pa.array(size),
+            pa.array(ids), pa.array(marks), pa.array((batch << 16) + np.arange(len(ids))), pa.array(size),
             pa.array(keys[:, 0]), pa.array(keys[:, 1]),
             pa.array([None if x is None else x[:prefix[i]].astype(np.int64)
                       for i, x in enumerate(chosen)], pa.list_(pa.int64())),
             pa.array([None if x is None else _pack(x) for x in chosen], pa.binary())],
-            ["doc_id", "uid", "n", "key1", "key2", "prefix", "tokens"])
+            ["doc_id", "text_hash", "uid", "n", "key1", "key2", "prefix", "tokens"])
     return apply
 
 
 def shingle_sets(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE) -> DataFrame:
-    """(doc_id, uid, n, key1, key2, prefix, tokens) of all documents.
+    """(doc_id, text_hash, uid, n, key1, key2, prefix, tokens) of all documents.
 
     `tokens` (packed) and `prefix` are null for documents that share less than `share` of
     their shingles with any others. `docs` should be a table scan, whose tasks see the
@@ -175,13 +176,13 @@ def shingle_sets(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE) ->
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(shuffle_width(spark), -(-size // FRAGMENT_BYTES))
-    sent = (docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "text")
-            .mapInArrow(_split(fragments, k), _SENT_SQL))
+    sent = (docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "text",
+                        F.xxhash64("text")).mapInArrow(_split(fragments, k), _SENT_SQL))
     where = F.when(F.col("fragment") == _HOME, F.pmod("batch", F.lit(fragments))).otherwise(F.lit(-1))
     told = (sent.groupBy("fragment", where.alias("_at")).applyInArrow(
         _shared_in_fragment, "batch long, tokens binary, at binary, ids binary, sizes binary, keys binary"))
     return (told.groupBy("batch").applyInArrow(
-        _gathered(share), "doc_id long, uid long, n long, key1 long, key2 long, "
+        _gathered(share), "doc_id long, text_hash long, uid long, n long, key1 long, key2 long, "
         "prefix array<long>, tokens binary"))
 
 
@@ -234,7 +235,8 @@ def near_texts(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE, star
                ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of `share` or more.
 
-    Returns doc_id, n_shingles, component_id (smallest doc_id) per input row. Null, empty and
+    Returns doc_id, text_hash, n_shingles, component_id (smallest doc_id) and group (a number
+    per component) per input row. Null, empty and
     blank texts have no shingles and link with nothing; repeated rows link with each other.
     A null doc_id is returned as null and never names a component unless all ids in it are
     null. Other columns are ignored; an empty table gives no rows. `share` is a fraction of
@@ -281,7 +283,7 @@ def near_texts(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE, star
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         roots = stored(components(links), "roots")
-    member = sets.select("doc_id", "uid", "n", "key1", "key2")
+    member = sets.select("doc_id", "text_hash", "uid", "n", "key1", "key2")
     classes = reps.select("key1", "key2", "n", F.col("uid").alias("rep"))
     if roots is not None:
         named = roots.withColumnRenamed("node", "rep")
@@ -291,11 +293,27 @@ def near_texts(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE, star
     placed = stored(member.join(classes.drop("rep"), ["key1", "key2", "n"], "left")
                     .withColumn("root", F.coalesce("root", "uid"))
                     .withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
-                    .select("doc_id", "n", "root"), "classes")
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+                    .select("doc_id", "text_hash", "n", F.col("root").alias("group")), "classes")
+    least = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, "group").select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "group")
+
+
+def one_of_each(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE) -> DataFrame:
+    """The documents with the smallest id of each component, all columns kept.
+
+    Rows equal in id and text stay once; documents without shingles all stay.
+    """
+    me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = (near_texts(docs, k, share).groupBy("group").agg(F.min(me).alias("f"))
+             .select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash")))
+    hashed = docs.withColumn("_text", F.xxhash64("text"))
+    return (hashed.join(first, F.col("doc_id").eqNullSafe(F.col("_id"))
+                        & (F.col("_text") == F.col("_hash")), "left_semi")
+            .dropDuplicates(["doc_id", "_text"]).drop("_text"))
 
 
 @query("op3_ngram_jaccard_join")
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_texts(table(spark, sf_dir, "documents"))
+    return near_texts(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
