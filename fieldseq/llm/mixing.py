@@ -161,13 +161,13 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     names = [c for c in docs.columns if c not in ("size", "target", "copies", "taken")]
     alike = Window.partitionBy("doc_id", "source", "size").orderBy("text")
     rows = (docs.select(*names, n_words("text").alias("size"))
-            .withColumn("k", F.row_number().over(alike)))
+            .withColumn("_mix_k", F.row_number().over(alike)))
     taken = mix(docs, **settings).filter("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        F.col("k").alias("_k"), "target", "copies", "taken")
-    return (rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))
-                      & F.col("source").eqNullSafe(F.col("_source"))
-                      & (F.col("size") == F.col("_size")) & (F.col("k") == F.col("_k")))
+        F.col("doc_id").alias("_mix_id_"), F.col("source").alias("_mix_source_"), F.col("size").alias("_mix_size_"),
+        F.col("k").alias("_mix_k_"), "target", "copies", "taken")
+    return (rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_mix_id_"))
+                      & F.col("source").eqNullSafe(F.col("_mix_source_"))
+                      & (F.col("size") == F.col("_mix_size_")) & (F.col("_mix_k") == F.col("_mix_k_")))
             .select(*names, "size", "target", "copies", "taken"))
 
 

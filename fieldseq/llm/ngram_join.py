@@ -306,11 +306,11 @@ def one_of_each(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE) ->
     """
     me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = (near_texts(docs, k, share).groupBy("group").agg(F.min(me).alias("f"))
-             .select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash")))
-    hashed = docs.withColumn("_text", F.xxhash64("text"))
-    return (hashed.join(first, F.col("doc_id").eqNullSafe(F.col("_id"))
-                        & (F.col("_text") == F.col("_hash")), "left_semi")
-            .dropDuplicates(["doc_id", "_text"]).drop("_text"))
+             .select(F.col("f.doc_id").alias("_near_id"), F.col("f.text_hash").alias("_near_hash")))
+    hashed = docs.withColumn("_near_text", F.xxhash64("text"))
+    return (hashed.join(first, F.col("doc_id").eqNullSafe(F.col("_near_id"))
+                        & (F.col("_near_text") == F.col("_near_hash")), "left_semi")
+            .dropDuplicates(["doc_id", "_near_text"]).drop("_near_text"))
 
 
 @query("op3_ngram_jaccard_join")

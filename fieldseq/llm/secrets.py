@@ -189,21 +189,21 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE) -> DataFrame:
     """
     base = docs.drop("spans")
     picked = stored(candidates(trigram_index(base, rules), rules), "secret_candidates")
-    picked = picked.select(F.col("doc_id").alias("_id"), F.col("kinds").alias("_kinds"))
-    joined = base.join(picked, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    picked = picked.select(F.col("doc_id").alias("_secret_doc"), F.col("kinds").alias("_secret_kinds"))
+    joined = base.join(picked, F.col("doc_id").eqNullSafe(F.col("_secret_doc")), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.lit([]).cast("array<struct<start:int,number:int,end:int>>")
     lists = []
     for number, rule in enumerate(rules):
         hits = _found(text, rule, number)
         if trigram_query(rule.pattern):
-            hits = F.when(F.array_contains("_kinds", rule.kind), hits).otherwise(none)
+            hits = F.when(F.array_contains("_secret_kinds", rule.kind), hits).otherwise(none)
         lists.append(hits)
     kinds = F.array(*[F.lit(rule.kind) for rule in rules])
     named = F.transform(F.sort_array(F.concat(*lists)), lambda s: F.struct(
         s["start"].alias("start"), F.element_at(kinds, s["number"] + 1).alias("kind"),
         s["end"].alias("end")))
-    return joined.withColumn("spans", named).drop("_id", "_kinds")
+    return joined.withColumn("spans", named).drop("_secret_doc", "_secret_kinds")
 
 
 def redact(scanned: DataFrame, mark: str = MARK) -> DataFrame:
