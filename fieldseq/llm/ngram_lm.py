@@ -23,8 +23,8 @@ from fieldseq.llm.elias_fano import Trie, coded, find, log10_of
 from fieldseq.llm.language import groups, is_held_out
 from fieldseq.llm.words import mix, text_buffers, word_spans
 
-GROUP_BYTES, GROUP_DOCS = 8 << 20, 30_000
-SHARD_BYTES, CONTEXT_TOKENS = 16 << 20, 1_000_000
+GROUP_BYTES, GROUP_DOCS = 4 << 20, 30_000
+SHARD_BYTES, CONTEXT_TOKENS, PARTS = 12 << 20, 1_000_000, 8
 LEAST_SHARE, DISCOUNT, LENGTHS = 1e-6, 0.75, 64
 _BEGIN, _END = np.uint64(1), np.uint64(2)
 _LOW = np.uint64((1 << 48) - 1)
@@ -53,22 +53,24 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Unigrams:
-    """Counts of frequent words, and the share of all other words by length."""
+    """Counts of frequent words, most frequent first, and the share of other words by length."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, by_size: dict[int, tuple[int, int]],
                  n_texts: int, total: int, distinct: int) -> None:
-        order = np.argsort(words)
+        order = np.lexsort((words, -counts))
         self.words, self.counts = words[order], counts[order]
         self.total, self.distinct, self.n_texts = total, distinct, n_texts
-        self.by_size = np.array([(by_size.get(i, (0, 0))[0] + 1.0) / (by_size.get(i, (0, 0))[1] + 1)
-                                 for i in range(LENGTHS)])
+        self.rank = np.argsort(self.words)
+        self.sorted = self.words[self.rank]
+        self.codes = coded(np.maximum(self.counts, 0.5) / (total + LENGTHS))
+        rare = np.array([(by_size.get(i, (0, 0))[0] + 1.0) / (by_size.get(i, (0, 0))[1] + 1)
+                         for i in range(LENGTHS)])
+        self.rare_codes = coded(rare / (total + LENGTHS))
 
-    def look_up(self, words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact count of each frequent word (else -1), and the code of its probability."""
-        at, known = find(self.words, words)
-        count = np.where(known, self.counts[at] if len(self.words) else 0, -1)
-        weight = np.where(known, np.maximum(count, 0.5), self.by_size[size])
-        return count, coded(weight / (self.total + LENGTHS))
+    def number(self, words: np.ndarray) -> np.ndarray:
+        """Place of each word among the frequent ones, -1 for others."""
+        at, known = find(self.sorted, words)
+        return np.where(known, self.rank[at], -1)
 
 
 def count_unigrams(docs: DataFrame, least_share: float = LEAST_SHARE) -> Unigrams:
@@ -84,8 +86,9 @@ def count_unigrams(docs: DataFrame, least_share: float = LEAST_SHARE) -> Unigram
     frequent = counts.filter(often).select("word", "n").toPandas()
     rare = {r["size"]: (r.n, r.v) for r in counts.filter(~often).groupBy("size").agg(
         F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    return Unigrams(np.append(frequent["word"].to_numpy(np.uint64), _END),
-                    np.append(frequent["n"].to_numpy(np.int64), n_texts), rare, n_texts, total, distinct)
+    return Unigrams(np.append(frequent["word"].to_numpy(np.uint64), (_END, _BEGIN)),
+                    np.append(frequent["n"].to_numpy(np.int64), (n_texts, 0)), rare, docs.count(),
+                    total, distinct)
 
 
 def _press(values: np.ndarray) -> bytes:
@@ -103,17 +106,17 @@ def _unpress(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
 
 
-_SENT = ["shard", "batch", "words", "codes", "w1", "w2", "w3", "at", "home"]
-_SENT_SQL = ("shard int, batch long, words binary, codes binary, w1 binary, w2 binary, w3 binary, "
-             "at binary, home binary")
+_SENT = ["shard", "batch", "often", "words", "sizes", "w1", "w2", "w3", "at", "home"]
+_SENT_SQL = ("shard int, batch long, often binary, words binary, sizes binary, w1 binary, w2 binary, "
+             "w3 binary, at binary, home binary")
 _HOME = -1
 
 
 def _context(before: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Shard key of a word in the middle; very frequent ones are dealt by the word before."""
+    """Shard key of a word in the middle; very frequent ones are dealt by what is before."""
     parts = np.maximum(1, -(-count // CONTEXT_TOKENS)).astype(np.uint64)
-    dealt = mix(word + (mix(before) % parts + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) & _LOW
-    return np.where(parts > 1, np.maximum(dealt, np.uint64(3)), word)
+    dealt = mix(word + (mix(before) % parts + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return np.where(parts > 1, dealt, word)
 
 
 def _events(shards: int, shared):
@@ -128,46 +131,53 @@ def _events(shards: int, shared):
                 per_doc = np.bincount(doc, minlength=n)
                 # the words of each text, then its end
                 now = np.full(len(word) + n, _END)
-                length = np.zeros(len(now), np.int64)
+                length = np.zeros(len(now), np.uint8)
                 place = np.arange(len(word)) + doc
                 now[place], length[place] = word, size
-                owner = np.repeat(np.arange(n), per_doc + 1)
+                owner = np.repeat(np.arange(n, dtype=np.int32), per_doc + 1)
                 heads = np.concatenate(([0], np.cumsum(per_doc + 1)))[:-1]
                 kinds, sample, w3 = np.unique(np.append(now, _BEGIN), return_index=True,
                                               return_inverse=True)
-                count, code = uni.look_up(kinds, np.append(length, 0)[sample])
+                length = np.append(length, np.uint8(0))[sample]
+                often = uni.number(kinds)
+                count = np.where(often >= 0, uni.counts[often], -1)
+                # numbers of kinds: frequent ones first, most frequent first
+                order = np.lexsort((kinds, np.where(often >= 0, often, len(uni.words))))
+                back = np.empty(len(order), np.int32)
+                back[order] = np.arange(len(order), dtype=np.int32)
+                kinds, length, often, count = (x[order] for x in (kinds, length, often, count))
+                w3 = back[w3]
                 begin, w3 = w3[-1], w3[:-1]
                 w2 = np.concatenate(([begin], w3[:-1]))
                 w2[heads] = begin
                 w1 = np.concatenate(([begin], w2[:-1]))
                 w1[heads] = begin
                 # frequent words are counted here, the others where their contexts are
-                own = (count >= 0)[w3]
-                base = np.bincount(owner, np.where(own, np.log10(np.maximum(count, 0) + 0.5)[w3], 0.0), n)
-                known = np.bincount(owner, own & (count[w3] > 0), n)
+                base = np.bincount(owner, np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.5), 0.0)[w3], n)
+                known = np.bincount(owner, (count > 0)[w3], n)
                 home = np.concatenate((ids[a:b], per_doc + 1, known.astype(np.int64))).tobytes() \
                     + base.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_HOME], pa.int32()), pa.array([number]),
-                     *[pa.nulls(1, pa.binary())] * 6, pa.array([home], pa.binary())], _SENT)
-                middle = _context(kinds[w1], kinds[w2], np.maximum(count, 0)[w2])
-                shard = (mix(middle) % np.uint64(shards)).astype(np.int64)
+                     *[pa.nulls(1, pa.binary())] * 7, pa.array([home], pa.binary())], _SENT)
+                before = kinds[w1]
+                before[heads] = mix(ids[a:b].astype(np.uint64))
+                many = np.where(kinds == _BEGIN, uni.n_texts, np.maximum(count, 0))
+                shard = (mix(_context(before, kinds[w2], many[w2])) % np.uint64(shards)).astype(np.int32)
                 order = np.lexsort((w2, shard))
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 at = np.where(train[a:b][owner], owner | _TRAIN, owner).astype(np.uint16)
-                flag = (count >= 0) | (kinds == _BEGIN)
                 rows: list[list] = []
                 slot = np.zeros(len(kinds), np.int64)
                 for s in np.flatnonzero(np.diff(cut)):
                     take = order[cut[s]:cut[s + 1]]
-                    used = np.concatenate((w1[take], w2[take], w3[take]))
-                    seen = np.bincount(used, minlength=len(kinds))
-                    local = np.flatnonzero(seen)
-                    local = local[np.argsort(-seen[local], kind="stable")]
+                    local = np.unique(np.concatenate((w1[take], w2[take], w3[take])))
                     slot[local] = np.arange(len(local))
+                    split = int((often[local] >= 0).sum())
                     kind = np.uint16 if len(local) < 65536 else np.uint32
-                    rows.append([s, kinds[local].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
-                                 _press(((code[local].astype(np.uint32) << 1) | flag[local]).astype(np.uint32)),
+                    rows.append([s, _press(np.diff(often[local[:split]], prepend=0).astype(np.uint32)),
+                                 _press(np.diff(kinds[local[split:]], prepend=np.uint64(0))),
+                                 _press(length[local[split:]]),
                                  *[_press(slot[x[take]].astype(kind)) for x in (w1, w2, w3)],
                                  _press(at[take])])
                 columns = list(zip(*rows))
@@ -179,68 +189,83 @@ def _events(shards: int, shared):
     return apply
 
 
+def _unpacked(rows: pa.Table, uni: Unigrams):
+    """Words of a shard (hash, code of the unigram probability, whether frequent), and its events."""
+    often, rare, sizes, first = [], [], [], [0]
+    for i in range(len(rows)):
+        often.append(uni.words[np.cumsum(_unpress(rows["often"][i].as_py(), np.uint32), dtype=np.int64)])
+        rare.append(np.cumsum(_unpress(rows["words"][i].as_py(), np.uint64), dtype=np.uint64))
+        sizes.append(_unpress(rows["sizes"][i].as_py(), np.uint8))
+        first.append(first[-1] + len(often[-1]) + len(rare[-1]))
+    both = np.concatenate([x for pair in zip(often, rare) for x in pair])
+    size = np.concatenate([x for o, z in zip(often, sizes) for x in (np.zeros(len(o), np.uint8), z)])
+    kinds, sample, slot = np.unique(both, return_index=True, return_inverse=True)
+    number, size, slot = uni.number(kinds), size[sample], slot.astype(np.int32)
+    codes = np.where(number >= 0, uni.codes[number], uni.rare_codes[size])
+    events = []
+    for name in ("w1", "w2", "w3"):
+        parts = []
+        for i in range(len(rows)):
+            kind = np.uint16 if first[i + 1] - first[i] < 65536 else np.uint32
+            parts.append(slot[first[i]:first[i + 1]][_unpress(rows[name][i].as_py(), kind)])
+        events.append(np.concatenate(parts))
+    at = [_unpress(x.as_py(), np.uint16) for x in rows["at"]]
+    return kinds, number, log10_of(codes), events, at
+
+
 def _score_shard(shared):
-    """Count, build the trie, score; per batch and text the sums of this shard's events."""
+    """Count, build tries, score; per batch and text the sums of this shard's events.
+
+    The shard is worked off in parts of whole contexts, each with a trie of its own, so
+    only one part is spread out in memory.
+    """
     def apply(rows: pa.Table) -> pa.Table:
         names = ["batch", "at", "known", "base", "score", "home"]
         if rows["shard"][0].as_py() == _HOME:
             none = pa.nulls(len(rows), pa.binary())
             return pa.table([rows["batch"], none, none, none, none, rows["home"]], names)
         uni: Unigrams = shared.value
-        raw = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 6) for x in rows["words"]]
-        packed = np.zeros((sum(map(len, raw)), 8), np.uint8)
-        packed[:, :6] = np.concatenate(raw)
-        kinds, sample, slot = np.unique(packed.view("<u8").ravel(), return_index=True,
-                                        return_inverse=True)
-        codes = np.concatenate([_unpress(x.as_py(), np.uint32) for x in rows["codes"]])[sample]
-        low, frequent = log10_of(codes >> 1), (codes & 1).astype(bool)
-        first = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
-        ids: list[list[np.ndarray]] = [[], [], []]
-        ats = []
-        for i in range(len(rows)):
-            kind = np.uint16 if len(raw[i]) < 65536 else np.uint32
-            for j, name in enumerate(("w1", "w2", "w3")):
-                local = _unpress(rows[name][i].as_py(), kind)
-                ids[j].append(slot[first[i]:first[i + 1]][local])
-            ats.append(_unpress(rows["at"][i].as_py(), np.uint16))
-        w1, w2, w3 = (np.concatenate(x) for x in ids)
-        del ids
-        batch = np.repeat(np.arange(len(ats)), [len(x) for x in ats])
-        at = np.concatenate(ats)
-        train, doc = (at & _TRAIN) > 0, (at & 0x7FFF).astype(np.int64)
+        batches = rows["batch"]
+        kinds, number, low, (w1, w2, w3), at = _unpacked(rows, uni)
+        del rows
         width = len(kinds)
-        context = w2
-        count, _ = uni.look_up(kinds, np.zeros(width, np.int64))
-        if (count > CONTEXT_TOKENS).any():  # contexts dealt by the word before are their own
-            dealt = _context(kinds[w1], kinds[w2], np.maximum(count, 0)[w2])
-            extra, back = np.unique(dealt, return_inverse=True)
-            context = back
-        else:
-            _, context = np.unique(w2, return_inverse=True)
-        key, inverse = np.unique((context * width + w1) * width + w3, return_inverse=True)
-        seen = np.bincount(inverse, train, len(key))
-        d3, d12 = key % width, key // width
-        d1, d2 = d12 % width, d12 // width
-        learned = np.flatnonzero(seen)
-        trie = Trie(d1[learned], d2[learned], d3[learned], seen[learned], 10.0 ** low, width, DISCOUNT)
-        value = trie.log10(d1, d2, d3, low)[inverse]
-        trie.close()
-        alone = ~frequent[w2]
-        uses = np.bincount(w2[train], minlength=width)
-        where = batch * 0x8000 + doc
-        spots, back = np.unique(where, return_inverse=True)
-        score = np.bincount(back, value)
-        base = np.bincount(back, np.where(alone, np.log10(uses[w2] + 0.5), 0.0))
-        known = np.bincount(back, alone & (uses[w2] > 0))
-        cut = np.searchsorted(spots, np.arange(len(ats) + 1) * 0x8000)
-        parts = [slice(x, y) for x, y in zip(cut, cut[1:])]
+        uses = np.bincount(w2[(np.concatenate(at) & _TRAIN) > 0], minlength=width)
+        starts = np.concatenate(([0], np.cumsum([int((x & 0x7FFF).max()) + 1 for x in at])))
+        spot = np.concatenate([(x & 0x7FFF).astype(np.int32) + np.int32(s) for x, s in zip(at, starts)])
+        train = np.concatenate(at) & _TRAIN > 0
+        n = int(starts[-1])
+        found, score, base, known = np.zeros(n, bool), np.zeros(n), np.zeros(n), np.zeros(n, np.uint32)
+        found[spot] = True
+        own = np.where(number < 0, np.log10(uses + 0.5), 0.0)
+        counts = np.where(number >= 0, uni.counts[number], 0)
+        whole = (1 << 63) // max(width * width, 1)  # contexts a 64-bit key has room for
+        for part in range(PARTS):
+            mine = np.flatnonzero(w2 % PARTS == part)
+            if not len(mine):
+                continue
+            a, b, c = w1[mine].astype(np.int64), w2[mine], w3[mine]
+            context = np.unique(_context(kinds[a], kinds[b], counts[b]), return_inverse=True)[1]
+            if int(context.max()) >= whole:
+                raise ValueError("shard too wide for its keys: lower SHARD_BYTES")
+            key, inverse = np.unique((context * width + a) * width + c, return_inverse=True)
+            seen = np.bincount(inverse, train[mine], len(key))
+            d3, d12 = key % width, key // width
+            d1, d2 = d12 % width, d12 // width
+            kept = np.flatnonzero(seen)
+            trie = Trie(d1[kept], d2[kept], d3[kept], seen[kept], 10.0 ** low, width, DISCOUNT)
+            value = trie.log10(d1, d2, d3, low)[inverse]
+            trie.close()
+            score += np.bincount(spot[mine], value, n)
+            base += np.bincount(spot[mine], own[b], n)
+            known += np.bincount(spot[mine], ((number < 0) & (uses > 0))[b], n).astype(np.uint32)
+        parts = [np.flatnonzero(found[x:y]) for x, y in zip(starts, starts[1:])]
         return pa.table([
-            rows["batch"],
-            pa.array([_press((spots[p] & 0x7FFF).astype(np.uint16)) for p in parts], pa.binary()),
-            pa.array([_press(known[p].astype(np.uint32)) for p in parts], pa.binary()),
-            pa.array([_press(base[p].astype(np.float32)) for p in parts], pa.binary()),
-            pa.array([_press(score[p].astype(np.float32)) for p in parts], pa.binary()),
-            pa.nulls(len(rows), pa.binary())], names)
+            batches,
+            pa.array([_press(p.astype(np.uint16)) for p in parts], pa.binary()),
+            pa.array([_press(known[x + p]) for x, p in zip(starts, parts)], pa.binary()),
+            pa.array([_press(base[x + p].astype(np.float32)) for x, p in zip(starts, parts)], pa.binary()),
+            pa.array([_press(score[x + p].astype(np.float32)) for x, p in zip(starts, parts)], pa.binary()),
+            pa.nulls(len(parts), pa.binary())], names)
     return apply
 
 
