@@ -29,10 +29,10 @@ from fieldseq.llm.language import groups
 from fieldseq.llm.words import mix, shingles, text_buffers, words
 
 K, SHARE = 5, (3, 4)
-FRAGMENT_BYTES = 16 << 20
+FRAGMENT_BYTES = 8 << 20
 OVERLAP_FRAGMENTS = 4
 GROUP_DOCS = 60_000
-_KNOWN = 0xFFFF
+_MOST = 0xFFFF  # counts of documents are kept up to here; they only order shingles
 _NO_ID = -(1 << 63)  # stands for a null doc_id on the way
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -48,19 +48,26 @@ def _unpack(data: bytes) -> np.ndarray:
     return low | (np.frombuffer(data, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
-_SENT = pa.schema([("fragment", pa.int32()), ("batch", pa.int64()), ("tokens", pa.binary()),
-                   ("at", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()),
-                   ("keys", pa.binary())])
-_SENT_SQL = ("fragment int, batch long, tokens binary, at binary, ids binary, sizes binary, "
-             "keys binary")
+_PARTS = ["tokens", "at", "many", "often", "ids", "sizes", "keys"]
+_SENT = pa.schema([("fragment", pa.int32()), ("batch", pa.int64()),
+                   *[(c, pa.binary()) for c in _PARTS]])
+_TOLD_SQL = ", ".join(["batch long", *[f"{c} binary" for c in _PARTS]])
 _HOME = -1
 
 
+def _by_fragment(tokens: np.ndarray, fragments: int) -> list[np.ndarray]:
+    part = (mix(tokens) % np.uint64(fragments)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.searchsorted(part[order], np.arange(1, fragments)))
+
+
 def _split(fragments: int, k: int):
     """Cut the shingles of some texts by fragment; what is shared among them stays with them.
 
-    Rows of fragment `_HOME` describe the documents of a batch and hold the shingles found
-    twice inside it; such a shingle is sent once, so a frequent one costs one entry per batch.
+    `tokens` are sent with the document `at` that has them. Shingles of several documents of
+    a batch are sent once, as `many` with their count `often`, so a frequent one costs one
+    entry per batch. Rows of fragment `_HOME` describe the documents of a batch and hold
+    the occurrences of its `many`.
     """
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -84,58 +91,73 @@ def _split(fragments: int, k: int):
                     order = np.argsort(token, kind="stable")
                     lead = np.append(True, token[order][1:] != token[order][:-1])[:len(order)]
                     run = np.cumsum(lead) - 1
-                    many = np.bincount(run, minlength=1)[run] > 1 if len(run) else np.zeros(0, bool)
-                    home = order[many]
+                    count = np.bincount(run) if len(run) else run
+                    several = count[run] > 1
+                    home = order[several]
+                    empty = pa.array([b""], pa.binary())
                     yield pa.RecordBatch.from_arrays([
                         pa.array([_HOME], pa.int32()), pa.array([number]),
                         pa.array([_pack(token[home])], pa.binary()),
-                        pa.array([doc[home].astype(np.uint16).tobytes()], pa.binary()),
+                        pa.array([doc[home].astype(np.uint16).tobytes()], pa.binary()), empty, empty,
                         pa.array([np.stack((ids[a:b], marks[a:b])).tobytes()], pa.binary()),
                         pa.array([size.astype(np.int64).tobytes()], pa.binary()),
                         pa.array([keys.tobytes()], pa.binary())], schema=_SENT)
-                    sent = order[lead]
-                    at = np.where(many[lead], _KNOWN, doc[sent]).astype(np.uint16)
-                    token = token[sent]
-                    part = (mix(token) % np.uint64(fragments)).astype(np.int64)
-                    order = np.lexsort((at, part))
-                    cut = np.searchsorted(part[order], np.arange(fragments + 1))
-                    has = np.flatnonzero(np.diff(cut))
-                    packed = [order[cut[f]:cut[f + 1]] for f in has]
-                    none = pa.nulls(len(has), pa.binary())
+                    one, more = np.sort(order[lead & ~several]), order[lead & several]
+                    often = np.minimum(count[count > 1], _MOST).astype(np.uint16)
+                    cut_one = _by_fragment(token[one], fragments)
+                    cut_more = _by_fragment(token[more], fragments)
+                    rows = []
+                    for f in range(fragments):
+                        x, y = one[cut_one[f]], cut_more[f]
+                        if len(x) or len(y):
+                            rows.append((f, _pack(token[x]), doc[x].astype(np.uint16).tobytes(),
+                                         _pack(token[more[y]]), often[y].tobytes()))
+                    columns = list(zip(*rows)) or [[]] * 5
+                    none = pa.nulls(len(rows), pa.binary())
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(has, pa.int32()), pa.array(np.full(len(has), number)),
-                        pa.array([_pack(token[x]) for x in packed], pa.binary()),
-                        pa.array([at[x].tobytes() for x in packed], pa.binary()),
-                        none, none, none], schema=_SENT)
+                        pa.array(columns[0], pa.int32()), pa.array([number] * len(rows), pa.int64()),
+                        *[pa.array(c, pa.binary()) for c in columns[1:]], none, none, none], schema=_SENT)
                     number += 1
     return apply
 
 
 def _shared_in_fragment(rows: pa.Table) -> pa.Table:
-    """Which shingles of a fragment occur in two documents, told to the batches that sent them."""
-    names = ["batch", "tokens", "at", "ids", "sizes", "keys"]
+    """In how many documents each shingle of a fragment occurs, told to the batches that sent it.
+
+    `tokens` and `at` are those a batch has once and others have too, `many` those it has in
+    several documents; `often` has the counts of the first and then of the second.
+    """
     if rows["fragment"][0].as_py() == _HOME:
-        return rows.select(names)
-    tokens = [_unpack(x.as_buffer()) for x in rows["tokens"]]
-    at = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in rows["at"]])
-    token = np.concatenate(tokens)
-    source = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+        return rows.select(["batch", *_PARTS])
+    single = [_unpack(x.as_buffer()) for x in rows["tokens"]]
+    several = [_unpack(x.as_buffer()) for x in rows["many"]]
+    at = [np.frombuffer(x.as_buffer(), np.uint16) for x in rows["at"]]
+    counts = [np.frombuffer(x.as_buffer(), np.uint16) for x in rows["often"]]
+    token = np.concatenate(single + several)
     order = np.argsort(token, kind="stable")
-    run = np.cumsum(np.append(True, token[order][1:] != token[order][:-1])) - 1
-    many = np.bincount(run)[run] > 1
-    many |= (np.bincount(run, at[order] == _KNOWN) > 0)[run]
-    told = np.sort(order[many & (at[order] != _KNOWN)])
-    cut = np.searchsorted(source[told], np.arange(len(tokens) + 1))
-    has = np.flatnonzero(np.diff(cut))
-    packed = [told[cut[i]:cut[i + 1]] for i in has]
-    none = pa.nulls(len(has), pa.binary())
-    return pa.table([rows["batch"].take(pa.array(has)),
-                     pa.array([_pack(token[x]) for x in packed], pa.binary()),
-                     pa.array([at[x].tobytes() for x in packed], pa.binary()), none, none, none], names)
+    run = np.empty(len(token), np.int32)
+    run[order] = np.cumsum(np.append(True, token[order][1:] != token[order][:-1])) - 1
+    del order
+    weight = np.concatenate((np.ones(sum(map(len, single)), np.uint16), *counts))
+    total = np.minimum(np.bincount(run, weight), _MOST).astype(np.uint16)[run]
+    told, a, c = [], 0, sum(map(len, single))
+    for one, place, more in zip(single, at, several):
+        mine, theirs = total[a:a + len(one)], total[c:c + len(more)]
+        a, c = a + len(one), c + len(more)
+        keep = mine > 1
+        told.append((_pack(one[keep]), place[keep].tobytes(), _pack(more),
+                     np.concatenate((mine[keep], theirs)).tobytes()))
+    none = pa.nulls(len(rows), pa.binary())
+    return pa.table([rows["batch"], *[pa.array(x, pa.binary()) for x in zip(*told)], none, none, none],
+                    ["batch", *_PARTS])
 
 
 def _gathered(share: tuple[int, int]):
-    """Sum what the fragments told a batch: per document its shared shingles and its prefix."""
+    """Sum what the fragments told a batch: per document its shared shingles and its prefix.
+
+    The order of shingles is: those no other document has, then by number of documents,
+    then by hash; rare ones make up the prefix.
+    """
     up, down = share
 
     def apply(rows: pa.Table) -> pa.Table:
@@ -143,25 +165,37 @@ def _gathered(share: tuple[int, int]):
         ids, marks = np.frombuffer(rows["ids"][home].as_buffer(), np.int64).reshape(2, -1)
         size = np.frombuffer(rows["sizes"][home].as_buffer(), np.int64)
         keys = np.frombuffer(rows["keys"][home].as_buffer(), np.int64).reshape(-1, 2)
-        token = np.concatenate([_unpack(x.as_buffer()) for x in rows["tokens"]])
-        doc = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in rows["at"]]).astype(np.int64)
-        count = np.bincount(doc, minlength=len(ids))
-        able = (count * down >= size * up) & (size > 0)
-        keep = able[doc]
-        order = np.lexsort((token[keep], doc[keep]))
-        token, doc = token[keep][order], doc[keep][order]
-        cut = np.searchsorted(doc, np.arange(len(ids) + 1))
+        single = [_unpack(x.as_buffer()) for x in rows["tokens"]]
+        at = [np.frombuffer(x.as_buffer(), np.uint16) for x in rows["at"]]
+        several = [_unpack(x.as_buffer()) for x in rows["many"]]
+        often = [np.frombuffer(x.as_buffer(), np.uint16) for x in rows["often"]]
+        known = np.concatenate(several)
+        rank = np.argsort(known)
+        known_often = np.concatenate([o[len(s):] for i, (o, s) in enumerate(zip(often, single))
+                                      if i != home] or [np.zeros(0, np.uint16)])[rank]
+        known = known[rank]
+        often = [o[:len(s)] if i != home else known_often[np.searchsorted(known, s)]
+                 for i, (o, s) in enumerate(zip(often, single))]
+        token, count = np.concatenate(single), np.concatenate(often).astype(np.uint64)
+        doc = np.concatenate(at).astype(np.int64)
+        shared = np.bincount(doc, minlength=len(ids))
+        able = (shared * down >= size * up) & (size > 0)
+        keep = np.flatnonzero(able[doc])
+        token, doc, place = token[keep], doc[keep], (count[keep] << np.uint64(48)) | token[keep]
         # shingles no other document has come first in the order, so they take up the prefix
         need = -(-size * up // down)
-        prefix = np.maximum(0, (size - need + 1) - (size - count))
-        chosen = [token[cut[i]:cut[i + 1]] if able[i] else None for i in range(len(ids))]
+        prefix = np.maximum(0, (size - need + 1) - (size - shared))
+        by_rank, by_token = np.lexsort((place, doc)), np.lexsort((token, doc))
+        cut = np.searchsorted(doc[by_rank], np.arange(len(ids) + 1))
+        chosen = [(cut[i], cut[i + 1]) if able[i] else None for i in range(len(ids))]
         batch = rows["batch"][0].as_py()
         return pa.table([
             pa.array(ids), pa.array(marks), pa.array((batch << 16) + np.arange(len(ids))), pa.array(size),
             pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-            pa.array([None if x is None else x[:prefix[i]].astype(np.int64)
+            pa.array([None if x is None else token[by_rank[x[0]:x[0] + prefix[i]]].astype(np.int64)
                       for i, x in enumerate(chosen)], pa.list_(pa.int64())),
-            pa.array([None if x is None else _pack(x) for x in chosen], pa.binary())],
+            pa.array([None if x is None else _pack(token[by_token[x[0]:x[1]]]) for x in chosen],
+                     pa.binary())],
             ["doc_id", "text_hash", "uid", "n", "key1", "key2", "prefix", "tokens"])
     return apply
 
@@ -177,10 +211,10 @@ def shingle_sets(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE) ->
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(shuffle_width(spark), -(-size // FRAGMENT_BYTES))
     sent = (docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "text",
-                        F.xxhash64("text")).mapInArrow(_split(fragments, k), _SENT_SQL))
+                        F.xxhash64("text")).mapInArrow(_split(fragments, k), "fragment int, " + _TOLD_SQL))
     where = F.when(F.col("fragment") == _HOME, F.pmod("batch", F.lit(fragments))).otherwise(F.lit(-1))
     told = (sent.groupBy("fragment", where.alias("_at")).applyInArrow(
-        _shared_in_fragment, "batch long, tokens binary, at binary, ids binary, sizes binary, keys binary"))
+        _shared_in_fragment, _TOLD_SQL))
     return (told.groupBy("batch").applyInArrow(
         _gathered(share), "doc_id long, text_hash long, uid long, n long, key1 long, key2 long, "
         "prefix array<long>, tokens binary"))
