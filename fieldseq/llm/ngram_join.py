@@ -4,13 +4,14 @@ The global order of shingle hashes is cut into fragments. Each fragment holds it
 of all documents and counts, on its own, which shingles of a document also occur
 elsewhere; partial counts are summed per document. Only documents that share enough of
 their shingles with others can link, and only shared shingles can count for a pair, so
-everything after works on that remainder: pairs meet on a prefix of the order, their
+everything after works on that remainder: documents meet on a prefix of the order, and
 overlaps are counted fragment by fragment and summed per pair.
 
-Equal sets are joined once. Links that are found early make components, and later
-rounds only look at pairs of different components, so a large group of near copies
-costs about one comparison per member instead of one per pair; no link between
-components is missed.
+Equal sets are joined once. First each document is compared to the head (the smallest)
+of every prefix shingle's documents; the links found make components. Then families,
+the documents that meet one head, are compared block by block wherever they still
+hold several components, so a large group of near copies costs about one comparison
+per member, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from pyspark.sql import functions as F
 from fieldseq.llm.base import query, shuffle_width, stored, table
 from fieldseq.llm.components import components
 from fieldseq.llm.language import groups
+from fieldseq.llm.vector_join import least_labels
 from fieldseq.llm.words import mix, shingles, text_buffers, words
 
 K, SHARE = 5, (3, 4)
 FRAGMENT_BYTES = 8 << 20
 OVERLAP_FRAGMENTS = 4
+TILE, TILE_CELLS = 256, 4 << 20
 GROUP_DOCS = 60_000
 _MOST = 0xFFFF  # counts of documents are kept up to here; they only order shingles
 _NO_ID = -(1 << 63)  # stands for a null doc_id on the way
@@ -265,7 +268,62 @@ def verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE,
             .select("a", "b"))
 
 
-def near_texts(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE, stars: int = 2
+def _tile(share: tuple[int, int]):
+    """Links between the documents of two blocks of a family, as edges to the smallest uid reached.
+
+    The shingles of the tile are cut into fragments; each fragment adds its counts for all
+    pairs of the tile. Pairs already in one component need no answer.
+    """
+    up, down = share
+
+    def apply(rows: pa.Table) -> pa.Table:
+        uid, n, root, own = (rows[c].to_numpy() for c in ("uid", "n", "root", "own"))
+        none = pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
+        if (root == root[0]).all():
+            return none
+        tokens = [_unpack(x.as_buffer()) for x in rows["tokens"]]
+        left = np.flatnonzero(own == rows["low"][0].as_py())
+        right = np.flatnonzero(own == rows["high"][0].as_py())
+        owner = np.repeat(np.arange(len(uid)), [len(x) for x in tokens])
+        kinds, place, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        order = np.argsort(place, kind="stable")
+        order = order[count[place[order]] > 1]
+        overlap = np.zeros((len(left), len(right)), np.float32)
+        wide = max(1, TILE_CELLS // len(uid))
+        for start in range(0, len(kinds), wide):
+            a, b = np.searchsorted(place[order], (start, start + wide))
+            held = np.zeros((len(uid), wide), np.float32)
+            held[owner[order[a:b]], place[order[a:b]] - start] = 1
+            overlap += held[left] @ held[right].T
+        linked = overlap * down >= (n[left][:, None] + n[right][None, :] - overlap) * up
+        linked &= root[left][:, None] != root[right][None, :]
+        if not linked.any():
+            return none
+        one, two = least_labels(linked, uid[left], uid[right])
+        node, least = np.concatenate((uid[left], uid[right])), np.concatenate((one, two))
+        return pa.table([pa.array(node[node != least]), pa.array(least[node != least])], ["a", "b"])
+    return apply
+
+
+def family_links(met: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE, tile: int = TILE
+                 ) -> DataFrame:
+    """Links (a, b) between components among documents that meet the same head on some shingle.
+
+    A family is dealt into blocks of about `tile` documents, and every two blocks meet in one
+    task; nothing is emitted but the links that join components.
+    """
+    family = met.select("uid", "n", "root", F.col("head.uid").alias("head")).distinct()
+    parts = family.groupBy("head").agg(F.ceil(F.count("*") / tile).alias("_parts"))
+    dealt = (family.join(parts, "head")
+             .withColumn("own", F.pmod(F.xxhash64("uid"), F.col("_parts")))
+             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+             .withColumns({"low": F.least("own", "_other"), "high": F.greatest("own", "_other")}))
+    held = dealt.drop("n").join(sets.select("uid", "n", "tokens"), "uid").select(
+        "head", "low", "high", "own", "uid", "n", "root", "tokens")
+    return held.groupBy("head", "low", "high").applyInArrow(_tile(share), "a long, b long")
+
+
+def near_texts(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE, stars: int = 1
                ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of `share` or more.
 
@@ -293,37 +351,25 @@ def near_texts(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE, star
                                              F.max("root").alias("_last"))
                  .filter(F.col("head.root") < F.col("_last")).drop("_last"))
         met = placed.join(heads, "token")
-        if step < stars:
+        if step == stars:
+            found = stored(family_links(met, able, share), "family_links")
+        else:
+            posted = stored(met.select("uid", "n", "token"), "mixed_postings")
             pairs = met.filter((F.col("root") != F.col("head.root"))
                                & _close(F.col("n"), F.col("head.n"), share)).select(
                 F.least("head.uid", "uid").alias("a"), F.greatest("head.uid", "uid").alias("b"))
-            posted = stored(met.select("uid", "n", "token"), "mixed_postings")
-        else:
-            other = met.select("token", F.col("uid").alias("u"), F.col("n").alias("m"),
-                               F.col("root").alias("r"))
-            pairs = met.join(other, "token").filter(
-                (F.col("uid") < F.col("u")) & (F.col("root") != F.col("r"))
-                & _close(F.col("n"), F.col("m"), share)).select(
-                F.col("uid").alias("a"), F.col("u").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "candidate_pairs")
-        if pairs.isEmpty():
-            if step < stars:
-                continue
-            break
-        found = stored(verify(pairs, able, share), "links")
+            pairs = pairs.distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = stored(pairs, "candidate_pairs")
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            found = stored(verify(pairs, able, share), "links")
         links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
         roots = stored(components(links), "roots")
     member = sets.select("doc_id", "text_hash", "uid", "n", "key1", "key2")
     classes = reps.select("key1", "key2", "n", F.col("uid").alias("rep"))
-    if roots is not None:
-        named = roots.withColumnRenamed("node", "rep")
-        classes = classes.join(named, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    else:
-        classes = classes.withColumn("root", F.col("rep"))
+    named = roots.withColumnRenamed("node", "rep")
+    classes = classes.join(named, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     placed = stored(member.join(classes.drop("rep"), ["key1", "key2", "n"], "left")
                     .withColumn("root", F.coalesce("root", "uid"))
                     .withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))

@@ -138,7 +138,7 @@ def descend(blocks: DataFrame, epsilon: float, axes: int, fan: int = FAN) -> Dat
     return pairs
 
 
-def _least_labels(mask: np.ndarray, ids: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def least_labels(mask: np.ndarray, ids: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest id connected to each row and column of a link matrix."""
     big = np.iinfo(np.int64).max
     a, b = ids.copy(), other.copy()
@@ -171,7 +171,7 @@ def _links(least: float):
                     np.fill_diagonal(mask, False)
                 if not mask.any():
                     continue
-                la, lb = _least_labels(mask, ra, rb)
+                la, lb = least_labels(mask, ra, rb)
                 out = [(ra, mask @ nb, la)] + ([] if same else [(rb, mask.T @ na, lb)])
                 for ids, links, roots in out:
                     hit = links > 0

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+from fieldseq.llm import ngram_join
 from fieldseq.llm.components import components
 from fieldseq.llm.ngram_join import near_texts, one_of_each
 from fieldseq.llm.vector_join import near_vectors
@@ -71,7 +72,7 @@ def near_family(rng, words, n, edits):
     return base, out
 
 
-def test_texts_against_all_pairs(spark):
+def test_texts_against_all_pairs(spark, monkeypatch):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
     passage = " ".join(rng.choice(vocabulary) for _ in range(60))
@@ -94,7 +95,8 @@ def test_texts_against_all_pairs(spark):
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j]
              and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     want = roots_of(range(len(sets)), links)
-    for stars in (0, 2):  # without stars every pair of a posting is compared
+    for stars, tile in ((0, 7), (1, 256), (2, 7)):  # without stars whole families are compared
+        monkeypatch.setattr(ngram_join.family_links, "__defaults__", ((3, 4), tile))
         got = {r.doc_id: r for r in near_texts(df, stars=stars).collect()}
         assert {i: r.component_id for i, r in got.items()} == want
         assert [got[i].n_shingles for i in range(len(sets))] == [len(s) for s in sets]
