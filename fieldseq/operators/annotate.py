@@ -177,15 +177,18 @@ def longest_entity(texts: DataFrame, names: DataFrame, id_col: str = "id",
 
     Only the first occurrence of a name is looked at. Candidates come from an
     equi-join on the name's first two words (or its only one), so names and texts
-    are never crossed, and only then is the text itself searched.
+    are never crossed, and only then is the text itself searched. Names without a
+    letter or digit have no words and are searched in every text.
     """
     word = F.lit(r"[\p{L}\p{N}]+")
-    low_names = names.select(name_col, F.lower(name_col).alias("_name")).distinct()
+    low_names = (names.filter(F.length(name_col) > 0)
+                 .select(name_col, F.lower(name_col).alias("_name")).distinct())
     keyed = low_names.withColumn("_key", F.array_join(F.slice(
         F.regexp_extract_all("_name", word, F.lit(0)), 1, 2), " "))
     low_texts = texts.select(id_col, F.lower(text_col).alias("_low"))
-    found = low_texts.select(id_col, F.explode(ngrams(
-        F.regexp_extract_all("_low", word, F.lit(0)), 2)).alias("_key"))
+    keys = ngrams(F.regexp_extract_all("_low", word, F.lit(0)), 2)
+    found = low_texts.select(id_col, F.explode(F.concat(
+        F.coalesce(keys, F.array().cast("array<string>")), F.array(F.lit("")))).alias("_key"))
     pairs = spread_join(found, keyed, ["_key"], F.col(id_col)) \
         .select(id_col, name_col, "_name").distinct()
     letter = r"[\p{L}\p{N}]"

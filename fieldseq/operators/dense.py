@@ -36,24 +36,40 @@ def _unit_rows(vectors: Iterable) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _best(qids: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int,
-          barred: np.ndarray | None) -> pd.DataFrame:
-    """Best k of one block for every query: rows of sims are items, columns queries."""
+def usable(vector: Column) -> Column:
+    """Whether a vector has a direction: not null, not all zero, all parts finite."""
+    norm = F.aggregate(vector, F.lit(0.0), lambda s, v: s + v * v)
+    return F.coalesce((norm > 0) & (norm < F.lit(float("inf"))), F.lit(False))
+
+
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _best(sims: np.ndarray, first: int, ids: np.ndarray, k: int, barred: np.ndarray | None) -> Hits:
+    """Best k items for every query of a tile: query numbers, ids and scores.
+
+    Rows of `sims` are items, columns queries; ties at the k-th place are kept for
+    `_merged` to cut by id.
+    """
     sims = np.round(sims, SCORE_DIGITS)
     if barred is not None:
-        sims = np.where(barred, -np.inf, sims)
-    parts = []
-    for j in range(len(qids)):
-        column = sims[:, j]
-        if len(column) > k:
-            bar = np.partition(column, len(column) - k)[len(column) - k]
-            near = np.flatnonzero(column >= bar)
-        else:
-            near = np.arange(len(column))
-        near = near[np.isfinite(column[near])]
-        near = near[np.lexsort((ids[near], -column[near]))][:k]
-        parts.append(pd.DataFrame({"q": qids[j], "i": ids[near], "s": column[near]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"q": [], "i": [], "s": []})
+        sims[barred] = -np.inf
+    if len(sims) > k:
+        bars = np.partition(sims, len(sims) - k, axis=0)[len(sims) - k]
+        near = sims >= bars[None, :]
+    else:
+        near = np.ones(sims.shape, bool)
+    rows, columns = np.nonzero(near & np.isfinite(sims))
+    return columns + first, ids[rows], sims[rows, columns]
+
+
+def _merged(parts: list[Hits], k: int) -> Hits:
+    """The best k of several lists for every query, equal scores by id."""
+    q, i, s = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((i, -s, q))
+    q, i, s = q[order], i[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], i[keep], s[keep]
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int = POOL, query_id: str = "qid",
@@ -61,7 +77,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = POOL, query_id: str =
             allowed: str | None = None, matrix_cells: int = MATRIX_CELLS) -> DataFrame:
     """Best k items for each query vector: (qid, id, score, 0-based rank).
 
-    Items without a vector take no part. `exclude` names a query column with one
+    Items and queries whose vector is null, zero or not finite take no part. `exclude` names a query column with one
     item id to leave out; `allowed` names an item column with an array of the
     query ids the item may be returned for.
 
@@ -69,8 +85,8 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = POOL, query_id: str =
     the items are scanned once where they lie: no shuffle but that of the best k
     per task. A larger query table is cut into blocks and met block by block.
     """
-    items = items.filter(F.col(vector).isNotNull())
-    queries = queries.filter(F.col(vector).isNotNull())
+    items = items.filter(usable(F.col(vector)))
+    queries = queries.filter(usable(F.col(vector)))
     q_type, i_type = queries.schema[query_id].dataType, items.schema[item_id].dataType
     out = T.StructType([T.StructField(query_id, q_type), T.StructField(item_id, i_type),
                         T.StructField("score", T.DoubleType())])
@@ -88,21 +104,37 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = POOL, query_id: str =
     return top_k(found, [query_id], [F.desc("score"), F.asc(item_id)], k)
 
 
+def _may(batch: pd.DataFrame, allowed: str, qids: np.ndarray) -> np.ndarray:
+    """Items times queries: whether the item may answer the query."""
+    lists = list(batch[allowed])
+    flat = np.concatenate([np.asarray(x, dtype=qids.dtype) for x in lists])
+    order = np.argsort(qids)
+    at = np.minimum(np.searchsorted(qids, flat, sorter=order), len(qids) - 1)
+    known = qids[order[at]] == flat
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    out = np.zeros((len(lists), len(qids)), bool)
+    out[rows[known], order[at[known]]] = True
+    return out
+
+
 def _meet(q: pd.DataFrame, matrix: np.ndarray, batch: pd.DataFrame, k: int, query_id: str,
-          item_id: str, vector: str, exclude: str | None, allowed: str | None) -> pd.DataFrame:
+          item_id: str, vector: str, exclude: str | None, allowed: str | None) -> Hits:
     ids, qids = batch[item_id].to_numpy(), q[query_id].to_numpy()
     vectors = _unit_rows(batch[vector])
+    may = _may(batch, allowed, qids) if allowed else None
     parts = []
     for start in range(0, len(qids), TILE):
         tile = slice(start, start + TILE)
-        barred = None
+        barred = ~may[:, tile] if allowed else None
         if exclude:
-            barred = ids[:, None] == q[exclude].to_numpy()[None, tile]
-        if allowed:
-            may = np.array([np.isin(qids[tile], list(a)) for a in batch[allowed]])
-            barred = ~may if barred is None else barred | ~may
-        parts.append(_best(qids[tile], ids, vectors @ matrix[tile].T, k, barred))
-    return pd.concat(parts)
+            own = ids[:, None] == q[exclude].to_numpy()[None, tile]
+            barred = own if barred is None else barred | own
+        parts.append(_best(vectors @ matrix[tile].T, start, ids, k, barred))
+    return _merged(parts, k)
+
+
+def _frame(hits: Hits, qids: np.ndarray, query_id: str, item_id: str) -> pd.DataFrame:
+    return pd.DataFrame({query_id: qids[hits[0]], item_id: hits[1], "score": hits[2]})
 
 
 def _scan(q: pd.DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, vector: str,
@@ -110,19 +142,13 @@ def _scan(q: pd.DataFrame, items: DataFrame, k: int, query_id: str, item_id: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if q.empty:
             return
-        matrix = _unit_rows(q[vector])
-        kept: pd.DataFrame | None = None
+        matrix, kept = _unit_rows(q[vector]), []
         for batch in batches:
-            if batch.empty:
-                continue
-            best = _meet(q, matrix, batch, k, query_id, item_id, vector, exclude, allowed)
-            if kept is not None:
-                best = pd.concat([kept, best])
-                best = best.sort_values(["q", "s", "i"], ascending=[True, False, True])
-                best = best.groupby("q", sort=False).head(k)
-            kept = best
-        if kept is not None:
-            yield kept.set_axis([query_id, item_id, "score"], axis=1)
+            if not batch.empty:
+                kept.append(_meet(q, matrix, batch, k, query_id, item_id, vector, exclude, allowed))
+                kept = [_merged(kept, k)]
+        if kept:
+            yield _frame(kept[0], q[query_id].to_numpy(), query_id, item_id)
 
     return items.mapInPandas(run, out)
 
@@ -145,7 +171,7 @@ def _blocks(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id
             return pd.DataFrame({query_id: [], item_id: [], "score": []})
         best = _meet(q, _unit_rows(q[vector]), batch, k, query_id, item_id, vector, exclude,
                      allowed)
-        return best.set_axis([query_id, item_id, "score"], axis=1)
+        return _frame(best, q[query_id].to_numpy(), query_id, item_id)
 
     return (left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib"))
             .applyInPandas(run, out))

@@ -103,17 +103,33 @@ FILTER_INPUTS = (*EQUALITY, "ended_in_shot", "ended_in_goal", "xg_sum", "n_event
                  "token_string")
 
 
-def restrict(pairs: DataFrame, queries: DataFrame, items: DataFrame,
-             item_id: str = "uid", query_id: str = "qid") -> DataFrame:
-    """Keep the (query, item) pairs whose item passes the query's filters.
+def candidate_pairs(items: DataFrame, queries: DataFrame, item_id: str = "uid",
+                    query_id: str = "qid") -> DataFrame:
+    """(qid, item) for all items that pass the filters of a query of a table.
 
-    Both joins are on keys; only pairs a ranker has already scored are looked at.
+    Every query is looked up under one of its equality filters, so it meets only the
+    items with that value; queries without any meet all items. Items are spread within
+    a key, since one value may hold a large share of them.
     """
+    any_key = F.lit("*")
+
+    def key(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{name}="), value)
+
     wanted = queries.select(query_id, "filters")
-    attributes = items.select(item_id, *FILTER_INPUTS)
-    joined = spread_join(pairs.join(attributes, item_id), wanted, [query_id], F.col(item_id))
-    return joined.filter(F.col("filters").isNull() | pair_predicate(F.col("filters"))) \
-        .select(*pairs.columns)
+    anchor = F.coalesce(*[key(n, F.col("filters")[n]) for n in EQUALITY], any_key)
+    held = F.array(any_key, *[key(n, F.col(n).cast("string")) for n in EQUALITY])
+    keyed = items.select(item_id, *FILTER_INPUTS, F.explode(F.array_compact(held)).alias("_key"))
+    met = spread_join(keyed, wanted.withColumn("_key", anchor), ["_key"], F.col(item_id))
+    return (met.filter(F.col("filters").isNull() | pair_predicate(F.col("filters")))
+            .select(query_id, item_id))
+
+
+def counted(pairs: DataFrame, queries: DataFrame, query_id: str = "qid") -> DataFrame:
+    """Candidates per query of a table; queries without any are listed with 0."""
+    n = pairs.groupBy(query_id).agg(F.count("*").alias("n"))
+    return queries.select(query_id).join(n, query_id, "left").select(
+        query_id, F.coalesce("n", F.lit(0)).cast("long").alias("n_candidates"))
 
 
 def merged(parsed: Column, explicit: Column) -> Column:

@@ -39,51 +39,76 @@ def pooled(rankings: Mapping[str, DataFrame], item_id: str = "uid",
     return stacked(parts)
 
 
+def _allowed_vectors(vectors: DataFrame, allowed: DataFrame | None, item_id: str) -> DataFrame:
+    """Vectors of items some query may return, with the ids of those queries."""
+    if allowed is None:
+        return vectors
+    lists = allowed.groupBy(item_id).agg(F.collect_set("qid").alias("allowed"))
+    return vectors.select(item_id, "embedding").join(lists, item_id)
+
+
 def hybrid(queries: DataFrame, items: DataFrame, index: sparse.SparseIndex, words: Column,
            vectors: DataFrame | None = None, limit: int = LIMIT, pool: int = POOL,
            use_filters: bool = True, shared: bool = False) -> dict[str, DataFrame]:
-    """Sparse, dense and fused rankings for a table of queries.
+    """Sparse, dense and fused rankings for a table of queries, and their candidates.
 
     `queries` has qid, what `words` reads, `filters` (when used) and an
-    `embedding` when `vectors` (item id, embedding) are given. For filtered dense
-    ranking `vectors` also has `allowed`, see `filters.allowed_queries`. With
-    `shared`, the single rankings (at most `pool` rows per query) are written to the
-    shared folder once, for callers that read them besides the fused one.
+    `embedding` when `vectors` (item id, embedding) are given. Filters decide
+    membership for both rankers before anything is scored: `allowed` holds the
+    (qid, item) pairs that pass them, once, and queries must have a `filters` column.
+    With `shared`, the single rankings (at most `pool` rows per query) are written to
+    the shared folder once, for callers that read them besides the fused one.
     """
     item_id = index.id_col
-    pairs = sparse.scores(sparse.query_vectors(queries, index.vocab, words), index,
-                          small=sparse.is_small(queries, words))
+    allowed = None
     if use_filters:
-        pairs = filters.restrict(pairs, queries, items, item_id)
+        if "filters" not in queries.columns:
+            raise ValueError("queries without `filters`; pass use_filters=False to search all items")
+        allowed = written(filters.candidate_pairs(items, queries, item_id), "allowed")
+    pairs = sparse.scores(sparse.query_vectors(queries, index.vocab, words), index,
+                          small=sparse.is_small(queries, words), allowed=allowed)
     found = {"sparse": sparse.rank(pairs, item_id, pool)}
     if vectors is not None:
         found["dense"] = dense.nearest(
-            queries, vectors, pool, item_id=item_id,
-            allowed="allowed" if "allowed" in vectors.columns else None)
+            queries, _allowed_vectors(vectors, allowed, item_id), pool, item_id=item_id,
+            allowed=None if allowed is None else "allowed")
     if shared:
         found = {name: written(ranking, name) for name, ranking in found.items()}
     found["fused"] = fuse(list(found.values()), item_id, limit)
+    if allowed is not None:
+        found["allowed"] = allowed
     return found
 
 
 def similar(seeds: DataFrame, index: sparse.SparseIndex, vectors: DataFrame | None = None,
-            limit: int = LIMIT, pool: int = POOL) -> dict[str, DataFrame]:
+            limit: int = LIMIT, pool: int = POOL, items: DataFrame | None = None
+            ) -> dict[str, DataFrame]:
     """More like each seed: its own stored vectors are the query, itself is left out.
 
-    `seeds` has `qid` and the id column of the index. Unknown seeds give no
-    rows; `unknown_seeds` lists them.
+    `seeds` has `qid` and the id column of the index, and `filters` when the filters of
+    a seed are to hold for what is returned; these are read from `items`. Unknown seeds
+    give no rows; `unknown_seeds` lists them.
     """
     item_id = index.id_col
+    allowed = None
+    if "filters" in seeds.columns:
+        if items is None:
+            raise ValueError("filtered seeds need the items their filters are about")
+        allowed = written(filters.candidate_pairs(items, seeds, item_id), "allowed")
     own = seeds.select("qid", F.col(item_id).alias("_seed"))
-    pairs = sparse.scores(sparse.seed_vectors(index, seeds), index)
+    pairs = sparse.scores(sparse.seed_vectors(index, seeds), index, allowed=allowed)
     pairs = spread_join(pairs, own, ["qid"], F.col(item_id))
     pairs = pairs.filter(F.col(item_id) != F.col("_seed")).drop("_seed")
     found = {"sparse": sparse.rank(pairs, item_id, pool)}
     if vectors is not None:
         asked = (seeds.select("qid", item_id).join(vectors, item_id)
                  .withColumnRenamed(item_id, "_seed"))
-        found["dense"] = dense.nearest(asked, vectors, pool, item_id=item_id, exclude="_seed")
+        found["dense"] = dense.nearest(
+            asked, _allowed_vectors(vectors, allowed, item_id), pool, item_id=item_id,
+            exclude="_seed", allowed=None if allowed is None else "allowed")
     found["fused"] = fuse(list(found.values()), item_id, limit)
+    if allowed is not None:
+        found["allowed"] = allowed
     return found
 
 

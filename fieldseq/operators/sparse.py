@@ -43,9 +43,8 @@ class SparseIndex:
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
 
     def shared(self) -> SparseIndex:
-        """The same index from tables in the shared folder, for jobs that use it repeatedly."""
-        return SparseIndex(written(self.postings, "postings"), written(self.vocab, "vocab"),
-                           self.id_col)
+        """The same index with its postings in the shared folder, for jobs that use it repeatedly."""
+        return SparseIndex(written(self.postings, "postings"), self.vocab, self.id_col)
 
     @staticmethod
     def load(spark, path: str, id_col: str) -> SparseIndex:
@@ -87,9 +86,11 @@ def fit_vocab(docs: DataFrame, id_col: str, words: Column, min_df: int = MIN_DF,
 
 def fit_index(docs: DataFrame, id_col: str, words: Column, min_df: int = MIN_DF,
               longest: int = LONGEST) -> SparseIndex:
-    counts = term_counts(docs, id_col, words, longest)
+    """Vocabulary and postings. Gram counts, the costly part, and the vocabulary are written
+    to the shared folder once; everything else is read from them."""
+    counts = written(term_counts(docs, id_col, words, longest), "gram_counts")
     n_docs = docs.agg(F.count("*").cast("double").alias("n")).scalar()
-    vocab = _vocab(counts, n_docs, min_df)
+    vocab = written(_vocab(counts, n_docs, min_df), "vocab")
     total = vocab.agg(F.sum("df").alias("nnz")).scalar()
     hot = vocab.filter(F.col("df") * HOT_LIMIT >= total)
     known = salted_lookup(counts, vocab, "gram", F.col(id_col), hot, ["idf", "salts"])
@@ -146,9 +147,18 @@ def matching(vectors: DataFrame, index: SparseIndex, small: bool | None = None)
 
 
 def scores(vectors: DataFrame, index: SparseIndex, query_id: str = "qid",
-           small: bool | None = None) -> DataFrame:
-    """Cosine of every (query, item) pair that shares a gram."""
-    return (matching(vectors, index, small).groupBy(query_id, index.id_col)
+           small: bool | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Cosine of every (query, item) pair that shares a gram.
+
+    `allowed` (qid, item) leaves only those pairs, before anything is summed: each item
+    is joined once to the list of queries it may answer, so matches stay where they are.
+    """
+    met = matching(vectors, index, small)
+    if allowed is not None:
+        lists = allowed.groupBy(index.id_col).agg(F.collect_set(query_id).alias("_may"))
+        met = (met.join(lists, index.id_col)
+               .filter(F.array_contains("_may", F.col(query_id))).drop("_may"))
+    return (met.groupBy(query_id, index.id_col)
             .agg(F.round(F.sum(F.col("weight") * F.col("qw")), SCORE_DIGITS).alias("score"))
             .filter(F.col("score") > 0))
 

@@ -9,7 +9,10 @@ from fieldseq.operators.possessions import zone_line
 from fieldseq.plans.base import (cte, events, possessions, query, r6, stored_possessions, table,
                                  with_sql)
 from fieldseq.plans.eval_set import FILTER_DOMINATED, query_table
-from fieldseq.plans.search_queries import EVAL, eval_filters, hint_tokens, sql_predicate, token_index
+from fieldseq.operators.filters import Filters
+from fieldseq.plans import jobs
+from fieldseq.plans.search_queries import (EVAL, eval_filters, hint_tokens, sql_predicate,
+                                           team_seeds, token_index)
 from fieldseq.spec import ZONES
 
 # --- the rules in DuckDB SQL ---------------------------------------------------------------
@@ -111,11 +114,92 @@ def eval_rankings(spark, sf_dir, limit=10):
     items = stored_possessions(spark, sf_dir)
     asked = query_table(spark, EVAL).withColumn(
         "embedding", dense.zone_profile(zone_line(F.col("hint"))))
-    vectors = items.select("uid", dense.zone_profile(F.col("zone_path")).alias("embedding"),
-                           filters.allowed_queries(eval_filters()).alias("allowed"))
+    vectors = items.select("uid", dense.zone_profile(F.col("zone_path")).alias("embedding"))
     found = fuse.hybrid(asked, items, token_index(items), hint_tokens(), vectors, limit,
                         shared=True)
-    return items, asked, found
+    return items, asked, {ranker: found[ranker] for ranker in RANKERS}
+
+
+# --- hybrid search with filters from a table, parsed and explicit ----------------------------
+EXPLICIT = {q: Filters(min_events=4) for q in EVAL if int(q[1:]) % 2 == 0}
+cte("hj_cand", " union all ".join(
+    f"select '{q}' as qid, uid from poss where "
+    f"{sql_predicate(f.overridden_by(EXPLICIT.get(q, Filters())))}"
+    for q, (_, f, _h) in EVAL.items()), ("poss",))
+for _name, _source, _needs in (
+        ("hj_sparse", "sparse_all semi join hj_cand using (qid, uid)", ("sparse_all", "hj_cand")),
+        ("hj_dense", """(select h.qid, p.uid, round(list_dot_product(h.v, p.v) / (h.n * p.n), 9) as score
+          from hint_vec h join hj_cand c using (qid) join poss_vec p on p.uid = c.uid)""",
+         ("hint_vec", "poss_vec", "hj_cand"))):
+    cte(_name, f"""select * from (select qid, uid, score, (row_number() over
+        (partition by qid order by score desc, uid) - 1)::int as rank from {_source}) where rank < 50""",
+        _needs)
+cte("hj_fused", """select * from (select *, (row_number() over
+    (partition by qid order by score desc, uid) - 1)::int as rank from (
+      select qid, uid, sum(1.0::double / (61 + rank)) as score from
+        (select qid, uid, rank from hj_sparse union all select qid, uid, rank from hj_dense)
+      group by qid, uid)) where rank < 20""", ("hj_sparse", "hj_dense"))
+
+
+def hybrid_job_tables(spark, sf_dir):
+    """Search job with vectors; explicitly given filters win over those of the query set."""
+    items = stored_possessions(spark, sf_dir)
+    given = query_table(spark, {q: ("", f, "") for q, f in EXPLICIT.items()}).select(
+        "qid", F.col("filters").alias("_given"))
+    asked = query_table(spark, EVAL).join(given, "qid", "left").select(
+        "qid", "text", "hint", filters.merged(F.col("filters"), F.col("_given")).alias("filters"),
+        dense.zone_profile(zone_line(F.col("hint"))).alias("embedding"))
+    vectors = items.select("uid", dense.zone_profile(F.col("zone_path")).alias("embedding"))
+    return jobs.search(asked, items, token_index(items), vectors)
+
+
+@query("hybrid_job", with_sql(("hj_fused", "poss"), """
+select f.qid, f.rank, f.uid, round(f.score, 6) as score, p.team, p.start_zone, p.end_zone,
+  p.n_events::bigint as n_events, p.ended_in_shot from hj_fused f join poss p using (uid)"""))
+def hybrid_job(spark, sf_dir):
+    page = hybrid_job_tables(spark, sf_dir)["page"]
+    return page.select("qid", "rank", "uid", r6("score").alias("score"), "team",
+                       F.substring_index("zone_path", " ", 1).alias("start_zone"),
+                       F.substring_index("zone_path", " ", -1).alias("end_zone"),
+                       F.col("n_events").cast("bigint").alias("n_events"), "ended_in_shot")
+
+
+@query("hybrid_candidates", with_sql(("hj_cand", "evalq"), """
+select qid, count(uid) as n_candidates from evalq left join hj_cand using (qid) group by qid"""))
+def hybrid_candidates(spark, sf_dir):
+    return hybrid_job_tables(spark, sf_dir)["counts"]
+
+
+cte("sf_cand", "select s.qid, p.uid from seeds s, poss p where p.play_pattern = 'From Corner' "
+    "and p.ended_in_shot", ("seeds", "poss"))
+cte("sf_sparse", """select * from (select qid, uid, score, (row_number() over
+    (partition by qid order by score desc, uid) - 1)::int as rank from (
+      select s.qid, p.uid, round(sum(p.weight * q.weight), 9) as score
+      from seeds s join pt_post q on q.uid = s.seed join pt_post p on p.gram = q.gram
+      where p.uid <> s.seed group by s.qid, p.uid) semi join sf_cand using (qid, uid)
+    where score > 0) where rank < 50""", ("seeds", "pt_post", "sf_cand"))
+cte("sf_dense", """select * from (select qid, uid, score, (row_number() over
+    (partition by qid order by score desc, uid) - 1)::int as rank from (
+      select s.qid, v.uid, round(list_dot_product(o.v, v.v) / (o.n * v.n), 9) as score
+      from seeds s join poss_vec o on o.uid = s.seed join sf_cand c on c.qid = s.qid
+        join poss_vec v on v.uid = c.uid where v.uid <> s.seed)) where rank < 50""",
+    ("seeds", "poss_vec", "sf_cand"))
+
+
+@query("similar_filtered", with_sql(("sf_sparse", "sf_dense"), """
+select qid, uid, rank, round(score, 6) as score from (
+  select *, (row_number() over (partition by qid order by score desc, uid) - 1)::int as rank from (
+    select qid, uid, sum(1.0::double / (61 + rank)) as score from
+      (select qid, uid, rank from sf_sparse union all select qid, uid, rank from sf_dense)
+    group by qid, uid)) where rank < 20"""))
+def similar_filtered(spark, sf_dir):
+    """More like each team's longest possession, among shots from corners only."""
+    items = stored_possessions(spark, sf_dir)
+    wanted = query_table(spark, {"all": ("", Filters(play_pattern="From Corner", ended_in_shot=True), "")})
+    seeds = team_seeds(items).join(wanted.select("filters"))
+    vectors = items.select("uid", dense.zone_profile(F.col("zone_path")).alias("embedding"))
+    found = fuse.similar(seeds, token_index(items).shared(), vectors, items=items)["fused"]
+    return found.withColumn("score", r6("score"))
 
 
 def judged_pool(spark, sf_dir):

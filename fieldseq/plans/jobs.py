@@ -73,8 +73,8 @@ def search(queries: DataFrame, items: DataFrame, index: SparseIndex,
            limit: int = fuse.LIMIT) -> Tables:
     """Hybrid search for a table of queries (qid, filters, hint[, embedding]).
 
-    Gives `results`, `rankings` (per ranker), `notes` and `given`. `shots` with a
-    `my_xg` column adds model totals.
+    Gives `results`, `rankings` (per ranker), `counts` (items passing each query's
+    filters), `notes` and `given`. `shots` with a `my_xg` column adds model totals.
     """
     found = fuse.hybrid(queries, items, index, F.split("hint", " "), vectors, limit)
     page = _page(found["fused"], items, shots)
@@ -82,8 +82,9 @@ def search(queries: DataFrame, items: DataFrame, index: SparseIndex,
 
     def rankings() -> DataFrame:
         return fuse.pooled({k: v.filter(F.col("rank") < limit) for k, v in found.items()
-                            if k != "fused"}, index.id_col)
+                            if k in ("sparse", "dense")}, index.id_col)
     return Tables(results=lambda: _shown(page), rankings=rankings,
+                  counts=lambda: filters.counted(found["allowed"], queries),
                   notes=lambda: notes.claims(page, given), given=lambda: given,
                   page=lambda: page)
 
@@ -108,8 +109,8 @@ def shape(shapes: Mapping[str, Sequence[str]], items: DataFrame,
 def similar(seeds: DataFrame, items: DataFrame, index: SparseIndex,
             vectors: DataFrame | None = None, shots: DataFrame | None = None,
             limit: int = fuse.LIMIT) -> Tables:
-    """More like each seed (qid, id); `unknown` lists seeds that are not indexed."""
-    found = fuse.similar(seeds, index, vectors, limit)
+    """More like each seed (qid, id[, filters]); `unknown` lists seeds that are not indexed."""
+    found = fuse.similar(seeds, index, vectors, limit, items=items)
     page = _page(found["fused"], items, shots)
     return Tables(results=lambda: _shown(page), notes=lambda: notes.claims(page),
                   page=lambda: page, unknown=lambda: fuse.unknown_seeds(seeds, index))

@@ -147,7 +147,7 @@ claim_ctes("sm", "sim_page", "where kind <> 'chance'")
 @query("similar_job", with_sql(("sm_claims",), _CLAIMS.format("sm")))
 def similar_job(spark, sf_dir):
     items = stored_possessions(spark, sf_dir)
-    made = jobs.similar(team_seeds(items), items, token_index(items),
+    made = jobs.similar(team_seeds(items), items, token_index(items).shared(),
                         shots=scored_shots(spark, sf_dir))
     return _claim_columns(made["notes"])
 

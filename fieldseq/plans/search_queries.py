@@ -217,7 +217,7 @@ def team_seeds(items):
 select qid, uid, rank, round(score, 6) as score from similar_top"""))
 def similar_sparse(spark, sf_dir):
     items = stored_possessions(spark, sf_dir)
-    found = fuse.similar(team_seeds(items), token_index(items))["sparse"]
+    found = fuse.similar(team_seeds(items), token_index(items).shared())["sparse"]
     return found.filter(F.col("rank") < 20).withColumn("score", r6("score"))
 
 

@@ -146,9 +146,9 @@ def uncovered_text(spark, sf_dir):
 
 
 cte("names", """select distinct name from (
-    select string_split(text, ' ')[1] as name from benchmark
-    union all select string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] from benchmark)
-  where name <> '' and regexp_matches(name, '[\\p{L}\\p{N}]')""")
+    select array_to_string(string_split(text, ' ')[1:k], ' ') as name
+    from benchmark, unnest(range(1, 6)) as r(k)
+    union all select concat(repeat('*', k), '') from unnest(range(3, 5)) as r(k)) where name <> ''""")
 
 
 @query("entity_longest", with_sql(("names",), """
@@ -159,9 +159,9 @@ select id, name, pos from (
   where not regexp_matches(case when pos = 0 then '' else substr(low, pos, 1) end, '[\\p{L}\\p{N}]')
     and not regexp_matches(substr(low, pos + length(name) + 1, 1), '[\\p{L}\\p{N}]')) where o = 1"""))
 def entity_longest(spark, sf_dir):
-    """Openings of the benchmark passages as names, looked up in all documents."""
+    """Openings of 1 to 5 words of the benchmark passages, and marks, as names in all documents."""
     words = F.split("text", " ")
     names = table(spark, sf_dir, "benchmark").select(F.explode(F.array(
-        F.get(words, 0), F.concat(F.get(words, 0), F.lit(" "), F.get(words, 1)))).alias("name"))
-    names = names.filter(F.col("name").rlike(r"[\p{L}\p{N}]"))
+        F.lit("***"), F.lit("****"), *[F.array_join(F.slice(words, 1, k), " ") for k in range(1, 6)])
+        ).alias("name"))
     return annotate.longest_entity(documents(spark, sf_dir), names)

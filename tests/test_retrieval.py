@@ -45,13 +45,15 @@ def test_both_filter_forms_agree(spark, items):
     table = spark.createDataFrame([(q, f.as_row()) for q, f in WANTED.items()],
                                   spark.createDataFrame([], "qid string").schema.add(
                                       "filters", FILTER_TYPE))
-    pairs = items.select("uid", F.explode(F.array(*[F.lit(q) for q in WANTED])).alias("qid"))
-    left = {tuple(r) for r in filters.restrict(pairs, table, items).select("qid", "uid").collect()}
+    pairs = filters.candidate_pairs(items, table)
+    left = {tuple(r) for r in pairs.collect()}
+    assert len(left) == pairs.count()
     right = {tuple(r) for r in filters.candidates(items, WANTED).select("qid", "uid").collect()}
     assert left == right and len({q for q, _ in left}) >= 5
     counts = {r.qid: r.n_candidates for r in filters.candidate_counts(items, WANTED).collect()}
     assert counts == {q: sum(1 for a, _ in right if a == q) for q in WANTED}
     assert counts["f"] == 0 and counts["a"] == 80
+    assert {r.qid: r.n_candidates for r in filters.counted(pairs, table).collect()} == counts
 
 
 def test_given_and_merge(spark):
@@ -188,6 +190,62 @@ def test_similar_never_returns_the_seed(spark, items):
     assert [r.uid for r in fuse.unknown_seeds(seeds, index).collect()] == ["no such"]
 
 
+def filter_table(spark, wanted, extra="", values=lambda q: ()):
+    schema = spark.createDataFrame([], "qid string").schema.add("filters", FILTER_TYPE)
+    for name, kind in (x.split(" ", 1) for x in extra.split("; ") if x):
+        schema = schema.add(name, kind)
+    return spark.createDataFrame([(q, f.as_row(), *values(q)) for q, f in wanted.items()], schema)
+
+
+def test_no_returned_row_breaks_a_filter(spark, items):
+    """Sparse, dense, fused and similar rankings hold nothing but candidates."""
+    words = F.split("token_string", " ")
+    index = sparse.fit_index(items, "uid", words)
+    vectors = items.select("uid", dense.zone_profile(F.col("zone_path")).alias("embedding"))
+    vectors = vectors.unionByName(spark.createDataFrame([("none", [0.0] * 15)], vectors.schema))
+    may = {(r.qid, r.uid) for r in filters.candidates(items, WANTED).collect()}
+    hint = " ".join(r.token_string for r in items.limit(5).collect())
+    asked = filter_table(spark, WANTED, "hint string; embedding array<double>",
+                         lambda q: (hint, [1.0] * 15))
+    found = fuse.hybrid(asked, items, index, F.split("hint", " "), vectors, limit=100, pool=100)
+    for name in ("sparse", "dense", "fused"):
+        got = {(r.qid, r.uid) for r in found[name].collect()}
+        assert got <= may and {q for q, _ in got} == {q for q, _ in may}, name
+    assert {(r.qid, r.uid) for r in found["dense"].collect()} == may
+    with pytest.raises(ValueError):
+        fuse.hybrid(asked.drop("filters"), items, index, F.split("hint", " "))
+    seeds = filter_table(spark, WANTED, "uid string", lambda q: ("1:3",))
+    near = fuse.similar(seeds, index, vectors, 100, 100, items)
+    for name in ("sparse", "dense", "fused"):
+        got = {(r.qid, r.uid) for r in near[name].collect()}
+        assert got and got <= may and "1:3" not in {u for _, u in got}, name
+
+
+@pytest.mark.parametrize("cells", [10 ** 6, 1])
+def test_zero_vectors_cost_no_places(spark, cells):
+    """Vectors without a direction take no part, and the others all stay."""
+    nan = float("nan")
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", [0.9, 0.1]), ("d", [0.0, 1.0]), ("e", [nan, 1.0]),
+            ("f", None), ("g", [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "uid string, embedding array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("z", [0.0, 0.0]), ("r", [0.0, 2.0])],
+                                  "qid string, embedding array<double>")
+    got = {}
+    for r in dense.nearest(asked, df, 2, matrix_cells=cells).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.uid)
+    assert got == {"q": ["a", "c"], "r": ["d", "c"]}
+
+
+def test_names_without_letters_and_long_names(spark):
+    from fieldseq.operators import annotate
+    texts = spark.createDataFrame([(1, "we saw *** there"), (2, "one two three four five"), (3, "a***b"),
+                                   (4, "... and *** ..."), (5, None), (6, "one two three fourty")],
+                                  "id long, text string")
+    names = spark.createDataFrame([("***",), ("...",), ("One Two",), ("one two three four",), ("",)], "name string")
+    got = {r.id: (r.name, r.pos) for r in annotate.longest_entity(texts, names).collect()}
+    assert got == {1: ("***", 7), 2: ("one two three four", 0), 4: ("***", 8), 6: ("One Two", 0)}
+
+
 SHAPE_CASES = [(["D-C", "M-C", "F-C"], "D-C D-C M-C M-C M-C F-C", 1.0),
                (["D-C", "F-C"], "D-C M-C F-C", 0.667), (["F-C", "D-C"], "D-C M-C F-C", None),
                (["D-C"], "D-C M-C D-C F-C", 0.25), (["D-C", "D-C", "F-C"], "D-C F-C", 1.0)]
