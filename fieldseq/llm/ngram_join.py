@@ -34,7 +34,7 @@ K, SHARE = 5, (3, 4)
 FRAGMENT_BYTES = 8 << 20
 OVERLAP_FRAGMENTS = 4
 TILE, TILE_CELLS = 256, 4 << 20
-GROUP_DOCS = 60_000
+GROUP_BYTES, GROUP_DOCS = 2 << 20, 60_000
 _MOST = 0xFFFF  # counts of documents are kept up to here; they only order shingles
 _NO_ID = -(1 << 63)  # stands for a null doc_id on the way
 _LOW = np.uint64((1 << 48) - 1)
@@ -78,7 +78,7 @@ def _split(fragments: int, k: int):
             ids, marks = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)
                           for i in (0, 2))
             _, offsets = text_buffers(batch.column(1))
-            for a0, b0 in groups(offsets):
+            for a0, b0 in groups(offsets, GROUP_BYTES):
                 for a in range(a0, b0, GROUP_DOCS):
                     b = min(a + GROUP_DOCS, b0)
                     h, doc = words(batch.column(1).slice(a, b - a))
