@@ -118,42 +118,40 @@ def claims(rows: DataFrame, given: DataFrame | None = None, query_id: str = "qid
     made = F.array_compact(F.array(
         _claim("team", ~given_has("team") & dominant, team["value"], team["n"], nothing,
                of("team", team["value"]),
-               F.concat(team["n"], F.lit(" of the "), n, F.lit(" come from "), team["value"],
-                        F.lit("."))),
+               F.concat(team["value"], F.lit(": "), team["n"], F.lit(" of "), n, F.lit(" results."))),
         _claim("teams", ~given_has("team") & ~dominant & (F.col("teams") >= 3), team["value"],
                F.col("teams"), team["n"], _uids(F.col("rows")),
-               F.concat(F.lit("These span "), F.col("teams"), F.lit(" teams, most often "),
-                        team["value"], F.lit(" ("), team["n"], F.lit(" of "), n, F.lit(")."))),
+               F.concat(F.col("teams"), F.lit(" different teams appear; "), team["value"],
+                        F.lit(" leads with "), team["n"], F.lit(" of "), n, F.lit("."))),
         _claim("pattern", ~given_has("play_pattern") & (pattern["n"] >= MIN_SUPPORT)
                & (pattern["n"] > F.floor(n / 3)), pattern["value"], pattern["n"], nothing,
                of("play_pattern", pattern["value"]),
-               F.concat(pattern["n"], F.lit(" begin from "),
+               F.concat(F.lit("Usual start: "),
                         F.replace(F.lower(pattern["value"]), F.lit("from "), F.lit("")),
-                        F.lit("."))),
+                        F.lit(", "), pattern["n"], F.lit(" times."))),
         _claim("chance", given_has("ended_in_shot") & (shots_n > 0), nothing, shots_n, shot_xg,
                _uids(F.col("shots")),
-               F.concat(F.lit("They average "), _two(shot_xg), F.lit(" xG per possession."))),
+               F.concat(F.lit("Mean chance value: "), _two(shot_xg), F.lit(" xG."))),
         _claim("shots", ~given_has("ended_in_shot") & (shots_n >= MIN_SUPPORT), nothing, shots_n,
                shot_xg, _uids(F.col("shots")),
-               F.concat(shots_n, F.lit(" of "), n, F.lit(" end in a shot, averaging "),
-                        _two(shot_xg), F.lit(" xG."))),
+               F.concat(F.lit("Shots close "), shots_n, F.lit(" of "), n,
+                        F.lit(" sequences, mean value "), _two(shot_xg), F.lit(" xG."))),
         _claim("goals", ~given_has("ended_in_goal") & (goals_n > 0), nothing, goals_n, goal_xg,
                _uids(F.col("goals")),
-               F.concat(goals_n, F.lit(" of the "), n,
-                        F.when(goals_n == 1, " is").otherwise(" are"), F.lit(" scored, from "),
+               F.concat(F.lit("Goals: "), goals_n, F.lit(" of "), n, F.lit(", mean value "),
                         _two(goal_xg), F.lit(" xG."))),
         _claim("finish", ~given_has("end_zone") & (zone["n"] >= MIN_SUPPORT), zone["value"],
                zone["n"], nothing, _uids(in_zone),
-               F.concat(F.lit("Most finish in "), zone["value"], F.lit(" ("), zone["n"],
-                        F.lit(" of "), n, F.lit(")."))),
+               F.concat(F.lit("Usual last zone: "), zone["value"], F.lit(", "), zone["n"],
+                        F.lit(" of "), n, F.lit("."))),
         _claim("tempo", F.lit(True), tempo, n, F.col("med_len"), _uids(F.col("rows")),
-               F.concat(F.lit("They are "), tempo, F.lit(": a median of "),
-                        _whole(F.col("med_len")), F.lit(" "), touch, F.lit(" over "),
-                        _whole(F.col("med_dur")), F.lit(" seconds."))),
+               F.concat(F.lit("Tempo "), tempo, F.lit(", typically "),
+                        _whole(F.col("med_len")), F.lit(" "), touch, F.lit(" in "),
+                        _whole(F.col("med_dur")), F.lit(" s."))),
         _claim("standout", best["xg"] > STANDOUT_XG, best["team"], F.lit(1), best["xg"],
                F.array(best["uid"]),
-               F.concat(F.lit("The clearest chance is "), best["team"], F.lit(" against "),
-                        best["opponent"], F.lit(" at "), _two(best["xg"]), F.lit(" xG.")))))
+               F.concat(F.lit("Top chance: "), best["team"], F.lit(" v "), best["opponent"],
+                        F.lit(", "), _two(best["xg"]), F.lit(" xG.")))))
     return (pages.select(query_id, "n", F.posexplode(F.slice(made, 1, MAX_CLAIMS)).alias("i", "c"))
             .select(query_id, (F.col("i") + 1).alias("claim_no"), "c.kind", "c.label", "c.support",
                     F.col("n").alias("of_n"), "c.value", "c.uids", "c.text"))

@@ -402,15 +402,15 @@ def _terms() -> Column:
         r["pos"].alias("pos"), r["phrase"].alias("phrase"),
         F.when(r["effect"] == "start", said("start_band = ", r["value"]))
         .when(r["effect"] == "won", F.concat(F.lit("start_band = "), r["value"],
-                                             F.lit(" (where the "), r["prev"], F.lit(" happened)")))
+                                             F.lit(", place of "), r["prev"]))
         .when(r["effect"] == "end", F.lit("end_band = F"))
-        .otherwise(F.concat(F.lit("hint: "), r["value"], F.lit(" band"))).alias("effect")))
+        .otherwise(F.concat(F.lit("hint band "), r["value"])).alias("effect")))
     channels = F.transform("channels", lambda h: F.struct(
         h["pos"].alias("pos"), h["phrase"].alias("phrase"),
-        F.concat(F.lit("hint: "), h["value"], F.lit(" channel")).alias("effect")))
+        F.concat(F.lit("hint channel "), h["value"]).alias("effect")))
     actions = F.transform("actions", lambda h: F.struct(
         h["pos"].alias("pos"), h["phrase"].alias("phrase"),
-        said("action ", h["value"]).alias("effect")))
+        said("hint action ", h["value"]).alias("effect")))
     single = F.array_compact(F.array(*[t.cast(_TERM) for t in (
         _term(F.col("team"), said("team = ", F.col("team")["phrase"])),
         _term(F.col("competition"), said("competition = ", F.col("competition")["phrase"])),
@@ -420,18 +420,18 @@ def _terms() -> Column:
         _term(F.col("high_xg"), f"min_xg = {L.HIGH_XG}"),
         _term(F.col("long"), f"min_events = {L.LONG_EVENTS}"),
         F.when(F.col("long").isNull(), _term(F.col("patient"), f"min_events = {L.PATIENT_EVENTS}")),
-        F.when(F.col("outside").isNull(), _term(F.col("box"), "hint: ends in the box (>)")),
-        _term(F.col("outside"), "hint: shot from outside the box"),
-        _term(F.col("pressure"), "hint: under pressure (^)"),
-        _term(F.col("direct"), "hint: direct/progressive (+)"),
+        F.when(F.col("outside").isNull(), _term(F.col("box"), "hint mark >")),
+        _term(F.col("outside"), "hint shot from M or wide F"),
+        _term(F.col("pressure"), "hint mark ^"),
+        _term(F.col("direct"), "hint mark +"),
         _term(F.col("shot_from"), said("end_zone = ", F.col("end_zone"))),
-        _term(F.col("buildup"), "start_band = D, build-up sequence"),
-        _term(F.col("rebound"), "action RECOV (rebound between attempts)"),
-        _term(F.col("cutback"), "action cutback (PASS into the box)"),
-        _term(F.col("combo"), "action one-two (PASS/PASS)"),
+        _term(F.col("buildup"), "start_band = D; hint passes out of D"),
+        _term(F.col("rebound"), "hint RECOV between two shots"),
+        _term(F.col("cutback"), "hint PASS with mark >, then a shot"),
+        _term(F.col("combo"), "hint two passes in a row"),
         F.when(F.col("attack_used"), _term(F.col("attack"), F.when(
-            F.col("attack_alone"), "hint: attacking sequence into the final third")
-            .otherwise("hint: progression into the final third"))))]))
+            F.col("attack_alone"), "hint tokens of an attack up to F")
+            .otherwise("hint last step into F"))))]))
     return F.array_sort(F.concat(single, roles.cast(f"array<{_TERM}>"),
                                  channels.cast(f"array<{_TERM}>"),
                                  actions.cast(f"array<{_TERM}>")))

@@ -28,8 +28,8 @@ def summaries(rows: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
 
 def declined(shot_type: Column, distance: Column, angle: Column) -> Column:
     """Why a shot gets no model value: a text, or null when it is scored."""
-    return (F.when(shot_type == PENALTY, "penalties are excluded from training")
-            .when(distance.isNull() | angle.isNull(), "no shot geometry recorded"))
+    return (F.when(shot_type == PENALTY, "penalty, not modelled")
+            .when(distance.isNull() | angle.isNull(), "position of the shot unknown"))
 
 
 def model_totals(shots: DataFrame) -> DataFrame:

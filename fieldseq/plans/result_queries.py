@@ -212,7 +212,7 @@ def possession_shots(spark, sf_dir):
 select event_id, match_id, player, minute, team, shot_type, body_part, is_goal,
   round(provider_xg, 6) as provider_xg, round(my_xg, 6) as my_xg,
   case when my_xg is null then case when shot_type = 'Penalty'
-    then 'penalties are excluded from training' else 'no shot geometry recorded' end end as my_xg_note,
+    then 'penalty, not modelled' else 'position of the shot unknown' end end as my_xg_note,
   concat(competition_id, ':', season_id) in ('1:0', '2:1') as in_holdout,
   round(gk_off_line, 6) as gk_off_line from scored"""))
 def shot_comparison(spark, sf_dir):

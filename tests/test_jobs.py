@@ -30,7 +30,7 @@ def test_text_to_results(spark, world):
     by_id = {r.qid: r for r in plans.collect()}
     assert by_id["a"].filters.team == "T4" and by_id["a"].filters.ended_in_shot
     assert by_id["b"].filters.must_include == ["CROSS"]
-    assert [t.effect for t in by_id["b"].terms] == ["action CROSS", "hint: ends in the box (>)"]
+    assert [t.effect for t in by_id["b"].terms] == ["hint action CROSS", "hint mark >"]
     explicit = query_table(spark, {"a": ("", Filters(ended_in_shot=False), None),
                                    "b": ("", Filters(must_include=("SHOT",)), "SHOT@F-C")})
     merged = jobs.with_explicit(plans, explicit)

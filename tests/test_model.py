@@ -54,7 +54,7 @@ def test_declined_shots_are_null_not_zero(spark):
                                "angle double, my_xg double")
     why = [r[0] for r in df.select(declined(*[F.col(c) for c in ("shot_type", "distance", "angle")]))
            .collect()]
-    assert why == ["penalties are excluded from training", None]
+    assert why == ["penalty, not modelled", None]
     totals = {r.possession: r.my_xg_sum for r in model_totals(df).collect()}
     assert totals == {1: None, 2: 0.2}
 

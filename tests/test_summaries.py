@@ -30,21 +30,21 @@ def made(spark, rows, given=None):
 def test_text_and_citations(spark):
     got = made(spark, [row(0), row(1, goal=True, xg=0.5), row(2, team="France", shot=False), row(3)])
     assert list(got) == ["team", "pattern", "shots", "goals", "finish"]
-    assert got["team"].text == "3 of the 4 come from Spain."
+    assert got["team"].text == "Spain: 3 of 4 results."
     assert got["team"].uids == ["1:0", "1:1", "1:3"]
-    assert got["pattern"].text == "4 begin from regular play."
-    assert got["shots"].text == "3 of 4 end in a shot, averaging 0.23 xG."
-    assert got["goals"].text == "1 of the 4 is scored, from 0.50 xG."
+    assert got["pattern"].text == "Usual start: regular play, 4 times."
+    assert got["shots"].text == "Shots close 3 of 4 sequences, mean value 0.23 xG."
+    assert got["goals"].text == "Goals: 1 of 4, mean value 0.50 xG."
     assert got["goals"].uids == ["1:1"]
-    assert got["finish"].text == "Most finish in F-C (4 of 4)."
+    assert got["finish"].text == "Usual last zone: F-C, 4 of 4."
 
 
 def test_tempo_and_standout(spark):
     given = ["team", "play_pattern", "ended_in_shot", "end_zone"]
     got = made(spark, [row(0, n=1, xg=0.2), row(1, n=1, xg=0.4, mine=0.1)], given)
     assert list(got) == ["chance", "tempo", "standout"]
-    assert got["tempo"].text == "They are short and direct: a median of 1 touch over 12 seconds."
-    assert got["standout"].text == "The clearest chance is Spain against Italy at 0.20 xG."
+    assert got["tempo"].text == "Tempo short and direct, typically 1 touch in 12 s."
+    assert got["standout"].text == "Top chance: Spain v Italy, 0.20 xG."
     assert got["standout"].uids == ["1:0"]
 
 
@@ -61,7 +61,7 @@ def test_too_few_rows_say_nothing(spark):
 
 def test_only_the_first_page_counts(spark):
     got = made(spark, [row(i, team="A" if i < 8 else "B") for i in range(30)])
-    assert got["team"].text == "8 of the 8 come from A." and len(got) <= 5
+    assert got["team"].text == "A: 8 of 8 results." and len(got) <= 5
 
 
 # --- rubrics against plain restatements ---------------------------------------------------
