@@ -85,12 +85,15 @@ def calibration(rows: DataFrame, bins: int = CALIBRATION_BINS,
 
 
 def histogram(rows: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Counts in equal-width bins between each model's smallest and largest value."""
+    """Counts in equal-width bins between each model's smallest and largest value.
+
+    A model with a single value has all its rows in the middle bin.
+    """
     ends = rows.groupBy("model").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
     width = F.col("hi") - F.col("lo")
-    place = F.least(F.lit(bins - 1),
-                    F.floor(F.try_divide((F.col("p") - F.col("lo")) * bins, width)))
-    return (rows.join(F.broadcast(ends), "model").withColumn("bin", place.cast("int"))
+    place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor(F.try_divide(
+        (F.col("p") - F.col("lo")) * bins, width)))).otherwise(bins // 2)
+    return (rows.join(ends, "model").withColumn("bin", place.cast("int"))
             .groupBy("model", "bin").agg(F.count("*").alias("n")))
 
 

@@ -181,10 +181,13 @@ def paraphrase_summary(spark, sf_dir):
 @query("explicit_over_parsed", with_sql(("poss",), " union all ".join(
     "select '{}' as qid, uid from poss where {}".format(q, sql_predicate(
         f.overridden_by(filters.Filters(play_pattern="From Corner", ended_in_shot=False))))
-    for q, (_t, f, _h) in PARSED.items() if q in ("q03", "q11", "q24", "q30"))))
+    for q, (_t, f, _h) in PARSED.items())))
 def explicit_over_parsed(spark, sf_dir):
     """Candidates of translated filters in which explicitly given fields win."""
     explicit = filters.Filters(play_pattern="From Corner", ended_in_shot=False)
-    chosen = {q: f.overridden_by(explicit) for q, (_t, f, _h) in PARSED.items()
-              if q in ("q03", "q11", "q24", "q30")}
-    return filters.candidates(possessions(spark, sf_dir), chosen)
+    asked = query_table(spark, PARSED)
+    given = query_table(spark, {q: ("", explicit, "") for q in PARSED}).select(
+        "qid", F.col("filters").alias("_given"))
+    merged = asked.join(given, "qid").select(
+        "qid", filters.merged(F.col("filters"), F.col("_given")).alias("filters"))
+    return filters.candidate_pairs(possessions(spark, sf_dir), merged).select("qid", "uid")

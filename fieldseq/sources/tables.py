@@ -56,8 +56,8 @@ def upsert(new: DataFrame, path: str, keys: Sequence[str], partition_by: Sequenc
     """Insert rows, replacing stored ones with the same key.
 
     Only partitions that receive rows are rewritten, and the file commit swaps
-    them in as a whole, so a job that dies leaves the table as it was. A key is
-    expected to stay in its partition. `keep` maps columns whose stored value
+    them in as a whole, so a job that dies leaves the table as it was. A key stays in
+    its partition; one that would move is an error, and nothing is written. `keep` maps columns whose stored value
     survives an update to a default for new keys.
     """
     spark = new.sparkSession
@@ -65,6 +65,11 @@ def upsert(new: DataFrame, path: str, keys: Sequence[str], partition_by: Sequenc
         else new.dropDuplicates(list(keys))
     if _exists(spark, path):
         stored = spark.read.parquet(path)
+        places = [F.col(c).alias(f"_at_{c}") for c in partition_by]
+        moved = (stored.select(*keys, *places).join(fresh.select(*keys, *partition_by), list(keys))
+                 .filter(~F.expr(" and ".join(f"`_at_{c}` <=> `{c}`" for c in partition_by))))
+        if partition_by and not moved.isEmpty():
+            raise ValueError("a key would move to another partition; delete its old row first")
         touched = fresh.select(*partition_by).distinct()
         nearby = stored.join(touched, list(partition_by), "left_semi")
         if keep:

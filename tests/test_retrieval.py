@@ -192,8 +192,8 @@ def test_similar_never_returns_the_seed(spark, items):
 
 def filter_table(spark, wanted, extra="", values=lambda q: ()):
     schema = spark.createDataFrame([], "qid string").schema.add("filters", FILTER_TYPE)
-    for name, kind in (x.split(" ", 1) for x in extra.split("; ") if x):
-        schema = schema.add(name, kind)
+    for f in spark.createDataFrame([], extra).schema if extra else []:
+        schema = schema.add(f)
     return spark.createDataFrame([(q, f.as_row(), *values(q)) for q, f in wanted.items()], schema)
 
 
@@ -205,7 +205,7 @@ def test_no_returned_row_breaks_a_filter(spark, items):
     vectors = vectors.unionByName(spark.createDataFrame([("none", [0.0] * 15)], vectors.schema))
     may = {(r.qid, r.uid) for r in filters.candidates(items, WANTED).collect()}
     hint = " ".join(r.token_string for r in items.limit(5).collect())
-    asked = filter_table(spark, WANTED, "hint string; embedding array<double>",
+    asked = filter_table(spark, WANTED, "hint string, embedding array<double>",
                          lambda q: (hint, [1.0] * 15))
     found = fuse.hybrid(asked, items, index, F.split("hint", " "), vectors, limit=100, pool=100)
     for name in ("sparse", "dense", "fused"):
