@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldseq.sources.tables import written
@@ -42,3 +42,17 @@ def n_words(text: Column | str) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_sample(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
+    """At most `k` rows of each group, by the order of a hash of `key`: the same ones every time.
+
+    Groups are thinned to about 8k rows by the hash alone before they are ordered, so a
+    group of any size reaches its task small.
+    """
+    sizes = stored(rows.groupBy(group).agg(F.count("*").alias("_n")), "group_sizes")
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = rows.join(sizes, group).filter(place <= F.lit(8.0 * k) / F.col("_n"))
+    order = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
+    return (near.withColumn("_at", F.row_number().over(order))
+            .filter(F.col("_at") <= k).drop("_at", "_n"))

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from fieldseq.llm.base import query, stored, table
+from fieldseq.llm.base import hash_sample, query, stored, table
 from fieldseq.llm.words import mix, text_buffers
 
 ORDER, SAMPLE_DOCS, SAMPLE_CHARS = 5, 400, 200_000
+TOLERANCE = 12  # deviations above a language's usual cost that are still its texts
 GROUP_BYTES = 4 << 20
 UNKNOWN = "und"
 _PLANES = 0x40000
@@ -174,8 +174,8 @@ class Model:
         rows = np.arange(len(best))
         odds = np.exp(-self.sharpness * (cost - cost[rows, best][:, None]))
         score = 1 / odds.sum(axis=1)
-        bound = self.usual[best] + 6 * self.spread[best] + 6 * self.noise[best] / np.sqrt(
-            np.maximum(size, 1))
+        bound = self.usual[best] + TOLERANCE * (self.spread[best] + self.noise[best] / np.sqrt(
+            np.maximum(size, 1)))
         return best, score, (size == 0) | (score < 0.5) | (cost[rows, best] > bound)
 
 
@@ -270,9 +270,8 @@ def sample_texts(docs: DataFrame, per_language: int = SAMPLE_DOCS, longest: int
                  ) -> dict[str, list[str]]:
     """At most `per_language` whole texts of each language, by the order of a hash of the id."""
     fair = docs.filter("lang is not null and text is not null").filter(F.length("text") <= longest)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = stored(fair.select("doc_id", "lang").withColumn("_at", F.row_number().over(order))
-                 .filter(F.col("_at") <= per_language).drop("_at").distinct(), "language_sample")
+    ids = stored(hash_sample(fair.select("doc_id", "lang"), "lang", "doc_id", per_language).distinct(),
+                 "language_sample")
     out: dict[str, list[str]] = {}
     for row in fair.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"]).orderBy(
             "lang", F.xxhash64("doc_id"), "text").collect():

@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldseq.llm.base import query, stored, table
+from fieldseq.llm.base import hash_sample, query, stored, table
 from fieldseq.llm.language import groups, is_held_out
 from fieldseq.llm.words import mix, text_buffers, word_spans
 
@@ -244,10 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: Column, per_class: int = PER_
     known = (labels.select("doc_id", label.alias("label")).filter("doc_id is not null")
              .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_top"))
              .filter("label = _top and label in (0, 1)").drop("_top"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = stored(known, "quality_labels")
-    chosen = stored(known.withColumn("_at", F.row_number().over(order))
-                    .filter(F.col("_at") <= per_class).drop("_at"), "quality_sample")
+    chosen = stored(hash_sample(known, "label", "doc_id", per_class), "quality_sample")
     totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     rows = (docs.select("text", "doc_id").join(chosen, "doc_id").select("text", "doc_id", "label")
             .mapInArrow(_measure, "doc_id long, label int, x binary, size array<long>")

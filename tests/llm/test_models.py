@@ -41,33 +41,54 @@ def test_language_of_held_out_and_odd_texts(spark):
         language.fit({})
 
 
-def test_character_model_sums_to_one_and_follows_kneser_ney():
-    """Every history's next-letter probabilities add up to one, unknown letters included."""
+def plain_kneser_ney(texts, order, alphabet):
+    """Interpolated Kneser-Ney over letters of words, with dictionaries: p(symbol, history)."""
+    grams = [Counter() for _ in range(order + 1)]
+    for text in texts:
+        for w in text.split():
+            symbols = "^" + w + "$"
+            for i in range(1, len(symbols)):
+                for k in range(1, min(order, i + 1) + 1):
+                    grams[k][symbols[i - k + 1:i + 1]] += 1
+    used = [Counter() for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g in grams[k]:
+            # as often as different symbols stand before it; whole counts at the order and at word starts
+            used[k][g] = grams[k][g] if k == order or g[0] == "^" else sum(x[1:] == g for x in grams[k + 1])
+    cut = [0.0] * (order + 1)
+    for k in range(1, order + 1):
+        n1, n2 = (sum(c == m for c in used[k].values()) for m in (1, 2))
+        cut[k] = min(max((n1 + 0.5) / (n1 + 2 * n2 + 1), 0.1), 0.9)
+
+    def p(symbol, history, k):
+        if k == 0:
+            return 1 / (alphabet + 1)
+        history = history[len(history) - (k - 1):] if k > 1 else ""
+        own = {g: c for g, c in used[k].items() if g[:-1] == history}
+        lower = p(symbol, history, k - 1)
+        if not own:
+            return lower
+        total = sum(own.values())
+        return max(own.get(history + symbol, 0) - cut[k], 0) / total + cut[k] * len(own) / total * lower
+    return p
+
+
+def test_letter_models_equal_plain_kneser_ney_and_sum_to_one():
     rng = random.Random(2)
-    texts = {"aa": [tongue(rng, "aa", 60) for _ in range(4)], "bb": [tongue(rng, "bb", 60) for _ in range(4)]}
+    texts = {name: [tongue(rng, name, 40) for _ in range(4)] for name in ("aa", "bb")}
     model = language.fit(texts, order=3)
-    letters = sorted({c for t in texts.values() for x in t for c in x if c.isalpha()})
-
-    def cost(word):
-        raw, offsets = text_buffers(pa.array([word]))
-        words = language.letter_words(raw, offsets)
-        return model.word_costs(words)[0]
-
-    # P(word) = product over letters and the end; words of at most n letters and their prefixes add up to 1
-    for lang in range(2):
-        total, prefix = 0.0, {"": 1.0}
-        for _ in range(3):
-            longer = {}
-            for p, mass in prefix.items():
-                inner = sum(2 ** -cost(p + a)[lang] for a in ()) if p else 0.0
-                total += inner
-                for a in letters:
-                    longer[p + a] = None
-            prefix = {p: None for p in longer} if len(longer) < 2000 else {}
-        one = [2 ** -cost(a)[lang] for a in letters]
-        assert 0 < sum(one) < 1
-    assert cost("bano")[0] < cost("bano")[1] and cost("zuke")[1] < cost("zuke")[0]
-    assert np.isfinite(cost("яшо")).all()
+    seen = {c for t in texts.values() for x in t for c in x if c.isalpha()} | {"$"}
+    for lang, name in enumerate(model.languages):
+        p = plain_kneser_ney(texts[name], 3, len(seen))
+        for history in ("^", "^b", "ba", "zz"):
+            assert abs(sum(p(c, history, min(3, len(history) + 1)) for c in seen) + p(
+                "?", history, min(3, len(history) + 1)) - 1) < 1e-9
+        for word in ("bano", "zuke", "ño", "b", "tita", "яшо", "bqz"):
+            symbols = "^" + word + "$"
+            want = -sum(math.log2(p(symbols[i], symbols[:i], min(3, i + 1))) for i in range(1, len(symbols)))
+            raw, offsets = text_buffers(pa.array([word]))
+            got = model.word_costs(language.letter_words(raw, offsets))[0][lang]
+            assert abs(got - want) < 1e-3, (name, word)
 
 
 def brute_chain(u, steps):
