@@ -393,7 +393,30 @@ def one_of_each(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE) ->
             .dropDuplicates(["doc_id", "_near_text"]).drop("_near_text"))
 
 
-@query("op3_ngram_jaccard_join")
+_UPPER = "".join(map(chr, range(65, 91)))
+
+
+@query("op3_ngram_jaccard_join", f"""
+  with recursive w as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}',
+      '{_UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+  s as materialized (
+    select doc_id, unnest(list_distinct(case when len(w) = 0 then []
+      when len(w) < 5 then [hash(array_to_string(w, ' '))]
+      else list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' '))) end)) as g
+    from w),
+  n as (select doc_id, count(g) as n from w left join s using (doc_id) group by doc_id),
+  links as materialized (
+    select x.a, x.b from (select l.doc_id as a, r.doc_id as b, count(*) as o
+      from s l join s r using (g) where l.doc_id <> r.doc_id group by all) x
+      join n p on p.doc_id = x.a join n q on q.doc_id = x.b
+    where 100 * o >= 75 * (p.n + q.n - o)),
+  reach as (
+    select doc_id as a, doc_id as b from n
+    union
+    select r.a, l.b from reach r join links l on r.b = l.a)
+  select n.doc_id, n.n as n_shingles, c.component_id
+  from n join (select a as doc_id, min(b) as component_id from reach group by 1) c using (doc_id)""")
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_texts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id")

@@ -233,7 +233,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, axes: int = AXES, bloc
   u as (
     select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v
     where label is not null and len(e) > 0 and list_bool_and(list_transform(e, lambda x: isfinite(x)))),
-  links as (
+  links as materialized (
     select a.vec_id as a, b.vec_id as b from u a join u b
       on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
     where a.norm > 0 and b.norm > 0 and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
