@@ -29,6 +29,7 @@ from fieldseq.llm.words import shingles, text_buffers, words
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, TRIPLE = 0.5, 0.5, 3
 FEW_WORDS = 8
+GROUP_BYTES = 2 << 20
 BLOCK, RANGES, STRIDE, ROWS = 8, 256, 64, 16384
 ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 32 << 20
 _SENTENCE = re.compile(r"[.!?]+\s+(?=\S)")
@@ -287,7 +288,7 @@ def _one_pass(docs: DataFrame, index, threshold: float, overlap: float) -> DataF
             texts, before = batch.column(names.index("text")), batch.column(names.index("hits"))
             _, offsets = text_buffers(texts)
             hits: list[list[dict]] = []
-            for a, b in groups(offsets):
+            for a, b in groups(offsets, GROUP_BYTES):
                 h, doc = words(texts.slice(a, b - a))
                 hits += _hits(index.value, h, doc, b - a, threshold, overlap)
             for i in np.flatnonzero(pa.compute.list_value_length(before).to_numpy(zero_copy_only=False)):

@@ -23,7 +23,7 @@ from fieldseq.llm.words import mix, text_buffers
 
 ORDER, SAMPLE_DOCS, SAMPLE_CHARS = 5, 400, 200_000
 TOLERANCE = 12  # deviations above a language's usual cost that are still its texts
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 UNKNOWN = "und"
 _PLANES = 0x40000
 _LANES = mix(np.arange(101, 117, dtype=np.uint64)) | np.uint64(1)

@@ -24,7 +24,7 @@ from fieldseq.llm.language import groups, is_held_out
 from fieldseq.llm.words import mix, text_buffers, word_spans
 
 GROUP_BYTES, GROUP_DOCS = 4 << 20, 30_000
-SHARD_BYTES, CONTEXT_TOKENS, PARTS = 12 << 20, 1_000_000, 8
+SHARD_BYTES, CONTEXT_TOKENS, PARTS = 10 << 20, 1_000_000, 8
 LEAST_SHARE, DISCOUNT, LENGTHS = 1e-6, 0.75, 64
 _BEGIN, _END = np.uint64(1), np.uint64(2)
 _LOW = np.uint64((1 << 48) - 1)

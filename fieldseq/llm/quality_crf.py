@@ -22,7 +22,7 @@ from fieldseq.llm.base import hash_sample, query, stored, table
 from fieldseq.llm.language import groups, is_held_out
 from fieldseq.llm.words import mix, text_buffers, word_spans
 
-PER_CLASS = 1500
+PER_CLASS, GROUP_BYTES = 1500, 2 << 20
 _BYTES = np.arange(256)
 
 
@@ -223,7 +223,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(0)
         raw, offsets = text_buffers(texts)
-        for a, b in groups(offsets):
+        for a, b in groups(offsets, GROUP_BYTES):
             part = texts.slice(a, b - a)
             own = offsets[a:b + 1]
             x, doc, size = line_features(raw, part, own)
@@ -279,7 +279,7 @@ def score(docs: DataFrame, model: Field) -> DataFrame:
             texts = batch.column(names.index("text"))
             raw, offsets = text_buffers(texts)
             out = np.zeros(batch.num_rows)
-            for a, b in groups(offsets):
+            for a, b in groups(offsets, GROUP_BYTES):
                 x, doc, size = line_features(raw, texts.slice(a, b - a), offsets[a:b + 1])
                 out[a:b] = field.score(field.good_share(x, doc, size, b - a))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)],
