@@ -15,6 +15,7 @@ from fieldseq.operators.skew import stacked
 from fieldseq.sources.readers import latest
 
 _CHECKPOINT = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}  # application id to the folder of a local session
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,10 +29,11 @@ def scratch_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT} to a folder all executors can reach")
-    own = tempfile.mkdtemp(prefix="fieldseq-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set(_CHECKPOINT, own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="fieldseq-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return _LOCAL[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
