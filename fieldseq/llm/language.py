@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from fieldseq.llm.base import hash_sample, query, stored, table
 from fieldseq.llm.words import mix, text_buffers
 
-ORDER, SAMPLE_DOCS, SAMPLE_CHARS = 5, 400, 200_000
+ORDER, SAMPLE_DOCS, SAMPLE_CHARS = 5, 150, 200_000
 TOLERANCE = 12  # deviations above a language's usual cost that are still its texts
 GROUP_BYTES = 1 << 20
 UNKNOWN = "und"
@@ -246,7 +246,8 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
 def _calibrate(model: Model, texts: list[tuple[int, str]]) -> None:
     """Sharpness of the scores and usual costs, from texts the models have not seen."""
     raw, offsets = text_buffers(pa.array([t for _, t in texts], pa.large_string()))
-    cost, size = model.text_costs(raw, offsets)
+    parts = [model.text_costs(raw, offsets[a:b + 1]) for a, b in groups(offsets)]
+    cost, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     truth = np.array([i for i, _ in texts])[size > 0]
     cost, size = cost[size > 0], size[size > 0]
     best_fit = -np.inf
