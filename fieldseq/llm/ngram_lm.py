@@ -4,8 +4,9 @@ Every predicted word and its two predecessors form an event; events go to the sh
 the word in the middle, which sees everything said after that word. A shard counts the
 events of training texts, builds its trie, scores its events and returns sums per text.
 Contexts of a word too frequent for one shard are dealt by the word before it. The
-unigram level is a table of the words that make up at least a millionth of all
-tokens (so at most a million) and, for the others, a share per word length.
+unigram level has every word's own count: those of words that make up at least a
+millionth of all tokens (so at most a million) are broadcast, those of the others are
+joined and sent to the shards that ask for them. Only unseen words share a value.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,47 +27,49 @@ from fieldseq.llm.words import mix, text_buffers, word_spans
 
 GROUP_BYTES, GROUP_DOCS = 4 << 20, 30_000
 SHARD_BYTES, CONTEXT_TOKENS, PARTS = 10 << 20, 1_000_000, 8
-LEAST_SHARE, DISCOUNT, LENGTHS = 1e-6, 0.75, 64
+LEAST_SHARE, DISCOUNT, UNSEEN = 1e-6, 0.75, 64  # UNSEEN: tokens set aside for unseen words
+PACK_ROWS = 200_000
 _BEGIN, _END = np.uint64(1), np.uint64(2)
 _LOW = np.uint64((1 << 48) - 1)
 _TRAIN = 0x8000
 
 
-def _text_groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Range of texts, and 48-bit words, text index and clipped byte length of their words."""
+def _text_groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Range of texts, and 48-bit words and text index of their words."""
     _, offsets = text_buffers(texts)
     for a0, b0 in groups(offsets, GROUP_BYTES):
         for a in range(a0, b0, GROUP_DOCS):
             b = min(a + GROUP_DOCS, b0)
             parts = list(word_spans(texts.slice(a, b - a)))
-            word, doc, size = (np.concatenate([p[i] for p in parts]) for i in range(3)) if parts \
-                else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield a, b, np.maximum(word & _LOW, np.uint64(3)), doc, np.minimum(size, LENGTHS - 1)
+            word, doc = (np.concatenate([p[i] for p in parts]) for i in range(2)) if parts \
+                else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield a, b, np.maximum(word & _LOW, np.uint64(3)), doc
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, word, _, size in _text_groups(batch.column(0)):
-            kinds, first, count = np.unique(word, return_index=True, return_counts=True)
+        for _, _, word, _ in _text_groups(batch.column(0)):
+            kinds, count = np.unique(word, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds.astype(np.int64)), pa.array(size[first]), pa.array(count)],
-                ["word", "size", "n"])
+                [pa.array(kinds.astype(np.int64)), pa.array(count)], ["word", "n"])
 
 
 class Unigrams:
-    """Counts of frequent words, most frequent first, and the share of other words by length."""
+    """Counts of frequent words, most frequent first, and the share of words never seen."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, by_size: dict[int, tuple[int, int]],
-                 n_texts: int, total: int, distinct: int) -> None:
+    def __init__(self, words: np.ndarray, counts: np.ndarray, n_texts: int, total: int,
+                 distinct: int) -> None:
         order = np.lexsort((words, -counts))
         self.words, self.counts = words[order], counts[order]
         self.total, self.distinct, self.n_texts = total, distinct, n_texts
         self.rank = np.argsort(self.words)
         self.sorted = self.words[self.rank]
-        self.codes = coded(np.maximum(self.counts, 0.5) / (total + LENGTHS))
-        rare = np.array([(by_size.get(i, (0, 0))[0] + 1.0) / (by_size.get(i, (0, 0))[1] + 1)
-                         for i in range(LENGTHS)])
-        self.rare_codes = coded(rare / (total + LENGTHS))
+        self.codes = self.codes_of(self.counts)
+        self.unseen = self.codes_of(np.ones(1))[0]
+
+    def codes_of(self, counts: np.ndarray) -> np.ndarray:
+        """Codes of the unigram probabilities of words with these counts."""
+        return coded(np.maximum(counts, 0.5) / (self.total + UNSEEN))
 
     def number(self, words: np.ndarray) -> np.ndarray:
         """Place of each word among the frequent ones, -1 for others."""
@@ -73,22 +77,25 @@ class Unigrams:
         return np.where(known, self.rank[at], -1)
 
 
-def count_unigrams(docs: DataFrame, least_share: float = LEAST_SHARE) -> Unigrams:
-    """Count all words of the training texts (column `train`); only bounded tables come back."""
+def count_unigrams(docs: DataFrame, least_share: float = LEAST_SHARE
+                   ) -> tuple[Unigrams, DataFrame | None]:
+    """Count all words of the training texts (column `train`).
+
+    Only the frequent words come back; the others are (word, n) in a stored table, None
+    when there are none.
+    """
     learned = docs.filter("train")
-    counts = stored(learned.select("text").mapInArrow(_count_words, "word long, size long, n long")
-                    .groupBy("word").agg(F.min("size").alias("size"), F.sum("n").alias("n")),
-                    "word_counts")
+    counts = stored(learned.select("text").mapInArrow(_count_words, "word long, n long")
+                    .groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
     n_texts = learned.count()
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = (sums.n or 0) + n_texts, sums.v + (n_texts > 0)
     often = F.col("n") >= F.lit(least_share * total)  # at most 1 / least_share words
-    frequent = counts.filter(often).select("word", "n").toPandas()
-    rare = {r["size"]: (r.n, r.v) for r in counts.filter(~often).groupBy("size").agg(
-        F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    frequent = counts.filter(often).toPandas()
+    rare = counts.filter(~often) if len(frequent) < sums.v else None
     return Unigrams(np.append(frequent["word"].to_numpy(np.uint64), (_END, _BEGIN)),
-                    np.append(frequent["n"].to_numpy(np.int64), (n_texts, 0)), rare, docs.count(),
-                    total, distinct)
+                    np.append(frequent["n"].to_numpy(np.int64), (n_texts, 0)), docs.count(),
+                    total, distinct), rare
 
 
 def _press(values: np.ndarray) -> bytes:
@@ -106,9 +113,9 @@ def _unpress(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
 
 
-_SENT = ["shard", "batch", "often", "words", "sizes", "w1", "w2", "w3", "at", "home"]
-_SENT_SQL = ("shard int, batch long, often binary, words binary, sizes binary, w1 binary, w2 binary, "
-             "w3 binary, at binary, home binary")
+_SENT = ["shard", "batch", "often", "words", "w1", "w2", "w3", "at", "home", "counts"]
+_SENT_SQL = ("shard int, batch long, often binary, words binary, w1 binary, w2 binary, "
+             "w3 binary, at binary, home binary, counts binary")
 _HOME = -1
 
 
@@ -119,6 +126,40 @@ def _context(before: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndar
     return np.where(parts > 1, dealt, word)
 
 
+class _Group:
+    """Events of some texts: words by number of kind (frequent ones first), owner and shard."""
+
+    def __init__(self, ids: np.ndarray, word: np.ndarray, doc: np.ndarray, uni: Unigrams,
+                 shards: int) -> None:
+        n = len(ids)
+        self.per_doc = np.bincount(doc, minlength=n)
+        # the words of each text, then its end
+        now = np.full(len(word) + n, _END)
+        now[np.arange(len(word)) + doc] = word
+        self.owner = np.repeat(np.arange(n, dtype=np.int32), self.per_doc + 1)
+        heads = np.concatenate(([0], np.cumsum(self.per_doc + 1)))[:-1]
+        kinds, w3 = np.unique(np.append(now, _BEGIN), return_inverse=True)
+        often = uni.number(kinds)
+        count = np.where(often >= 0, uni.counts[often], -1)
+        # numbers of kinds: frequent ones first, most frequent first
+        order = np.lexsort((kinds, np.where(often >= 0, often, len(uni.words))))
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        kinds, often, count = (x[order] for x in (kinds, often, count))
+        self.kinds, self.often, self.count = kinds, often, count
+        w3 = back[w3]
+        begin, w3 = w3[-1], w3[:-1]
+        w2 = np.concatenate(([begin], w3[:-1]))
+        w2[heads] = begin
+        w1 = np.concatenate(([begin], w2[:-1]))
+        w1[heads] = begin
+        self.w1, self.w2, self.w3 = w1, w2, w3
+        before = kinds[w1]
+        before[heads] = mix(ids.astype(np.uint64))
+        self.many = np.where(kinds == _BEGIN, uni.n_texts, np.maximum(count, 0))
+        self.shard = (mix(_context(before, kinds[w2], self.many[w2])) % np.uint64(shards)).astype(np.int32)
+
+
 def _events(shards: int, shared):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni: Unigrams = shared.value
@@ -126,44 +167,20 @@ def _events(shards: int, shared):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, word, doc, size in _text_groups(batch.column(1)):
+            for a, b, word, doc in _text_groups(batch.column(1)):
                 n = b - a
-                per_doc = np.bincount(doc, minlength=n)
-                # the words of each text, then its end
-                now = np.full(len(word) + n, _END)
-                length = np.zeros(len(now), np.uint8)
-                place = np.arange(len(word)) + doc
-                now[place], length[place] = word, size
-                owner = np.repeat(np.arange(n, dtype=np.int32), per_doc + 1)
-                heads = np.concatenate(([0], np.cumsum(per_doc + 1)))[:-1]
-                kinds, sample, w3 = np.unique(np.append(now, _BEGIN), return_index=True,
-                                              return_inverse=True)
-                length = np.append(length, np.uint8(0))[sample]
-                often = uni.number(kinds)
-                count = np.where(often >= 0, uni.counts[often], -1)
-                # numbers of kinds: frequent ones first, most frequent first
-                order = np.lexsort((kinds, np.where(often >= 0, often, len(uni.words))))
-                back = np.empty(len(order), np.int32)
-                back[order] = np.arange(len(order), dtype=np.int32)
-                kinds, length, often, count = (x[order] for x in (kinds, length, often, count))
-                w3 = back[w3]
-                begin, w3 = w3[-1], w3[:-1]
-                w2 = np.concatenate(([begin], w3[:-1]))
-                w2[heads] = begin
-                w1 = np.concatenate(([begin], w2[:-1]))
-                w1[heads] = begin
+                g = _Group(ids[a:b], word, doc, uni, shards)
+                kinds, often, count, shard = g.kinds, g.often, g.count, g.shard
+                owner, w1, w2, w3 = g.owner, g.w1, g.w2, g.w3
                 # frequent words are counted here, the others where their contexts are
                 base = np.bincount(owner, np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.5), 0.0)[w3], n)
                 known = np.bincount(owner, (count > 0)[w3], n)
-                home = np.concatenate((ids[a:b], per_doc + 1, known.astype(np.int64))).tobytes() \
+                home = np.concatenate((ids[a:b], g.per_doc + 1, known.astype(np.int64))).tobytes() \
                     + base.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_HOME], pa.int32()), pa.array([number]),
-                     *[pa.nulls(1, pa.binary())] * 7, pa.array([home], pa.binary())], _SENT)
-                before = kinds[w1]
-                before[heads] = mix(ids[a:b].astype(np.uint64))
-                many = np.where(kinds == _BEGIN, uni.n_texts, np.maximum(count, 0))
-                shard = (mix(_context(before, kinds[w2], many[w2])) % np.uint64(shards)).astype(np.int32)
+                     *[pa.nulls(1, pa.binary())] * 6, pa.array([home], pa.binary()),
+                     pa.nulls(1, pa.binary())], _SENT)
                 order = np.lexsort((w2, shard))
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 at = np.where(train[a:b][owner], owner | _TRAIN, owner).astype(np.uint16)
@@ -177,31 +194,75 @@ def _events(shards: int, shared):
                     kind = np.uint16 if len(local) < 65536 else np.uint32
                     rows.append([s, _press(np.diff(often[local[:split]], prepend=0).astype(np.uint32)),
                                  _press(np.diff(kinds[local[split:]], prepend=np.uint64(0))),
-                                 _press(length[local[split:]]),
                                  *[_press(slot[x[take]].astype(kind)) for x in (w1, w2, w3)],
                                  _press(at[take])])
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array([number] * len(rows)),
                      *[pa.array(c, pa.binary()) for c in columns[1:]],
-                     pa.nulls(len(rows), pa.binary())], _SENT)
+                     *[pa.nulls(len(rows), pa.binary())] * 2], _SENT)
                 number += 1
     return apply
 
 
+def _asked(shards: int, shared):
+    """(shard, word): the words that are not frequent and are predicted in a shard."""
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uni: Unigrams = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b, word, doc in _text_groups(batch.column(1)):
+                g = _Group(ids[a:b], word, doc, uni, shards)
+                rare = np.flatnonzero(g.often[g.w3] < 0)
+                pair = np.unique(g.shard[rare].astype(np.int64) * len(g.kinds) + g.w3[rare])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((pair // len(g.kinds)).astype(np.int32)),
+                     pa.array(g.kinds[pair % len(g.kinds)].astype(np.int64))], ["shard", "word"])
+    return apply
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, word, n) as one row of events' form per shard and many rows."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        shard, word, n = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+        held.clear()
+        order = np.lexsort((word, shard))
+        shard, word, n = shard[order], word[order].astype(np.uint64), n[order]
+        first = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+        cuts = list(zip(first, first[1:]))
+        words = [_press(np.diff(word[x:y], prepend=np.uint64(0))) for x, y in cuts]
+        none = pa.nulls(len(cuts), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shard[first[:-1]], pa.int32()), pa.nulls(len(cuts), pa.int64()), none,
+             pa.array(words, pa.binary()), *[none] * 5,
+             pa.array([_press(n[x:y]) for x, y in cuts], pa.binary())], _SENT)
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= PACK_ROWS:
+            yield flush()
+    if held:
+        yield flush()
+
+
 def _unpacked(rows: pa.Table, uni: Unigrams):
-    """Words of a shard (hash, code of the unigram probability, whether frequent), and its events."""
-    often, rare, sizes, first = [], [], [], [0]
+    """Words of a shard (hash, number, log10 of the unigram probability), and its events."""
+    sent = pc.is_valid(rows["counts"])
+    asked, rows = rows.filter(sent), rows.filter(pc.invert(sent))
+    often, rare, first = [], [], [0]
     for i in range(len(rows)):
         often.append(uni.words[np.cumsum(_unpress(rows["often"][i].as_py(), np.uint32), dtype=np.int64)])
         rare.append(np.cumsum(_unpress(rows["words"][i].as_py(), np.uint64), dtype=np.uint64))
-        sizes.append(_unpress(rows["sizes"][i].as_py(), np.uint8))
         first.append(first[-1] + len(often[-1]) + len(rare[-1]))
     both = np.concatenate([x for pair in zip(often, rare) for x in pair])
-    size = np.concatenate([x for o, z in zip(often, sizes) for x in (np.zeros(len(o), np.uint8), z)])
-    kinds, sample, slot = np.unique(both, return_index=True, return_inverse=True)
-    number, size, slot = uni.number(kinds), size[sample], slot.astype(np.int32)
-    codes = np.where(number >= 0, uni.codes[number], uni.rare_codes[size])
+    kinds, slot = np.unique(both, return_inverse=True)
+    number, slot = uni.number(kinds), slot.astype(np.int32)
+    codes = np.where(number >= 0, uni.codes[number], uni.unseen)
+    for i in range(len(asked)):
+        words = np.cumsum(_unpress(asked["words"][i].as_py(), np.uint64), dtype=np.uint64)
+        codes[find(kinds, words)[0]] = uni.codes_of(_unpress(asked["counts"][i].as_py(), np.int64))
     events = []
     for name in ("w1", "w2", "w3"):
         parts = []
@@ -210,7 +271,7 @@ def _unpacked(rows: pa.Table, uni: Unigrams):
             parts.append(slot[first[i]:first[i + 1]][_unpress(rows[name][i].as_py(), kind)])
         events.append(np.concatenate(parts))
     at = [_unpress(x.as_py(), np.uint16) for x in rows["at"]]
-    return kinds, number, log10_of(codes), events, at
+    return rows["batch"], kinds, number, log10_of(codes), events, at
 
 
 def _score_shard(shared):
@@ -225,8 +286,7 @@ def _score_shard(shared):
             none = pa.nulls(len(rows), pa.binary())
             return pa.table([rows["batch"], none, none, none, none, rows["home"]], names)
         uni: Unigrams = shared.value
-        batches = rows["batch"]
-        kinds, number, low, (w1, w2, w3), at = _unpacked(rows, uni)
+        batches, kinds, number, low, (w1, w2, w3), at = _unpacked(rows, uni)
         del rows
         width = len(kinds)
         uses = np.bincount(w2[(np.concatenate(at) & _TRAIN) > 0], minlength=width)
@@ -292,15 +352,20 @@ def score_texts(docs: DataFrame, discount_share: float = LEAST_SHARE) -> DataFra
     tasks see the same rows when they are run again. Returns doc_id, n_tokens, n_known,
     train_tokens, base_score and score (both log10) per row. Null texts are empty and
     consist of their end; repeated rows are scored, and learned, as often as they occur.
-    Without training texts every word has the unigram share of its length.
+    Without training texts all words have the same unigram share. `discount_share` says
+    which counts are broadcast; scores do not depend on it.
     """
     spark = docs.sparkSession
-    unigrams = count_unigrams(docs, discount_share)
+    unigrams, rare = count_unigrams(docs, discount_share)
     shared = spark.sparkContext.broadcast(unigrams)  # at most 1 / discount_share words
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(shuffle_width(spark), -(-size // SHARD_BYTES))
-    sent = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text", "train").mapInArrow(
-        _events(shards, shared), _SENT_SQL)
+    docs = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text", "train")
+    sent = docs.mapInArrow(_events(shards, shared), _SENT_SQL)
+    if rare is not None:
+        asked = docs.mapInArrow(_asked(shards, shared), "shard int, word long").distinct()
+        sent = sent.unionByName(asked.join(rare, "word").select("shard", "word", "n")
+                                .mapInArrow(_packed, _SENT_SQL))
     where = F.when(F.col("shard") == _HOME, F.pmod("batch", F.lit(shards))).otherwise(F.lit(-1))
     scored = sent.groupBy("shard", where.alias("_at")).applyInArrow(
         _score_shard(shared),

@@ -225,3 +225,24 @@ def test_scores_against_counting(spark, monkeypatch, context_tokens):
     none = spark.read.parquet(path).selectExpr("doc_id", "text", "false as train")
     assert ngram_lm.score_texts(none).filter("score < 0 and train_tokens = 0").count() == len(rows)
     assert ngram_lm.score_texts(none.limit(0)).count() == 0
+
+
+def stored_texts(spark, n=60):
+    """Texts of few words, some of them held out; a seventh of the words occurs once or never in training."""
+    import tempfile
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["the", "the", "of", f"w{rng.randrange(40)}", f"r{rng.randrange(900)}"])
+                         for _ in range(rng.randrange(1, 60))), i % 5 != 1) for i in range(n)]
+    rows += [(500, "the unseen words of w1", False), (501, None, True), (502, "the of the of", False)]
+    path = tempfile.mkdtemp(prefix="lm-") + "/d"
+    spark.createDataFrame(rows, "doc_id long, text string, train boolean").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_scores_do_not_depend_on_which_words_are_broadcast(spark):
+    docs = stored_texts(spark)
+    all_sent, none_sent = ({r.doc_id: r for r in ngram_lm.score_texts(docs, share).collect()} for share in (1e-6, 0.9))
+    assert len(all_sent) == len(none_sent) == docs.count()
+    for i, r in all_sent.items():
+        assert none_sent[i].n_known == r.n_known and abs(none_sent[i].base_score - r.base_score) < 1e-3
+        assert abs(none_sent[i].score - r.score) < 1e-3, i
