@@ -10,6 +10,7 @@ monotone pointers; probabilities and back-off weights are 16-bit codes.
 from __future__ import annotations
 
 import tempfile
+from typing import NamedTuple
 
 import numpy as np
 
@@ -95,32 +96,71 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+class Dealt(NamedTuple):
+    """Contexts of which a shard has only a part, with their values over all parts.
+
+    `pair_*` are the words after them, as often as they follow different words before;
+    `first` is the context before the first word, `first_*` its sums and its words.
+    """
+
+    w2: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+    pair_w2: np.ndarray
+    pair_w3: np.ndarray
+    pair_n: np.ndarray
+    first: np.ndarray
+    first_total: np.ndarray
+    first_kinds: np.ndarray
+    first_word: np.ndarray
+    first_count: np.ndarray
+
+
+def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values at these places; without any, zeros."""
+    return values[at] if len(values) else np.zeros(len(at), values.dtype)
+
+
 class Trie:
     """Interpolated Kneser-Ney trigram model of the contexts of one shard.
 
     Built from distinct (w1, w2, w3) with counts, sorted by w2, w1, w3; words are numbers
-    below `width`. `low` has each word's unigram probability.
+    below `width`. `low` has each word's unigram probability. Contexts in `dealt` take
+    their bigram level from there.
     """
 
     def __init__(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, count: np.ndarray,
-                 low: np.ndarray, width: int, discount: float) -> None:
+                 low: np.ndarray, width: int, discount: float, dealt: Dealt | None = None) -> None:
         self.width, self.levels = width, Levels()
         put, mono = self.levels.put, self.levels.put_monotone
-        self.empty = not len(count)
+        root_word = np.unique(w2 if dealt is None else np.concatenate((w2, dealt.w2)))
+        self.empty = not len(root_word)
         if self.empty:
             return
-        roots = _runs(w2)
-        root_word = w2[roots]
-        root_of = np.repeat(np.arange(len(roots)), np.diff(np.append(roots, len(w2))))
+        n_roots, root_of = len(root_word), np.searchsorted(root_word, w2)
         # words after the last word: as often as they follow different words before it
         after, kinds = np.unique(root_of * width + w3, return_counts=True)
+        if dealt is not None:
+            own = ~np.isin(root_word[after // width], dealt.w2)
+            after = np.append(after[own], np.searchsorted(root_word, dealt.pair_w2) * width + dealt.pair_w3)
+            kinds = np.append(kinds[own], dealt.pair_n)
+            order = np.argsort(after)
+            after, kinds = after[order], kinds[order]
         after_root = after // width
-        p2, back2 = self._smooth(kinds, after_root, len(roots), low[after % width], discount)
+        total, n_after = self._sums(kinds, after_root, n_roots)
+        if dealt is not None:
+            at = np.searchsorted(root_word, dealt.w2)
+            total[at], n_after[at] = dealt.total, dealt.kinds
+        p2, back2 = self._smooth(kinds, after_root, total, n_after, low[after % width], discount)
         slot = np.searchsorted(after, root_of * width + w3)
         before = _runs(w2, w1)
         context = np.repeat(np.arange(len(before)), np.diff(np.append(before, len(w2))))
-        p3, back3 = self._smooth(count, context, len(before), p2[slot], discount)
-        first_after = np.searchsorted(after_root, np.arange(len(roots) + 1))
+        total, n_after = self._sums(count, context, len(before))
+        if dealt is not None and len(dealt.first):
+            at = np.flatnonzero(w2[before] == dealt.first[0])
+            total[at], n_after[at] = dealt.first_total[0], dealt.first_kinds[0]
+        p3, back3 = self._smooth(count, context, total, n_after, p2[slot], discount)
+        first_after = np.searchsorted(after_root, np.arange(n_roots + 1))
         sizes = np.diff(first_after)[root_of[before]]
         base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         mono("roots", root_word)
@@ -135,10 +175,13 @@ class Trie:
         put("back3", coded(back3))
 
     @staticmethod
-    def _smooth(count: np.ndarray, group: np.ndarray, groups: int, lower: np.ndarray,
-                discount: float) -> tuple[np.ndarray, np.ndarray]:
-        total = np.bincount(group, count, groups)
-        back = discount * np.bincount(group, minlength=groups) / total
+    def _sums(count: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(group, count, groups), np.bincount(group, minlength=groups)
+
+    @staticmethod
+    def _smooth(count: np.ndarray, group: np.ndarray, total: np.ndarray, kinds: np.ndarray,
+                lower: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+        back = discount * kinds / total
         return (count - discount) / total[group] + back[group] * lower, back
 
     def log10(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -152,12 +195,12 @@ class Trie:
         place, has_before = find(mono("before"), root * self.width + w1)
         has_before &= has_root
         relative = slot - mono("after_ptr")[root]
-        at, has_follow = find(mono("follow"), relative + mono("follow_base")[place])
+        at, has_follow = find(mono("follow"), relative + _taken(mono("follow_base"), place))
         has_follow &= has_before & has_after
-        p2 = np.where(has_after, log10_of(get("p2")[slot]), log10_of(get("back2")[root]) + low[w3])
+        p2 = np.where(has_after, log10_of(_taken(get("p2"), slot)), log10_of(get("back2")[root]) + low[w3])
         p2 = np.where(has_root, p2, low[w3])
-        p3 = np.where(has_before, log10_of(get("back3")[place]) + p2, p2)
-        return np.where(has_follow, log10_of(get("p3")[at]), p3)
+        p3 = np.where(has_before, log10_of(_taken(get("back3"), place)) + p2, p2)
+        return np.where(has_follow, log10_of(_taken(get("p3"), at)), p3)
 
     def close(self) -> None:
         self.levels.close()

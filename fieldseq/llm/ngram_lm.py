@@ -3,7 +3,8 @@
 Every predicted word and its two predecessors form an event; events go to the shard of
 the word in the middle, which sees everything said after that word. A shard counts the
 events of training texts, builds its trie, scores its events and returns sums per text.
-Contexts of a word too frequent for one shard are dealt by the word before it. The
+Contexts of a word too frequent for one shard are dealt by the word before it; what
+follows that word is counted over all parts first and sent to each of them. The
 unigram level has every word's own count: those of words that make up at least a
 millionth of all tokens (so at most a million) are broadcast, those of the others are
 joined and sent to the shards that ask for them. Only unseen words share a value.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldseq.llm.base import query, shuffle_width, stored, table
-from fieldseq.llm.elias_fano import Trie, coded, find, log10_of
+from fieldseq.llm.elias_fano import Dealt, Trie, coded, find, log10_of
 from fieldseq.llm.language import groups, is_held_out
 from fieldseq.llm.words import mix, text_buffers, word_spans
 
@@ -62,6 +63,7 @@ class Unigrams:
         order = np.lexsort((words, -counts))
         self.words, self.counts = words[order], counts[order]
         self.total, self.distinct, self.n_texts = total, distinct, n_texts
+        self.context_tokens = CONTEXT_TOKENS  # workers get the driver's value
         self.rank = np.argsort(self.words)
         self.sorted = self.words[self.rank]
         self.codes = self.codes_of(self.counts)
@@ -71,6 +73,9 @@ class Unigrams:
         """Codes of the unigram probabilities of words with these counts."""
         return coded(np.maximum(counts, 0.5) / (self.total + UNSEEN))
 
+    def any_dealt(self) -> bool:
+        return max(self.n_texts, int(self.counts.max())) > self.context_tokens
+
     def number(self, words: np.ndarray) -> np.ndarray:
         """Place of each word among the frequent ones, -1 for others."""
         at, known = find(self.sorted, words)
@@ -119,9 +124,9 @@ _SENT_SQL = ("shard int, batch long, often binary, words binary, w1 binary, w2 b
 _HOME = -1
 
 
-def _context(before: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
+def _context(before: np.ndarray, word: np.ndarray, count: np.ndarray, tokens: int) -> np.ndarray:
     """Shard key of a word in the middle; very frequent ones are dealt by what is before."""
-    parts = np.maximum(1, -(-count // CONTEXT_TOKENS)).astype(np.uint64)
+    parts = np.maximum(1, -(-count // tokens)).astype(np.uint64)
     dealt = mix(word + (mix(before) % parts + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     return np.where(parts > 1, dealt, word)
 
@@ -157,10 +162,12 @@ class _Group:
         before = kinds[w1]
         before[heads] = mix(ids.astype(np.uint64))
         self.many = np.where(kinds == _BEGIN, uni.n_texts, np.maximum(count, 0))
-        self.shard = (mix(_context(before, kinds[w2], self.many[w2])) % np.uint64(shards)).astype(np.int32)
+        context = _context(before, kinds[w2], self.many[w2], uni.context_tokens)
+        self.shard = (mix(context) % np.uint64(shards)).astype(np.int32)
 
 
-def _events(shards: int, shared):
+def _events(shards: int, shared, dealt: bool = False):
+    """Packed events by shard and the sums of each batch; with `dealt` only events of dealt contexts."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni: Unigrams = shared.value
         number = TaskContext.get().partitionId() << 32
@@ -172,15 +179,18 @@ def _events(shards: int, shared):
                 g = _Group(ids[a:b], word, doc, uni, shards)
                 kinds, often, count, shard = g.kinds, g.often, g.count, g.shard
                 owner, w1, w2, w3 = g.owner, g.w1, g.w2, g.w3
+                if dealt:
+                    shard = np.where((g.many > uni.context_tokens)[w2], shard, shards)
                 # frequent words are counted here, the others where their contexts are
                 base = np.bincount(owner, np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.5), 0.0)[w3], n)
                 known = np.bincount(owner, (count > 0)[w3], n)
                 home = np.concatenate((ids[a:b], g.per_doc + 1, known.astype(np.int64))).tobytes() \
                     + base.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_HOME], pa.int32()), pa.array([number]),
-                     *[pa.nulls(1, pa.binary())] * 6, pa.array([home], pa.binary()),
-                     pa.nulls(1, pa.binary())], _SENT)
+                if not dealt:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([_HOME], pa.int32()), pa.array([number]),
+                         *[pa.nulls(1, pa.binary())] * 6, pa.array([home], pa.binary()),
+                         pa.nulls(1, pa.binary())], _SENT)
                 order = np.lexsort((w2, shard))
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 at = np.where(train[a:b][owner], owner | _TRAIN, owner).astype(np.uint16)
@@ -196,6 +206,8 @@ def _events(shards: int, shared):
                                  _press(np.diff(kinds[local[split:]], prepend=np.uint64(0))),
                                  *[_press(slot[x[take]].astype(kind)) for x in (w1, w2, w3)],
                                  _press(at[take])])
+                if not rows:
+                    continue
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array([number] * len(rows)),
@@ -221,22 +233,47 @@ def _asked(shards: int, shared):
     return apply
 
 
+def _pairs(shared):
+    """(shard, context, word, n): for each pair of a dealt context how many words stand before it.
+
+    That is in training, and in this shard's parts; a word before is in one part only, so
+    sums over shards are exact. Nothing stands before the first word of a text: texts are
+    counted for it. Pairs only asked for have 0.
+    """
+    def apply(rows: pa.Table) -> pa.Table:
+        shard = rows["shard"][0].as_py()
+        _, kinds, _, _, (w1, w2, w3), at, _ = _unpacked(rows, shared.value)
+        train = (np.concatenate(at) & _TRAIN) > 0
+        pair, inverse = np.unique(w2.astype(np.int64) * len(kinds) + w3, return_inverse=True)
+        triples = np.unique((w1.astype(np.int64) * len(pair) + inverse)[train])
+        context = kinds[pair // len(kinds)]
+        n = np.where(context == _BEGIN, np.bincount(inverse[train], minlength=len(pair)),
+                     np.bincount(triples % len(pair), minlength=len(pair)))
+        return pa.table([pa.array(np.full(len(pair), shard, np.int32)), pa.array(context.astype(np.int64)),
+                         pa.array(kinds[pair % len(kinds)].astype(np.int64)), pa.array(n)],
+                        ["shard", "context", "word", "n"])
+    return apply
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, word, n) as one row of events' form per shard and many rows."""
+    """Rows (shard, context or 0, word, n) as one row of events' form per shard and many rows."""
     held: list[pa.RecordBatch] = []
 
     def flush() -> pa.RecordBatch:
-        shard, word, n = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+        shard, context, word, n = (np.concatenate([b.column(i).to_numpy() for b in held])
+                                   for i in range(4))
         held.clear()
-        order = np.lexsort((word, shard))
-        shard, word, n = shard[order], word[order].astype(np.uint64), n[order]
+        order = np.lexsort((word, context, shard))
+        shard, n = shard[order], n[order]
+        context, word = (x[order].astype(np.uint64) for x in (context, word))
         first = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
         cuts = list(zip(first, first[1:]))
-        words = [_press(np.diff(word[x:y], prepend=np.uint64(0))) for x, y in cuts]
+        contexts, words = ([_press(np.diff(x[a:b], prepend=np.uint64(0))) for a, b in cuts]
+                           for x in (context, word))
         none = pa.nulls(len(cuts), pa.binary())
         return pa.RecordBatch.from_arrays(
             [pa.array(shard[first[:-1]], pa.int32()), pa.nulls(len(cuts), pa.int64()), none,
-             pa.array(words, pa.binary()), *[none] * 5,
+             pa.array(words, pa.binary()), none, pa.array(contexts, pa.binary()), *[none] * 3,
              pa.array([_press(n[x:y]) for x, y in cuts], pa.binary())], _SENT)
     for batch in batches:
         if len(batch):
@@ -248,7 +285,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpacked(rows: pa.Table, uni: Unigrams):
-    """Words of a shard (hash, number, log10 of the unigram probability), and its events."""
+    """Words of a shard (hash, number, log10 of the unigram probability), its events and sent pairs."""
     sent = pc.is_valid(rows["counts"])
     asked, rows = rows.filter(sent), rows.filter(pc.invert(sent))
     often, rare, first = [], [], [0]
@@ -260,9 +297,13 @@ def _unpacked(rows: pa.Table, uni: Unigrams):
     kinds, slot = np.unique(both, return_inverse=True)
     number, slot = uni.number(kinds), slot.astype(np.int32)
     codes = np.where(number >= 0, uni.codes[number], uni.unseen)
+    pairs = [np.zeros((3, 0), np.int64)]
     for i in range(len(asked)):
-        words = np.cumsum(_unpress(asked["words"][i].as_py(), np.uint64), dtype=np.uint64)
-        codes[find(kinds, words)[0]] = uni.codes_of(_unpress(asked["counts"][i].as_py(), np.int64))
+        context, words = (np.cumsum(_unpress(asked[x][i].as_py(), np.uint64), dtype=np.uint64)
+                          for x in ("w2", "words"))
+        n, single = _unpress(asked["counts"][i].as_py(), np.int64), context == 0
+        codes[find(kinds, words[single])[0]] = uni.codes_of(n[single])
+        pairs.append(np.stack((find(kinds, context[~single])[0], find(kinds, words[~single])[0], n[~single])))
     events = []
     for name in ("w1", "w2", "w3"):
         parts = []
@@ -271,10 +312,27 @@ def _unpacked(rows: pa.Table, uni: Unigrams):
             parts.append(slot[first[i]:first[i + 1]][_unpress(rows[name][i].as_py(), kind)])
         events.append(np.concatenate(parts))
     at = [_unpress(x.as_py(), np.uint16) for x in rows["at"]]
-    return rows["batch"], kinds, number, log10_of(codes), events, at
+    return rows["batch"], kinds, number, log10_of(codes), events, at, np.concatenate(pairs, axis=1)
 
 
-def _score_shard(shared):
+def _dealt(kinds: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, totals: np.ndarray) -> Dealt:
+    """Values over all parts of those of a shard's contexts (ordered) that are dealt.
+
+    The first word of a text has one word before it, BEGIN, so both levels come from its pairs.
+    """
+    at, is_dealt = find(totals[0], kinds[contexts].astype(np.int64))
+    w2, at = np.flatnonzero(is_dealt), at[is_dealt]
+    total, n_words = totals[1][at], totals[2][at]
+    first = kinds[contexts[w2]] == _BEGIN
+    place, mine = find(contexts, pairs[0])
+    _, word, n = pairs[:, mine]
+    place = place[mine]
+    begins = kinds[contexts[place]] == _BEGIN
+    return Dealt(w2, np.where(first, n_words, total), n_words, place, word, np.where(begins, 1, n),
+                 w2[first], total[first], n_words[first], word[begins], n[begins])
+
+
+def _score_shard(shared, whole_contexts):
     """Count, build tries, score; per batch and text the sums of this shard's events.
 
     The shard is worked off in parts of whole contexts, each with a trie of its own, so
@@ -286,7 +344,7 @@ def _score_shard(shared):
             none = pa.nulls(len(rows), pa.binary())
             return pa.table([rows["batch"], none, none, none, none, rows["home"]], names)
         uni: Unigrams = shared.value
-        batches, kinds, number, low, (w1, w2, w3), at = _unpacked(rows, uni)
+        batches, kinds, number, low, (w1, w2, w3), at, pairs = _unpacked(rows, uni)
         del rows
         width = len(kinds)
         uses = np.bincount(w2[(np.concatenate(at) & _TRAIN) > 0], minlength=width)
@@ -297,22 +355,27 @@ def _score_shard(shared):
         found, score, base, known = np.zeros(n, bool), np.zeros(n), np.zeros(n), np.zeros(n, np.uint32)
         found[spot] = True
         own = np.where(number < 0, np.log10(uses + 0.5), 0.0)
-        counts = np.where(number >= 0, uni.counts[number], 0)
         whole = (1 << 63) // max(width * width, 1)  # contexts a 64-bit key has room for
         for part in range(PARTS):
             mine = np.flatnonzero(w2 % PARTS == part)
             if not len(mine):
                 continue
             a, b, c = w1[mine].astype(np.int64), w2[mine], w3[mine]
-            context = np.unique(_context(kinds[a], kinds[b], counts[b]), return_inverse=True)[1]
-            if int(context.max()) >= whole:
+            contexts, context = np.unique(b, return_inverse=True)
+            if len(contexts) > whole:
                 raise ValueError("shard too wide for its keys: lower SHARD_BYTES")
             key, inverse = np.unique((context * width + a) * width + c, return_inverse=True)
             seen = np.bincount(inverse, train[mine], len(key))
             d3, d12 = key % width, key // width
             d1, d2 = d12 % width, d12 // width
+            dealt = _dealt(kinds, contexts, pairs, whole_contexts.value)
+            if len(dealt.first):  # texts begin with the same context in all parts
+                begin = np.flatnonzero(d2 == dealt.first[0])
+                n_texts = np.zeros(width, np.int64)
+                n_texts[dealt.first_word] = dealt.first_count
+                seen[begin] = n_texts[d3[begin]]
             kept = np.flatnonzero(seen)
-            trie = Trie(d1[kept], d2[kept], d3[kept], seen[kept], 10.0 ** low, width, DISCOUNT)
+            trie = Trie(d1[kept], d2[kept], d3[kept], seen[kept], 10.0 ** low, width, DISCOUNT, dealt)
             value = trie.log10(d1, d2, d3, low)[inverse]
             trie.close()
             score += np.bincount(spot[mine], value, n)
@@ -362,13 +425,24 @@ def score_texts(docs: DataFrame, discount_share: float = LEAST_SHARE) -> DataFra
     shards = max(shuffle_width(spark), -(-size // SHARD_BYTES))
     docs = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text", "train")
     sent = docs.mapInArrow(_events(shards, shared), _SENT_SQL)
+    counted, totals = [], np.zeros((3, 0), np.int64)
     if rare is not None:
         asked = docs.mapInArrow(_asked(shards, shared), "shard int, word long").distinct()
-        sent = sent.unionByName(asked.join(rare, "word").select("shard", "word", "n")
-                                .mapInArrow(_packed, _SENT_SQL))
+        counted.append(asked.join(rare, "word").select("shard", F.lit(0).cast("long").alias("context"),
+                                                       "word", "n"))
+    if unigrams.any_dealt():
+        pairs = stored(docs.mapInArrow(_events(shards, shared, True), _SENT_SQL).groupBy("shard").applyInArrow(
+            _pairs(shared), "shard int, context long, word long, n long"), "dealt_pairs")
+        over_all = pairs.groupBy("context", "word").agg(F.sum("n").alias("n")).filter("n > 0")
+        counted.append(pairs.drop("n").join(over_all, ["context", "word"])
+                       .select("shard", "context", "word", "n"))
+        totals = over_all.groupBy("context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).orderBy(
+            "context").toPandas().to_numpy(np.int64).T  # at most train_tokens / CONTEXT_TOKENS and BEGIN
+    for rows in counted:
+        sent = sent.unionByName(rows.mapInArrow(_packed, _SENT_SQL))
     where = F.when(F.col("shard") == _HOME, F.pmod("batch", F.lit(shards))).otherwise(F.lit(-1))
     scored = sent.groupBy("shard", where.alias("_at")).applyInArrow(
-        _score_shard(shared),
+        _score_shard(shared, spark.sparkContext.broadcast(totals)),
         "batch long, at binary, known binary, base binary, score binary, home binary")
     sums = scored.groupBy("batch").applyInArrow(
         _sum_batch, "doc_id long, n_tokens long, n_known long, base double, score double")

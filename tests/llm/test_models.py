@@ -246,3 +246,19 @@ def test_scores_do_not_depend_on_which_words_are_broadcast(spark):
     for i, r in all_sent.items():
         assert none_sent[i].n_known == r.n_known and abs(none_sent[i].base_score - r.base_score) < 1e-3
         assert abs(none_sent[i].score - r.score) < 1e-3, i
+
+
+def test_scores_do_not_depend_on_dealt_contexts(spark, monkeypatch):
+    """Also not on the ids of texts, when the context before first words is dealt by them."""
+    from pyspark.sql import functions as F
+    docs = stored_texts(spark, 120)
+    want = {r.doc_id: r for r in ngram_lm.score_texts(docs).collect()}
+    monkeypatch.setattr(ngram_lm, "CONTEXT_TOKENS", 40)
+    assert ngram_lm.count_unigrams(docs)[0].any_dealt() and docs.filter("train").count() > 40
+    for add, share in ((0, 1e-6), (70_000, 0.9 / 40)):
+        moved = docs.withColumn("doc_id", F.col("doc_id") + add)
+        got = {r.doc_id - add: r for r in ngram_lm.score_texts(moved, share).collect()}
+        assert len(got) == len(want)
+        for i, r in want.items():
+            assert abs(got[i].score - r.score) < 1e-3, (i, add)
+            assert got[i].n_known == r.n_known and abs(got[i].base_score - r.base_score) < 1e-3
