@@ -7,6 +7,7 @@ PageRank over host edges; a host whose distrust exceeds its trust is blocked.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,15 @@ from fieldseq.llm.base import query, stored, table
 # The rules of the contract, as (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ROUNDS, SMALLEST = 0.85, 20, 1e-9
+DAMPING, SMALLEST = 0.85, 1e-9
+
+
+def rounds_to(damping: float, smallest: float) -> int:
+    """Rounds after which less than `smallest` moves on any graph: what moves shrinks by `damping`."""
+    return math.ceil(math.log(smallest / 2) / math.log(damping)) + 1
+
+
+ROUNDS = rounds_to(DAMPING, SMALLEST)
 _UPPER = "".join(map(chr, range(65, 91)))
 
 
@@ -57,13 +66,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None,
               smallest: float = SMALLEST) -> DataFrame:
     """(kind, host, value): both walks at once, by kind `trust` and `distrust`.
 
     Seeds are (kind, host, seed). Mass at hosts without a way out returns to the
     seeds of its kind. Each round is one join on the source host and one sum, written
-    to the shared folder; it ends when less than `smallest` moved.
+    to the shared folder; it ends when less than `smallest` moved, which takes
+    up to `rounds_to` rounds (133 by default), or after `rounds` when given.
     """
     ways = (edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), "dst", "n")
             .unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"),
@@ -76,7 +86,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     ranks = seeds.select("kind", "host", F.col("seed").alias("value"))
     if ways.isEmpty():
         return ranks
-    for k in range(rounds):
+    for k in range(rounds_to(damping, smallest) if rounds is None else rounds):
         sent = stored(ranks.join(ways, ["kind", "host"])
                       .groupBy("kind", F.col("dst").alias("host"))
                       .agg(F.sum(F.col("value") * F.col("share")).alias("got")), f"sent{k}")

@@ -114,6 +114,17 @@ def test_urls_rules_and_propagation(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_propagation_goes_on_until_it_has_settled(spark):
+    """A chain of 24 links, against far more rounds of the plain walk."""
+    chain = {(f"h{i:02}", f"h{i + 1:02}"): 1 for i in range(24)}
+    edges = spark.createDataFrame([(a, b, n) for (a, b), n in chain.items()], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("trust", "h00", 1.0)], "kind string, host string, seed double")
+    got = {r.host: r.value for r in url_filter.propagate(edges, seeds, 0.5, smallest=1e-8).collect()}
+    want = brute_ranks(chain, {"h00": 1.0}, 400, 0.5)
+    assert got["h23"] > 0 and all(abs(got[h] - v) < 1e-8 for h, v in want.items())
+    assert 0.85 ** url_filter.ROUNDS < url_filter.SMALLEST
+
+
 def test_archives_round_trip(spark):
     big, long = "é<p>\r\n\r\nWARC/1.1\r\n" * 20, "y" * 300_000
     rows = [(5, "http://a/1", big), (3, "http://a/2", big), (3, "http://a/2", big), (9, None, big), (1, "u", "small"),
