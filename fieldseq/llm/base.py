@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldseq.sources.tables import written
+from fieldseq.sources.tables import scratch_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
+def kept_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As `stored`, with the folder, for tables that are dropped once the next one is written."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/fieldseq-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def n_words(text: Column | str) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
