@@ -21,5 +21,5 @@ def test_entry_lists_the_queries():
     import __spark_entry__ as entry
     names = entry.queries()
     assert set(QUERIES) <= set(names) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(entry.oracle_sql()) <= set(names)
