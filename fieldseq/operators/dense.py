@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldseq.operators.skew import top_k
+from fieldseq.operators import predicate_index
+from fieldseq.operators.skew import stacked, top_k
+from fieldseq.sources.tables import written
 from fieldseq.spec import ZONES
 
 POOL = 50
@@ -23,6 +25,11 @@ KEPT_ROWS = 2_000_000
 TILE = 256
 # Vectors per side of one block pair when the query side is too large for that.
 BLOCK_ROWS = 20_000
+# Most balls the items are dealt to (their centres go to all tasks), and items per ball below that.
+BALLS = 1024
+BALL_ROWS = 500
+# Far more than cosines lose to rounding, to scores of SCORE_DIGITS digits included.
+_SLACK = 4e-9
 
 
 def unit(vector: Column) -> Column:
@@ -74,33 +81,36 @@ def _merged(parts: list[Hits], k: int) -> Hits:
 
 def nearest(queries: DataFrame, items: DataFrame, k: int = POOL, query_id: str = "qid",
             item_id: str = "uid", vector: str = "embedding", exclude: str | None = None,
-            allowed: str | None = None, matrix_cells: int = MATRIX_CELLS) -> DataFrame:
+            allowed: str | None = None, matrix_cells: int = MATRIX_CELLS,
+            gated: bool = False) -> DataFrame:
     """Best k items for each query vector: (qid, id, score, 0-based rank).
 
     Items and queries whose vector is null, zero or not finite take no part. `exclude` names a query column with one
     item id to leave out; `allowed` names an item column with an array of the
-    query ids the item may be returned for.
+    query ids the item may be returned for; with `gated`, queries and items carry the
+    columns of a predicate index, which decide that.
 
     While the query matrix is counted to be small it travels to the tasks, and
     the items are scanned once where they lie: no shuffle but that of the best k
-    per task. A larger query table is cut into blocks and met block by block.
+    per task. A larger query table meets only the balls of items in its reach.
     """
     items = items.filter(usable(F.col(vector)))
     queries = queries.filter(usable(F.col(vector)))
     q_type, i_type = queries.schema[query_id].dataType, items.schema[item_id].dataType
     out = T.StructType([T.StructField(query_id, q_type), T.StructField(item_id, i_type),
                         T.StructField("score", T.DoubleType())])
-    q_cols = [query_id, vector] + ([exclude] if exclude else [])
-    i_cols = [item_id, vector] + ([allowed] if allowed else [])
+    q_cols = [query_id, vector] + ([exclude] if exclude else []) + (
+        ["needs", "min_xg", "min_events"] if gated else [])
+    i_cols = [item_id, vector] + ([allowed] if allowed else []) + (
+        ["held", "xg_sum", "n_events"] if gated else [])
     width = queries.select(F.max(F.size(vector))).first()[0] or 1
     fit = max(1, min(matrix_cells // width, KEPT_ROWS // k))
     head = queries.select(*q_cols).limit(fit + 1).toPandas()
+    names = (query_id, item_id, vector, exclude, allowed, gated)
     if len(head) <= fit:
-        found = _scan(head, items.select(*i_cols), k, query_id, item_id, vector, exclude,
-                      allowed, out)
+        found = _scan(head, items.select(*i_cols), k, names, out)
     else:
-        found = _blocks(queries.select(*q_cols), items.select(*i_cols), k, query_id, item_id,
-                        vector, exclude, allowed, out)
+        found = _balls(queries.select(*q_cols), items.select(*i_cols), k, names, out)
     return top_k(found, [query_id], [F.desc("score"), F.asc(item_id)], k)
 
 
@@ -117,8 +127,11 @@ def _may(batch: pd.DataFrame, allowed: str, qids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _meet(q: pd.DataFrame, matrix: np.ndarray, batch: pd.DataFrame, k: int, query_id: str,
-          item_id: str, vector: str, exclude: str | None, allowed: str | None) -> Hits:
+Names = tuple[str, str, str, str | None, str | None, bool]
+
+
+def _meet(q: pd.DataFrame, matrix: np.ndarray, batch: pd.DataFrame, k: int, names: Names) -> Hits:
+    query_id, item_id, vector, exclude, allowed, gated = names
     ids, qids = batch[item_id].to_numpy(), q[query_id].to_numpy()
     vectors = _unit_rows(batch[vector])
     may = _may(batch, allowed, qids) if allowed else None
@@ -126,6 +139,8 @@ def _meet(q: pd.DataFrame, matrix: np.ndarray, batch: pd.DataFrame, k: int, quer
     for start in range(0, len(qids), TILE):
         tile = slice(start, start + TILE)
         barred = ~may[:, tile] if allowed else None
+        if gated:
+            barred = ~predicate_index.may(batch, q.iloc[tile])
         if exclude:
             own = ids[:, None] == q[exclude].to_numpy()[None, tile]
             barred = own if barred is None else barred | own
@@ -137,15 +152,16 @@ def _frame(hits: Hits, qids: np.ndarray, query_id: str, item_id: str) -> pd.Data
     return pd.DataFrame({query_id: qids[hits[0]], item_id: hits[1], "score": hits[2]})
 
 
-def _scan(q: pd.DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, vector: str,
-          exclude: str | None, allowed: str | None, out: T.StructType) -> DataFrame:
+def _scan(q: pd.DataFrame, items: DataFrame, k: int, names: Names, out: T.StructType) -> DataFrame:
+    query_id, item_id, vector = names[:3]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if q.empty:
             return
         matrix, kept = _unit_rows(q[vector]), []
         for batch in batches:
             if not batch.empty:
-                kept.append(_meet(q, matrix, batch, k, query_id, item_id, vector, exclude, allowed))
+                kept.append(_meet(q, matrix, batch, k, names))
                 kept = [_merged(kept, k)]
         if kept:
             yield _frame(kept[0], q[query_id].to_numpy(), query_id, item_id)
@@ -153,28 +169,100 @@ def _scan(q: pd.DataFrame, items: DataFrame, k: int, query_id: str, item_id: str
     return items.mapInPandas(run, out)
 
 
-def _blocks(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str,
-            vector: str, exclude: str | None, allowed: str | None,
-            out: T.StructType) -> DataFrame:
-    """Every query block meets every item block; blocks are cut by hash of a unique id."""
-    n_q = max(1, -(-queries.count() // BLOCK_ROWS))
-    n_i = max(1, -(-items.count() // BLOCK_ROWS))
-    of_q = F.pmod(F.xxhash64(query_id), F.lit(n_q)).cast("int")
-    of_i = F.pmod(F.xxhash64(item_id), F.lit(n_i)).cast("int")
-    left = (queries.withColumn("qb", of_q)
-            .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)))))
-    right = (items.withColumn("ib", of_i)
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))))
-
-    def run(q: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or batch.empty:
-            return pd.DataFrame({query_id: [], item_id: [], "score": []})
-        best = _meet(q, _unit_rows(q[vector]), batch, k, query_id, item_id, vector, exclude,
-                     allowed)
-        return _frame(best, q[query_id].to_numpy(), query_id, item_id)
-
-    return (left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib"))
-            .applyInPandas(run, out))
+# --- balls of items -------------------------------------------------------------------
+
+def _distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (rows @ centres.T)))
+
+
+def nearest_balls(rows: np.ndarray, centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """[query, ball]: the closest balls that together hold at least k items."""
+    order = np.argsort(_distances(rows, centres), axis=1, kind="stable")
+    held = np.cumsum(sizes[order], axis=1)
+    out = np.zeros(order.shape, dtype=bool)
+    np.put_along_axis(out, order, held - sizes[order] < k, axis=1)
+    return out & (sizes > 0)
+
+
+def balls_in_reach(rows: np.ndarray, centres: np.ndarray, radii: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """[query, ball]: whether any item of the ball can score `least` or more.
+
+    On the unit sphere a cosine is 1 - d^2 / 2, and no item of a ball is closer than its
+    centre less its radius.
+    """
+    apart = np.maximum(0.0, _distances(rows, centres) - radii - _SLACK)
+    return 1.0 - apart * apart / 2.0 + _SLACK >= least[:, None]
+
+
+def _balls(queries: DataFrame, items: DataFrame, k: int, names: Names, out: T.StructType) -> DataFrame:
+    """Queries look into the balls closest to them first; what they find there decides which
+    other balls are in reach. Balls are cut into blocks of items and of visiting queries.
+
+    Centres are items with the smallest hash of their id, at most BALLS; they decide how much
+    is skipped, never what is found.
+    """
+    query_id, item_id, vector = names[:3]
+    spark = items.sparkSession
+    n = items.count()
+    if not n:
+        return spark.createDataFrame([], out)
+    some = items.select(vector).orderBy(F.xxhash64(item_id), item_id).limit(
+        min(BALLS, -(-n // BALL_ROWS))).toPandas()
+    centres = _unit_rows(some[vector])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                apart = _distances(_unit_rows(batch[vector]), centres)
+                yield batch.assign(ball=apart.argmin(axis=1), apart=apart.min(axis=1))
+
+    kind = T.StructType([*items.schema, T.StructField("ball", T.IntegerType()), T.StructField("apart", T.DoubleType())])
+    placed = written(items.mapInPandas(place, kind), "balls")
+    sizes, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in placed.groupBy("ball").agg(F.count("*").alias("n"), F.max("apart").alias("r")).collect():
+        sizes[r.ball], radii[r.ball] = r.n, r.r
+
+    def visits(first: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    rows = _unit_rows(batch[vector])
+                    wanted = nearest_balls(rows, centres, sizes, k)
+                    if not first:
+                        least = batch["_least"].fillna(-np.inf).to_numpy(np.float64)
+                        wanted = ~wanted & balls_in_reach(rows, centres, radii, least) & (sizes > 0)
+                    query, ball = np.nonzero(wanted)
+                    yield batch.drop(columns="_least").iloc[query].assign(ball=ball)
+        return run
+
+    def met(asked: DataFrame, first: bool) -> DataFrame:
+        visiting = written(asked.mapInPandas(visits(first), T.StructType(
+            [*queries.schema, T.StructField("ball", T.IntegerType())])), "visits")
+        guests = np.ones(len(centres), np.int64)
+        for r in visiting.groupBy("ball").agg(F.count("*").alias("n")).collect():
+            guests[r.ball] = r.n
+        cut = {name: F.element_at(F.array(*[F.lit(int(max(1, -(-v // BLOCK_ROWS)))) for v in numbers]), F.col("ball") + 1)
+               for name, numbers in (("block", sizes), ("part", guests))}
+        left = (visiting.withColumn("part", F.pmod(F.xxhash64(query_id), cut["part"]).cast("int"))
+                .withColumn("block", F.explode(F.sequence(F.lit(0), cut["block"] - 1))))
+        right = (placed.drop("apart").withColumn("block", F.pmod(F.xxhash64(item_id), cut["block"]).cast("int"))
+                 .withColumn("part", F.explode(F.sequence(F.lit(0), cut["part"] - 1))))
+
+        def run(q: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+            if q.empty or batch.empty:
+                return pd.DataFrame({query_id: [], item_id: [], "score": []})
+            return _frame(_meet(q, _unit_rows(q[vector]), batch, k, names), q[query_id].to_numpy(), query_id, item_id)
+
+        place_of = ["ball", "block", "part"]
+        right = right.join(left.select(*place_of).distinct(), place_of, "left_semi")
+        return left.groupBy(*place_of).cogroup(right.groupBy(*place_of)).applyInPandas(run, out)
+
+    none = F.lit(None).cast("double")
+    close = written(top_k(met(queries.withColumn("_least", none), True), [query_id],
+                          [F.desc("score"), F.asc(item_id)], k).drop("rank"), "close")
+    reached = (close.groupBy(query_id).agg(F.min("score").alias("_least"), F.count("*").alias("_n"))
+               .filter(F.col("_n") == k).drop("_n"))
+    return stacked([close, met(queries.join(reached, query_id, "left"), False)])
 
 
 def zone_profile(zone_path: Column) -> Column:

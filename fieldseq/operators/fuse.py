@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldseq.functions import grammar as G
-from fieldseq.operators import dense, filters, sparse
+from fieldseq.operators import dense, filters, predicate_index, sparse
 from fieldseq.operators.skew import spread_join, stacked, top_k
 from fieldseq.sources.tables import written
 
@@ -39,47 +39,47 @@ def pooled(rankings: Mapping[str, DataFrame], item_id: str = "uid",
     return stacked(parts)
 
 
-def _allowed_vectors(vectors: DataFrame, allowed: DataFrame | None, item_id: str) -> DataFrame:
-    """Vectors of items some query may return, with the ids of those queries."""
-    if allowed is None:
-        return vectors
-    lists = allowed.groupBy(item_id).agg(F.collect_set("qid").alias("allowed"))
-    return vectors.select(item_id, "embedding").join(lists, item_id)
-
-
 def hybrid(queries: DataFrame, items: DataFrame, index: sparse.SparseIndex, words: Column,
            vectors: DataFrame | None = None, limit: int = LIMIT, pool: int = POOL,
            use_filters: bool = True, shared: bool = False) -> dict[str, DataFrame]:
-    """Sparse, dense and fused rankings for a table of queries, and their candidates.
+    """Sparse, dense and fused rankings for a table of queries.
 
     `queries` has qid, what `words` reads, `filters` (when used) and an
     `embedding` when `vectors` (item id, embedding) are given. Filters decide
-    membership for both rankers before anything is scored: `allowed` holds the
-    (qid, item) pairs that pass them, once, and queries must have a `filters` column.
+    membership for both rankers before anything is scored: a predicate index of the
+    query table is probed once per item (`held`, one row per item), and queries must
+    have a `filters` column.
     With `shared`, the single rankings (at most `pool` rows per query) are written to
     the shared folder once, for callers that read them besides the fused one.
     """
     item_id = index.id_col
-    allowed = None
+    asked = held = None
     if use_filters:
         if "filters" not in queries.columns:
             raise ValueError("queries without `filters`; pass use_filters=False to search all items")
-        allowed = written(filters.candidate_pairs(items, queries, item_id), "allowed")
-    pairs = sparse.scores(sparse.query_vectors(queries, index.vocab, words), index,
-                          small=sparse.is_small(queries, words), allowed=allowed)
+        asked = predicate_index.build(queries)
+        held = written(asked.probe(items, item_id), "held")
+    grams = sparse.query_vectors(queries, index.vocab, words)
+    pairs = sparse.scores(grams if asked is None else asked.asked(grams), index,
+                          small=sparse.is_small(queries, words), held=held)
     found = {"sparse": sparse.rank(pairs, item_id, pool)}
     if vectors is not None:
         found["dense"] = dense.nearest(
-            queries, _allowed_vectors(vectors, allowed, item_id), pool, item_id=item_id,
-            allowed=None if allowed is None else "allowed")
+            queries if asked is None else asked.asked(queries), _with_held(vectors, held, item_id),
+            pool, item_id=item_id, gated=held is not None)
     if shared:
         found = {name: written(ranking, name) for name, ranking in found.items()}
     found["fused"] = fuse(list(found.values()), item_id, limit)
-    if allowed is not None:
-        found["allowed"] = allowed
+    if asked is not None:
+        found["held"] = held
+        found["needs"] = asked.needs
     return found
 
 
+def _with_held(vectors: DataFrame, held: DataFrame | None, item_id: str) -> DataFrame:
+    return vectors if held is None else vectors.select(item_id, "embedding").join(held, item_id)
+
+
 def similar(seeds: DataFrame, index: sparse.SparseIndex, vectors: DataFrame | None = None,
             limit: int = LIMIT, pool: int = POOL, items: DataFrame | None = None
             ) -> dict[str, DataFrame]:
@@ -90,25 +90,25 @@ def similar(seeds: DataFrame, index: sparse.SparseIndex, vectors: DataFrame | No
     give no rows; `unknown_seeds` lists them.
     """
     item_id = index.id_col
-    allowed = None
+    asked = held = None
     if "filters" in seeds.columns:
         if items is None:
             raise ValueError("filtered seeds need the items their filters are about")
-        allowed = written(filters.candidate_pairs(items, seeds, item_id), "allowed")
+        asked = predicate_index.build(seeds)
+        held = written(asked.probe(items, item_id), "held")
+        seeds = asked.asked(seeds)
     own = seeds.select("qid", F.col(item_id).alias("_seed"))
-    pairs = sparse.scores(sparse.seed_vectors(index, seeds), index, allowed=allowed)
+    grams = sparse.seed_vectors(index, seeds)
+    pairs = sparse.scores(grams if asked is None else asked.asked(grams), index, held=held)
     pairs = spread_join(pairs, own, ["qid"], F.col(item_id))
     pairs = pairs.filter(F.col(item_id) != F.col("_seed")).drop("_seed")
     found = {"sparse": sparse.rank(pairs, item_id, pool)}
     if vectors is not None:
-        asked = (seeds.select("qid", item_id).join(vectors, item_id)
-                 .withColumnRenamed(item_id, "_seed"))
-        found["dense"] = dense.nearest(
-            asked, _allowed_vectors(vectors, allowed, item_id), pool, item_id=item_id,
-            exclude="_seed", allowed=None if allowed is None else "allowed")
+        near = (seeds.join(vectors.select(item_id, "embedding"), item_id)
+                .withColumnRenamed(item_id, "_seed"))
+        found["dense"] = dense.nearest(near, _with_held(vectors, held, item_id), pool, item_id=item_id,
+                                       exclude="_seed", gated=held is not None)
     found["fused"] = fuse(list(found.values()), item_id, limit)
-    if allowed is not None:
-        found["allowed"] = allowed
     return found
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldseq.functions import grammar as G
+from fieldseq.operators import predicate_index
 from fieldseq.operators.skew import salted_lookup, top_k
 from fieldseq.sources.tables import written
 
@@ -147,17 +148,15 @@ def matching(vectors: DataFrame, index: SparseIndex, small: bool | None = None)
 
 
 def scores(vectors: DataFrame, index: SparseIndex, query_id: str = "qid",
-           small: bool | None = None, allowed: DataFrame | None = None) -> DataFrame:
+           small: bool | None = None, held: DataFrame | None = None) -> DataFrame:
     """Cosine of every (query, item) pair that shares a gram.
 
-    `allowed` (qid, item) leaves only those pairs, before anything is summed: each item
-    is joined once to the list of queries it may answer, so matches stay where they are.
+    With `held`, what a predicate index found for each item, only pairs it admits are
+    summed; the vectors carry the `needs` of their query then (`PredicateIndex.asked`).
     """
     met = matching(vectors, index, small)
-    if allowed is not None:
-        lists = allowed.groupBy(index.id_col).agg(F.collect_set(query_id).alias("_may"))
-        met = (met.join(lists, index.id_col)
-               .filter(F.array_contains("_may", F.col(query_id))).drop("_may"))
+    if held is not None:
+        met = met.join(held, index.id_col).filter(predicate_index.admits())
     return (met.groupBy(query_id, index.id_col)
             .agg(F.round(F.sum(F.col("weight") * F.col("qw")), SCORE_DIGITS).alias("score"))
             .filter(F.col("score") > 0))

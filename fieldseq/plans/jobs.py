@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldseq.operators import filters, fuse, notes, phrase_plan, results
+from fieldseq.operators import filters, fuse, notes, phrase_plan, predicate_index, results
 from fieldseq.operators.filters import FILTER_TYPE, Filters
 from fieldseq.operators.sparse import SparseIndex
 from fieldseq.spec import SUMMARY_COLUMNS, ZONES
@@ -84,7 +84,7 @@ def search(queries: DataFrame, items: DataFrame, index: SparseIndex,
         return fuse.pooled({k: v.filter(F.col("rank") < limit) for k, v in found.items()
                             if k in ("sparse", "dense")}, index.id_col)
     return Tables(results=lambda: _shown(page), rankings=rankings,
-                  counts=lambda: filters.counted(found["allowed"], queries),
+                  counts=lambda: predicate_index.counts(found["needs"], found["held"], index.id_col),
                   notes=lambda: notes.claims(page, given), given=lambda: given,
                   page=lambda: page)
 
