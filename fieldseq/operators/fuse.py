@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldseq.functions import grammar as G
-from fieldseq.operators import dense, filters, predicate_index, sparse
+from fieldseq.operators import dense, filters, predicate_index, shapes, sparse
 from fieldseq.operators.skew import spread_join, stacked, top_k
 from fieldseq.sources.tables import written
 
@@ -138,7 +138,7 @@ def collapse(zones: Sequence[str]) -> list[str]:
     return [z for i, z in enumerate(zones) if i == 0 or zones[i - 1] != z]
 
 
-def shape_matches(possessions: DataFrame, shapes: Mapping[str, Sequence[str]],
+def shape_matches(possessions: DataFrame, drawings: Mapping[str, Sequence[str]],
                   wanted: Mapping[str, filters.Filters] | None = None) -> DataFrame:
     """All (qid, possession) pairs whose path holds the drawn zones in order.
 
@@ -149,7 +149,7 @@ def shape_matches(possessions: DataFrame, shapes: Mapping[str, Sequence[str]],
     extra = [c for c in filters.FILTER_INPUTS if c != "n_events"]
     paths = reduced_paths(possessions, extra)
     tests = []
-    for qid, zones in shapes.items():
+    for qid, zones in drawings.items():
         drawn = collapse(zones)
         holds = G.is_subsequence(F.array(*[F.lit(z) for z in drawn]), F.col("path"))
         coverage = F.lit(float(len(drawn))) / F.size("path")
@@ -160,11 +160,19 @@ def shape_matches(possessions: DataFrame, shapes: Mapping[str, Sequence[str]],
             .select("m.qid", "uid", "n_events", "m.coverage"))
 
 
-def shape_search(possessions: DataFrame, shapes: Mapping[str, Sequence[str]],
+def shape_search(possessions: DataFrame, drawings: Mapping[str, Sequence[str]],
                  wanted: Mapping[str, filters.Filters] | None = None,
                  limit: int = LIMIT) -> DataFrame:
     """Possessions ranked by how much of their journey the drawn shape makes up."""
-    found = shape_matches(possessions, shapes, wanted)
+    return by_coverage(shape_matches(possessions, drawings, wanted), limit)
+
+
+def shape_table_search(possessions: DataFrame, table: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The same for a table of shapes (qid, zones[, filters]) of any size."""
+    return by_coverage(shapes.matches(possessions, table), limit)
+
+
+def by_coverage(found: DataFrame, limit: int = LIMIT) -> DataFrame:
     ranked = top_k(found, ["qid"], [F.desc("coverage"), F.desc("n_events"), F.desc("uid")], limit)
     return ranked.withColumn("score", F.bround("coverage", 3))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldseq.operators import filters, fuse, notes, phrase_plan, predicate_index, results
+from fieldseq.operators import filters, fuse, notes, phrase_plan, predicate_index, results, shapes
 from fieldseq.operators.filters import FILTER_TYPE, Filters
 from fieldseq.operators.sparse import SparseIndex
 from fieldseq.spec import SUMMARY_COLUMNS, ZONES
@@ -89,21 +89,32 @@ def search(queries: DataFrame, items: DataFrame, index: SparseIndex,
                   page=lambda: page)
 
 
-def shape(shapes: Mapping[str, Sequence[str]], items: DataFrame,
+def shape(drawings: Mapping[str, Sequence[str]], items: DataFrame,
           wanted: Mapping[str, Filters] | None = None, shots: DataFrame | None = None,
           limit: int = fuse.LIMIT) -> Tables:
     """Possessions holding drawn zone sequences. A zone off the grid is an error."""
     wanted = wanted or {}
-    unknown = sorted({z for zones in shapes.values() for z in zones} - set(ZONES))
-    if unknown or not all(shapes.values()):
+    unknown = sorted({z for zones in drawings.values() for z in zones} - set(ZONES))
+    if unknown or not all(drawings.values()):
         raise ValueError(f"unknown zones {unknown} or an empty shape; zones are {list(ZONES)}")
-    page = _page(fuse.shape_search(items, shapes, wanted, limit), items, shots)
+    page = _page(fuse.shape_search(items, drawings, wanted, limit), items, shots)
     given = items.sparkSession.createDataFrame(
-        [(q, [*wanted.get(q, Filters()).given(), "end_zone"]) for q in shapes],
+        [(q, [*wanted.get(q, Filters()).given(), "end_zone"]) for q in drawings],
         "qid string, given array<string>")
     return Tables(
         results=lambda: _shown(page), notes=lambda: notes.claims(page, given), page=lambda: page,
-        counts=lambda: fuse.shape_counts(fuse.shape_matches(items, shapes, wanted)))
+        counts=lambda: fuse.shape_counts(fuse.shape_matches(items, drawings, wanted)))
+
+
+def shape_table(drawings: DataFrame, items: DataFrame, shots: DataFrame | None = None,
+                limit: int = fuse.LIMIT) -> Tables:
+    """As `shape`, for a table of shapes (qid, zones, filters); `unknown` lists unusable ones."""
+    found = shapes.matches(items, drawings)
+    page = _page(fuse.by_coverage(found, limit), items, shots)
+    given = drawings.select("qid", F.concat(filters.given_fields(F.col("filters")), F.array(F.lit("end_zone")))
+                            .alias("given"))
+    return Tables(results=lambda: _shown(page), notes=lambda: notes.claims(page, given), page=lambda: page,
+                  counts=lambda: fuse.shape_counts(found), unknown=lambda: shapes.unknown_shapes(drawings))
 
 
 def similar(seeds: DataFrame, items: DataFrame, index: SparseIndex,

@@ -10,7 +10,8 @@ from fieldseq.plans.base import (cte, events, matches, possessions, query, r6, s
                                  stored_possessions, table,
                                  with_sql)
 from fieldseq.plans.eval_set import query_table
-from fieldseq.plans.search_queries import EVAL, SHAPE_FILTERS, SHAPES, team_seeds, token_index
+from fieldseq.plans.search_queries import (EVAL, SHAPE_FILTERS, SHAPES, drawings, team_seeds,
+                                           token_index)
 
 # A fixed logistic of distance and angle stands for the trained model where a
 # result must be comparable across engines.
@@ -139,6 +140,23 @@ def shape_job(spark, sf_dir):
     return _claim_columns(made["notes"])
 
 
+_PAGE = """select qid, rank, uid, team, opponent, play_pattern, token_string, n_events::bigint as n_events,
+  ended_in_shot, round(xg_sum, 6) as xg_sum, round(my_xg_sum, 6) as my_xg_sum from {}_page where rank < 20"""
+
+
+def _page_columns(made):
+    return made.select("qid", "rank", "uid", "team", "opponent", "play_pattern", "token_string",
+                       F.col("n_events").cast("bigint").alias("n_events"), "ended_in_shot",
+                       r6("xg_sum").alias("xg_sum"), r6("my_xg_sum").alias("my_xg_sum"))
+
+
+@query("shape_job_page", with_sql(("shape_page",), _PAGE.format("shape")))
+def shape_job_page(spark, sf_dir):
+    """Result page of the job for a table of shapes."""
+    made = jobs.shape_table(drawings(spark), stored_possessions(spark, sf_dir), scored_shots(spark, sf_dir))
+    return _page_columns(made["results"])
+
+
 cte("sim_page", """select s.qid, s.rank, p.*, t.my_xg_sum from similar_top s join poss p using (uid)
     left join totals t using (match_id, possession)""", ("similar_top", "poss", "totals"))
 claim_ctes("sm", "sim_page", "where kind <> 'chance'")
@@ -152,6 +170,14 @@ def similar_job(spark, sf_dir):
     return _claim_columns(made["notes"])
 
 
+@query("similar_job_page", with_sql(("sim_page",), _PAGE.format("sim")))
+def similar_job_page(spark, sf_dir):
+    items = stored_possessions(spark, sf_dir)
+    made = jobs.similar(team_seeds(items), items, token_index(items).shared(),
+                        shots=scored_shots(spark, sf_dir))
+    return _page_columns(made["results"])
+
+
 cte("detail", """select concat(match_id, ':', possession) as uid, event_id, idx, period, minute, second,
     type, team, player, team = possession_team as att,
     case when team = possession_team then x else 120 - x end as x,

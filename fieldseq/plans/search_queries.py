@@ -331,6 +331,43 @@ def shape_counts(spark, sf_dir):
     return fuse.shape_counts(fuse.shape_matches(possessions(spark, sf_dir), SHAPES, SHAPE_FILTERS))
 
 
+@query("shape_table", with_sql(("shape_all",), """
+select qid, uid, n_events, rank, round_even(coverage, 3) as score from (
+  select *, (row_number() over (partition by qid order by coverage desc, n_events desc, uid desc)
+    - 1)::int as rank from shape_all) where rank < 20"""))
+def shape_table(spark, sf_dir):
+    """The same shapes as `shape_search`, drawn and filtered in a table."""
+    found = fuse.shape_table_search(possessions(spark, sf_dir), drawings(spark))
+    return found.select("qid", "uid", F.col("n_events").cast("bigint").alias("n_events"), "rank", "score")
+
+
+def drawings(spark):
+    schema = spark.createDataFrame([], "qid string, zones array<string>").schema.add("filters", filters.FILTER_TYPE)
+    return spark.createDataFrame([(q, zones, SHAPE_FILTERS.get(q, Filters()).as_row())
+                                  for q, zones in SHAPES.items()], schema)
+
+
+cte("opening", """select distinct array_to_string(path[1:4], ' ') as qid, path[1:4] as zones
+    from paths where play_pattern = 'From Corner' and len(path) >= 4""", ("paths",))
+
+
+@query("shapes_of_corners", with_sql(("opening", "paths"), """
+select qid, uid, n_events, rank, round_even(coverage, 3) as score from (
+  select o.qid, uid, n_events, 4::double / len(path) as coverage, (row_number() over (partition by o.qid
+    order by 4::double / len(path) desc, n_events desc, uid desc) - 1)::int as rank
+  from opening o join paths on regexp_matches(array_to_string(path, ' '),
+    '(^| )' || array_to_string(o.zones, ' (.* )?') || '( |$)')) where rank < 5"""))
+def shapes_of_corners(spark, sf_dir):
+    """How corners open, drawn from the data: each opening of four zones, looked for everywhere."""
+    items = stored_possessions(spark, sf_dir)
+    start = F.slice("path", 1, 4)
+    opening = (fuse.reduced_paths(items, ["play_pattern"])
+               .filter((F.col("play_pattern") == "From Corner") & (F.size("path") >= 4))
+               .select(F.array_join(start, " ").alias("qid"), start.alias("zones")).distinct())
+    found = fuse.shape_table_search(items, opening, 5)
+    return found.select("qid", "uid", F.col("n_events").cast("bigint").alias("n_events"), "rank", "score")
+
+
 @query("unknown_zones", with_sql(("poss",), """
 select zone, count(*) as n from (select unnest(string_split(zone_path, ' ')) as zone from poss)
 where zone not in ('D-C', 'M-C', 'F-C') group by zone"""))

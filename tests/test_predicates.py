@@ -100,3 +100,27 @@ def test_automaton_finds_all_places(spark):
         got = automaton.occurrences(t, p, words=words, once=once, most=most).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert automaton.occurrences(t, p.filter("number < 0")).count() == 0
+
+
+def test_shape_tables_against_the_literal_form(spark, items):
+    from fieldseq.operators import shapes
+    from fieldseq.spec import ZONES
+    rnd = random.Random(6)
+    rows = [tuple(r) for r in items.collect()]
+    rows += [("odd", *rows[0][1:13], "Q-Z D-C Q-Z F-C"), ("one", *rows[0][1:13], "F-C"), ("null", *rows[0][1:13], None)]
+    paths = spark.createDataFrame(rows, POSS)
+    drawn = {f"s{i}": [rnd.choice(["D-C", "M-C", "F-C", "F-L", "M-R"]) for _ in range(rnd.randint(1, 4))] for i in range(120)}
+    drawn |= {"loop": ["M-C", "F-C", "M-C"], "never": ["D-RI", "D-C"], "same": ["D-C", "D-C"]}
+    wanted = {q: f for q, f in zip(drawn, many_filters(60).values())}
+    schema = spark.createDataFrame([], "qid string, zones array<string>").schema.add("filters", filters.FILTER_TYPE)
+    table = spark.createDataFrame([(q, z, wanted.get(q, Filters()).as_row()) for q, z in drawn.items()]
+                                  + [("bad", ["Q-Z"], None), ("none", [], None), ("null", None, None)], schema)
+    for t, w in ((table.drop("filters"), {}), (table, wanted)):
+        got = {(r.qid, r.uid, r.n_events, r.coverage) for r in shapes.matches(paths, t).collect()}
+        want = {(r.qid, r.uid, r.n_events, r.coverage) for r in
+                fuse.shape_matches(paths.filter("zone_path is not null"), drawn, w).collect()}
+        assert got == want and len({q for q, *_ in got}) > 60
+    assert {r.qid for r in shapes.unknown_shapes(table).collect()} == {"bad", "none", "null"}
+    assert shapes.matches(paths, table.filter("qid = 'bad'")).count() == 0
+    words = paths.filter("uid = 'one'").select(shapes.signature(F.split("zone_path", " "))).first()[0]
+    assert words[ZONES.index("F-C")] == 1 << len(ZONES) and sum(words) == 1 << len(ZONES)
