@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldseq.functions import grammar as G
-from fieldseq.operators import dense, filters, fuse, sparse
+from fieldseq.operators import bounded, dense, filters, fuse, predicate_index, sparse
 from fieldseq.operators.filters import Filters
 from fieldseq.plans.base import (cte, possessions, query, r6, stored_possessions, table,
                                  with_sql)
 from fieldseq.plans.eval_set import adapted, query_table
+from fieldseq.sources.tables import written
 from fieldseq.spec import ZONES
 
 
@@ -179,6 +180,19 @@ def sparse_search(spark, sf_dir):
             .withColumn("n_events", F.col("n_events").cast("bigint")))
 
 
+@query("bounded_sparse_search", with_sql(("sparse_top",), """
+select qid, uid, rank, round(score, 6) as score from sparse_top"""))
+def bounded_sparse_search(spark, sf_dir):
+    """The same ranking as `sparse_search`, with blocks below the threshold of a query left out."""
+    items = stored_possessions(spark, sf_dir)
+    index = token_index(items)
+    asked = query_table(spark, EVAL)
+    wanted = predicate_index.build(asked)
+    grams = wanted.asked(sparse.query_vectors(asked, index.vocab, hint_tokens()))
+    found = bounded.best(written(grams, "grams"), bounded.in_blocks(index), held=wanted.probe(items))
+    return found.select("qid", "uid", "rank", r6("score").alias("score"))
+
+
 @query("length_normalised_search", with_sql(("pt_post", "eq_vec", "poss", "pt_vocab"), """
 select qid, uid, rank, round(score, 6) as score from (
   select *, (row_number() over (partition by qid order by score desc, uid) - 1)::int as rank from (
@@ -274,6 +288,17 @@ cte("doc_sparse", """select * from (select qid, doc_id, score, (row_number() ove
       group by qid, doc_id) where score > 0) where rank < 50""", ("dt_post", "bq_vec"))
 
 
+@query("bounded_document_search", with_sql(("doc_sparse",), """
+select qid, doc_id, rank, round(score, 6) as score from doc_sparse where rank < 10"""))
+def bounded_document_search(spark, sf_dir):
+    """Best documents for every benchmark passage."""
+    words = G.words(F.col("text"))
+    index = sparse.fit_index(table(spark, sf_dir, "documents"), "doc_id", words)
+    grams = sparse.query_vectors(benchmark_queries(spark, sf_dir), index.vocab, words)
+    found = bounded.best(written(grams, "grams"), bounded.in_blocks(index), 10)
+    return found.select("qid", "doc_id", "rank", r6("score").alias("score"))
+
+
 @query("hybrid_rrf", with_sql(("doc_sparse", "dense_top"), """
 select qid, doc_id, rank, round(score, 6) as score from (
   select *, (row_number() over (partition by qid order by score desc, doc_id) - 1)::int as rank from (
