@@ -12,9 +12,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldseq.functions.grammar import ngrams
+from fieldseq.operators.automaton import occurrences
 from fieldseq.operators.lexicon import NEAR
 from fieldseq.operators.skew import spread_join, stacked
+from fieldseq.sources.tables import written
 
 INFLECTION = "(?:s|es|ed|ing|d)?"
 
@@ -173,35 +174,20 @@ def uncovered(texts: DataFrame, spans: DataFrame, id_col: str = "id",
 
 def longest_entity(texts: DataFrame, names: DataFrame, id_col: str = "id",
                    text_col: str = "text", name_col: str = "name") -> DataFrame:
-    """Longest name that stands in each text as whole words.
+    """Longest name that stands in each text as whole words, equally long ones by name.
 
-    Only the first occurrence of a name is looked at. Candidates come from an
-    equi-join on the name's first two words (or its only one), so names and texts
-    are never crossed, and only then is the text itself searched. Names without a
-    letter or digit have no words and are searched in every text.
+    Only the first occurrence of a name is looked at. Names are numbered by preference, and
+    one automaton (or several, for very many names) finds the smallest number in a single
+    pass over each text, so nothing but one hit per text leaves a task.
     """
-    word = F.lit(r"[\p{L}\p{N}]+")
-    low_names = (names.filter(F.length(name_col) > 0)
-                 .select(name_col, F.lower(name_col).alias("_name")).distinct())
-    keyed = low_names.withColumn("_key", F.array_join(F.slice(
-        F.regexp_extract_all("_name", word, F.lit(0)), 1, 2), " "))
-    low_texts = texts.select(id_col, F.lower(text_col).alias("_low"))
-    keys = ngrams(F.regexp_extract_all("_low", word, F.lit(0)), 2)
-    found = low_texts.select(id_col, F.explode(F.concat(
-        F.coalesce(keys, F.array().cast("array<string>")), F.array(F.lit("")))).alias("_key"))
-    pairs = spread_join(found, keyed, ["_key"], F.col(id_col)) \
-        .select(id_col, name_col, "_name").distinct()
-    letter = r"[\p{L}\p{N}]"
-
-    def whole(at: Column) -> Column:
-        before = F.when(at > 1, F.substring("_low", at - 1, F.lit(1))).otherwise(F.lit(""))
-        after = F.substring("_low", at + F.length("_name"), F.lit(1))
-        return (at > 0) & ~before.rlike(letter) & ~after.rlike(letter)
-
-    # A one-element array, so that the text is searched once per pair.
-    at = F.filter(F.array(F.instr(F.col("_low"), F.col("_name"))), whole)
-    verified = (pairs.join(low_texts, id_col)
-                .select(id_col, name_col, F.explode(at).alias("_at"))
-                .select(id_col, name_col, (F.col("_at") - 1).alias("pos")))
-    best = F.min_by(F.struct(name_col, "pos"), F.struct(-F.length(name_col), F.col(name_col)))
-    return verified.groupBy(id_col).agg(best.alias("m")).select(id_col, "m.*")
+    rank = [-F.length(name_col), F.col(name_col)]
+    ordered = (names.filter(F.length(name_col) > 0).select(name_col).distinct()
+               .repartitionByRange(*rank).sortWithinPartitions(*rank)
+               .select(F.monotonically_increasing_id().alias("number"), name_col,
+                       F.lower(name_col).alias("phrase")))
+    ordered = written(ordered, "names")
+    low = texts.select(id_col, F.lower(text_col).alias("_low"))
+    found = occurrences(low, ordered, id_col, "_low", words=True, once=True, leading=True, lowest=True)
+    best = found.groupBy(id_col).agg(F.min(F.struct("number", "pos")).alias("m"))
+    return spread_join(best.select(id_col, "m.*"), ordered.select("number", name_col), ["number"],
+                       F.col(id_col)).select(id_col, name_col, "pos")

@@ -38,8 +38,24 @@ def compiled(phrases: list[tuple[object, str]]):
     return machine
 
 
-def _scan(phrases: list[tuple[object, str]], id_col: str, text_col: str, words: bool, once: bool):
-    everywhere = [number for number, phrase in phrases if phrase == ""]
+def _places(machine, text: str, words: bool, once: bool, leading: bool) -> Iterator[tuple[object, int]]:
+    """(number, position) of phrases in a text, by the end of the phrase."""
+    seen = set()
+    for end, (length, numbers) in machine.iter(text):
+        if once and length and numbers[0] in seen:
+            continue
+        at = end + 1 - length
+        whole = not words or not ((at and text[at - 1].isalnum()) or text[end + 1:end + 2].isalnum())
+        if once and (whole or leading):
+            seen.add(numbers[0])
+        if whole:
+            for number in numbers:
+                yield number, at
+
+
+def _scan(phrases: list[tuple[object, str]], id_col: str, text_col: str, words: bool, once: bool,
+          leading: bool, lowest: bool):
+    everywhere = [(number, 0) for number, phrase in phrases if phrase == ""]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = compiled(phrases)
@@ -48,16 +64,8 @@ def _scan(phrases: list[tuple[object, str]], id_col: str, text_col: str, words:
             for key, text in zip(batch[id_col], batch[text_col]):
                 if text is None:
                     continue
-                seen = set(everywhere) if once else set()
-                out += [(key, number, 0) for number in everywhere]
-                for end, (length, numbers) in machine.iter(text) if machine else ():
-                    at = end + 1 - length
-                    if words and ((at and text[at - 1].isalnum()) or text[end + 1:end + 2].isalnum()):
-                        continue
-                    for number in numbers:
-                        if not once or number not in seen:
-                            seen.add(number)
-                            out.append((key, number, at))
+                found = [*everywhere, *(_places(machine, text, words, once, leading) if machine else ())]
+                out += [(key, *hit) for hit in ([min(found)] if lowest and found else found)]
                 if len(out) >= HITS:
                     yield pd.DataFrame(out, columns=[id_col, "number", "pos"])
                     out = []
@@ -66,12 +74,13 @@ def _scan(phrases: list[tuple[object, str]], id_col: str, text_col: str, words:
 
 
 def occurrences(texts: DataFrame, phrases: DataFrame, id_col: str = "id", text_col: str = "text",
-                words: bool = False, once: bool = False, most: int = PHRASES,
-                most_bytes: int = PHRASE_BYTES) -> DataFrame:
+                words: bool = False, once: bool = False, leading: bool = False, lowest: bool = False,
+                most: int = PHRASES, most_bytes: int = PHRASE_BYTES) -> DataFrame:
     """(id, number, pos): where each phrase (number long, phrase) stands in each text, 0-based.
 
     With `words`, only where no letter or digit touches it; with `once`, only the first such
-    place. The empty phrase stands at the start of every text; null texts and phrases give no
+    place; with `leading` as well, none unless the first place of all is such a place. With
+    `lowest`, only the phrase with the smallest number, for each text and block. The empty phrase stands at the start of every text; null texts and phrases give no
     rows. Phrases are cut into blocks by hash, none larger than an automaton may be, and the
     texts are read once per block.
     """
@@ -84,5 +93,6 @@ def occurrences(texts: DataFrame, phrases: DataFrame, id_col: str = "id", text_c
     for block in range(blocks):
         held = [tuple(r) for r in known.filter(place == block).collect()]
         if held or not parts:
-            parts.append(texts.select(id_col, text_col).mapInPandas(_scan(held, id_col, text_col, words, once), out))
+            parts.append(texts.select(id_col, text_col).mapInPandas(_scan(
+                held, id_col, text_col, words, once, leading, lowest), out))
     return stacked(parts)

@@ -100,6 +100,14 @@ def test_automaton_finds_all_places(spark):
         got = automaton.occurrences(t, p, words=words, once=once, most=most).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert automaton.occurrences(t, p.filter("number < 0")).count() == 0
+    first = {}
+    for i, text in texts:
+        for n, phrase in phrases:
+            at = text.find(phrase) if text is not None and phrase else -1
+            if at >= 0 and whole(text, at, phrase):
+                first.setdefault(i, []).append((n, at))
+    got = automaton.occurrences(t, p.filter("phrase <> ''"), words=True, once=True, leading=True, lowest=True).collect()
+    assert {r.id: (r.number, r.pos) for r in got} == {i: min(hits) for i, hits in first.items()}
 
 
 def test_shape_tables_against_the_literal_form(spark, items):
