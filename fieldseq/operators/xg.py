@@ -9,13 +9,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldseq.operators import isotonic
+from fieldseq.operators.folds import group_folds
 from fieldseq.operators.prediction_metrics import clipped, logistic
 from fieldseq.operators.results import PENALTY
-from fieldseq.operators.skew import stacked
+from fieldseq.operators.skew import spread_join, stacked
+from fieldseq.sources.tables import written
 
 NUMERIC = ("distance", "angle")
 CONTEXT = ("n_def_in_cone", "dist_nearest_def", "gk_dist_to_goal", "gk_off_line")
@@ -24,6 +26,8 @@ BOOLEAN = ("first_time", "under_pressure")
 # Columns that give the answer away.
 FORBIDDEN = ("is_goal", "provider_xg", "label", "value")
 MISSING = -1.0
+# Isotonic steps that may be written into an expression.
+LITERAL_STEPS = 200
 
 
 @dataclass(frozen=True)
@@ -133,36 +137,42 @@ def margins(model: PipelineModel, rows: DataFrame, out: str = "margin") -> DataF
 
 
 def with_folds(rows: DataFrame, k: int, by: str | None = "group", seed: int = 42) -> DataFrame:
-    """Fold number per row: whole groups dealt out from largest to smallest, or by hash."""
+    """Fold number per row: whole groups, the largest to the lightest fold, or by hash."""
     if by is None:
         return rows.withColumn("fold", F.pmod(F.xxhash64("event_id", F.lit(seed)), F.lit(k)))
-    sizes = rows.groupBy(by).agg(F.count("*").alias("_n"))
-    turn = F.row_number().over(Window.orderBy(F.desc("_n"), F.col(by))) - 1
-    return rows.join(sizes.select(by, (turn % k).alias("fold")), by)
+    return spread_join(rows, group_folds(rows, k, by).select(by, "fold"), [by], F.col("event_id"))
 
 
 @dataclass(frozen=True)
 class Calibrator:
-    """Maps a margin to a probability: `raw`, `sigmoid` (a, b) or `isotonic` (steps)."""
+    """Maps a margin to a probability: `raw`, `sigmoid` (a, b) or `isotonic`.
+
+    Isotonic steps are a table (`isotonic.fit_steps`); `apply` is for a few of them only.
+    """
 
     method: str
     a: float = -2.0
     b: float = 0.0
-    bounds: tuple[float, ...] = ()
-    values: tuple[float, ...] = ()
+    steps: DataFrame | None = None
+
+    def calibrate(self, rows: DataFrame, margin: str, out: str) -> DataFrame:
+        """Rows with the probability of their margin; steps are joined, never part of the plan."""
+        if self.method == "isotonic":
+            return isotonic.calibrated(rows, self.steps, margin, out, "event_id")
+        return rows.withColumn(out, logistic(F.lit(self.a), F.lit(self.b), F.col(margin)))
 
     def apply(self, margin: Column) -> Column:
         if self.method != "isotonic":
             return logistic(F.lit(self.a), F.lit(self.b), margin)
-        xs, ys = F.array(*map(F.lit, self.bounds)), F.array(*map(F.lit, self.values))
-        last = len(self.bounds) - 1
-        i = F.greatest(F.lit(0), F.size(F.filter(xs, lambda x: x <= margin)) - 1)
-        j = F.least(F.lit(last), i + 1)
-        x0, x1, y0, y1 = F.get(xs, i), F.get(xs, j), F.get(ys, i), F.get(ys, j)
-        between = y0 + (y1 - y0) * F.coalesce(F.try_divide(margin - x0, x1 - x0), F.lit(0.0))
-        return (F.when(margin <= F.lit(self.bounds[0]), F.lit(self.values[0]))
-                .when(margin >= F.lit(self.bounds[last]), F.lit(self.values[last]))
-                .otherwise(between))
+        rows = self.steps.orderBy("lo").limit(LITERAL_STEPS + 1).collect()
+        if len(rows) > LITERAL_STEPS:
+            raise ValueError(f"more than {LITERAL_STEPS} steps: use calibrate")
+        out = F.lit(rows[0].value)
+        for r in rows:
+            rise = (F.lit(0.0) if r.next_lo is None else
+                    (r.next_value - r.value) * (margin - r.hi) / (r.next_lo - r.hi))
+            out = F.when(margin >= r.lo, F.when(margin <= r.hi, F.lit(r.value)).otherwise(r.value + rise)).otherwise(out)
+        return out
 
 
 def fit_calibrator(scored: DataFrame, method: str) -> Calibrator:
@@ -170,10 +180,7 @@ def fit_calibrator(scored: DataFrame, method: str) -> Calibrator:
     if method == "raw":
         return Calibrator("raw")
     if method == "isotonic":
-        model = IsotonicRegression(featuresCol="margin", labelCol="label").fit(
-            scored.select("margin", F.col("is_goal").cast("double").alias("label")))
-        return Calibrator("isotonic", bounds=tuple(float(x) for x in model.boundaries.toArray()),
-                          values=tuple(float(x) for x in model.predictions.toArray()))
+        return Calibrator("isotonic", steps=written(isotonic.fit_steps(scored), "steps"))
     counts = scored.agg(F.sum("is_goal").alias("p"), F.count("*").alias("n")).first()
     pos, neg = counts["p"] or 0, counts["n"] - (counts["p"] or 0)
     # Smoothed targets, each example standing for a weighted positive and negative.
@@ -201,18 +208,20 @@ class Ensemble:
             scored = margins(model, scored, names[-1])
         total = F.lit(0.0)
         for name, (_, calibrator) in zip(names, self.members, strict=True):
-            total = total + calibrator.apply(F.col(name))
-        return scored.withColumn(out, total / len(self.members)).drop(*names)
+            scored = calibrator.calibrate(scored, name, f"{name}_p")
+            total = total + F.col(f"{name}_p")
+        return scored.withColumn(out, total / len(self.members)).drop(*names, *[f"{n}_p" for n in names])
 
     def save(self, path: str) -> None:
-        """Models in Spark's own format, calibrators as one small JSON table."""
+        """Models in Spark's own format, calibrators as one small JSON table, steps as tables."""
         rows = []
         for i, (model, c) in enumerate(self.members):
             model.write().overwrite().save(f"{path}/member{i}")
-            rows.append((i, c.method, c.a, c.b, list(c.bounds), list(c.values)))
+            rows.append((i, c.method, c.a, c.b))
+            if c.steps is not None:
+                c.steps.write.mode("overwrite").parquet(f"{path}/steps{i}")
         spark = SparkSession.getActiveSession()
-        spark.createDataFrame(rows, "i int, method string, a double, b double, "
-                                    "bounds array<double>, values array<double>") \
+        spark.createDataFrame(rows, "i int, method string, a double, b double") \
             .coalesce(1).write.mode("overwrite").json(f"{path}/calibrators")
 
     @staticmethod
@@ -220,7 +229,8 @@ class Ensemble:
         rows = spark.read.json(f"{path}/calibrators").orderBy("i").collect()
         return Ensemble(tuple(
             (PipelineModel.load(f"{path}/member{r['i']}"),
-             Calibrator(r["method"], r["a"], r["b"], tuple(r["bounds"]), tuple(r["values"])))
+             Calibrator(r["method"], r["a"], r["b"], spark.read.parquet(f"{path}/steps{r['i']}")
+                        if r["method"] == "isotonic" else None))
             for r in rows), rows[0]["method"])
 
 
@@ -229,7 +239,7 @@ def fit_ensemble(train: DataFrame, method: str, settings: TreeSettings = TreeSet
     """Each member learns on all folds but one and is calibrated on that one."""
     if method == "raw":
         return Ensemble(((fit_trees(train, settings), Calibrator("raw")),), method)
-    folded = with_folds(train, members, by=None, seed=settings.seed)
+    folded = written(with_folds(train, members, by=None, seed=settings.seed), "members")
     fitted = []
     for i in range(members):
         model = fit_trees(folded.filter(F.col("fold") != i), settings)
@@ -241,7 +251,7 @@ def fit_ensemble(train: DataFrame, method: str, settings: TreeSettings = TreeSet
 def out_of_fold(train: DataFrame, method: str, settings: TreeSettings = TreeSettings(),
                 folds: int = 5) -> DataFrame:
     """Predictions for every training row by a model that never saw its group."""
-    folded = with_folds(train, folds)
+    folded = written(with_folds(train, folds), "folds")
     parts = []
     for i in range(folds):
         model = fit_ensemble(folded.filter(F.col("fold") != i).drop("fold"), method, settings)

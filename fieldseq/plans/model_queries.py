@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldseq.operators import folds, isotonic, portable
 from fieldseq.operators import prediction_metrics as PM
 from fieldseq.operators import xg
 from fieldseq.plans.base import cte, query, r6, shots, with_sql
+from fieldseq.sources.tables import written
 
 TEST_GROUPS = ("1:0", "2:1")
 _TEST = "('1:0', '2:1')"
@@ -146,6 +148,59 @@ def score_difference(spark, sf_dir):
     return d.select(r6("max_abs_diff").alias("max_abs_diff"))
 
 
+cte("fold_groups", """select *, row_number() over (order by n desc, match_id) as o
+    from (select match_id, count(*) as n from mrows group by match_id)""", ("mrows",))
+
+
+@query("fold_sizes", "with recursive " + with_sql(("fold_groups",), """
+, deal as (
+    select 0::bigint as o, null::bigint as match_id, 0::bigint as n, null::int as fold, [0, 0, 0, 0, 0]::bigint[] as loads
+    union all
+    select g.o, g.match_id, g.n, list_position(loads, list_min(loads))::int - 1,
+      list_transform(loads, lambda v, i: v + case when i = list_position(loads, list_min(loads)) then g.n else 0 end)
+    from deal d join fold_groups g on g.o = d.o + 1)
+select match_id, n, fold from deal where o > 0""").removeprefix("with "))
+def fold_sizes(spark, sf_dir):
+    """Matches dealt to five folds, the one with most shots first, each to the lightest fold."""
+    rows = shots(spark, sf_dir).join(model_rows(spark, sf_dir).select("event_id"), "event_id")
+    return folds.group_folds(rows, 5, "match_id")
+
+
+@query("isotonic_steps", with_sql(("preds",), """
+, c as (select p_base as m, count(*)::double as n, sum(y)::double as s, row_number() over (order by p_base) as i
+        from preds group by p_base),
+  t as (select a.i as a, b.i as b, sum(c.s) / sum(c.n) as mean from c a join c b on a.i <= b.i
+        join c on c.i between a.i and b.i group by a.i, b.i),
+  low as (select k.i, a, min(mean) as low from c k join t on t.a <= k.i and t.b >= k.i group by k.i, a)
+select m as margin, round(max(low), 6) as value from low join c using (i) group by m"""))
+def isotonic_steps(spark, sf_dir):
+    """Rising goal rates over the coarse baseline score, looked up for each distinct score."""
+    scored = formula_predictions(spark, sf_dir).select("event_id", "is_goal", F.col("p_base").alias("margin"))
+    steps = written(isotonic.fit_steps(scored), "steps")
+    found = isotonic.calibrated(scored, steps, "margin", "value", "event_id")
+    return found.select("margin", r6("value").alias("value")).distinct()
+
+
+@query("method_choice")
+def method_choice(spark, sf_dir):
+    """Out-of-fold loss of each calibration method, three balanced folds of whole groups; three
+    rounds instead of 300, as 21 ensemble members are fitted."""
+    train, _ = xg.split(model_rows(spark, sf_dir), TEST_GROUPS)
+    losses = xg.choose_method(written(train, "train"), xg.settings_for(3), folds=3)
+    rows = [(method, loss, i == 0) for i, (method, loss) in enumerate(losses.items())]
+    return spark.createDataFrame(rows, "method string, log_loss double, chosen boolean")
+
+
+@query("portable_audit", with_sql(("mrows",), """
+select count(*) as n, true as equal from mrows"""))
+def portable_audit(spark, sf_dir):
+    """All modelled shots scored by the fitted ensemble and from its node tables."""
+    rows = written(model_rows(spark, sf_dir), "rows")
+    fitted = xg.fit_ensemble(rows, "sigmoid", xg.settings_for(10))
+    gap = portable.largest_gap(fitted, portable.export(spark, fitted), rows)
+    return gap.select("n", (F.col("gap") < 1e-9).alias("equal"))
+
+
 @query("xg_baseline_fit")
 def xg_baseline_fit(spark, sf_dir):
     """Trained baseline's probabilities for the held-out groups."""
