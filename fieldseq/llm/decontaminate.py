@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldseq.llm.base import query, stored, table
+from fieldseq.llm.base import n_words, query, stored, table
 from fieldseq.llm.language import groups
 from fieldseq.llm.words import shingles, text_buffers, words
 
@@ -31,7 +31,7 @@ THRESHOLD, OVERLAP, TRIPLE = 0.5, 0.5, 3
 FEW_WORDS = 8
 GROUP_BYTES = 2 << 20
 BLOCK, RANGES, STRIDE, ROWS = 8, 256, 64, 16384
-ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 32 << 20
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 4 << 20
 _SENTENCE = re.compile(r"[.!?]+\s+(?=\S)")
 
 
@@ -119,8 +119,12 @@ class Index:
 
 
 def build_index(item_ids: list[int], texts: list[str], df: dict[int, int], n_items: int,
-                mean_words: float) -> Index:
-    """Index some items with the word statistics of all items."""
+                mean_words: float, longest: int = 0) -> Index:
+    """Index some items with the word statistics of all items.
+
+    `longest` is the number of words of the longest of all items: passages are cut alike
+    for all indexes, so what is found does not depend on how items are put together.
+    """
     h, owner = words(pa.array(texts, pa.large_string()))
     n = len(texts)
     pairs, counts = np.unique(np.stack((owner.astype(np.uint64), h)), axis=1, return_counts=True) \
@@ -157,7 +161,7 @@ def build_index(item_ids: list[int], texts: list[str], df: dict[int, int], n_ite
         np.maximum.reduceat(weight, heads) if len(heads) else np.zeros(0), wide,
         [grams(first[i], first[i] + cut[i]) for i in range(n)],
         [grams(first[i] + cut[i], first[i + 1]) for i in range(n)],
-        max(STRIDE, int(size.max()) if n else 0))
+        max(STRIDE, longest, int(size.max()) if n else 0))
 
 
 def _share(wanted: np.ndarray, held: np.ndarray) -> float:
@@ -263,7 +267,8 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                    .filter(F.col("item_id").isNotNull() & F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))),
                    "items")
     all_words = stored(items.mapInArrow(_item_words, "item_id long, word long"), "item_words")
-    stats = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    stats = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"),
+                      F.max(n_words("text")).alias("longest")).first()
     mean = all_words.count() / max(stats.n, 1)
     df = all_words.distinct().groupBy("word").agg(F.count("*").alias("df"))
     passes = max(1, -(-stats.n // ITEMS_AT_ONCE), -(-(stats.b or 0) // BYTES_AT_ONCE))
@@ -275,7 +280,8 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
         own = all_words.join(part.select("item_id"), "item_id", "left_semi").select("word").distinct()
         known = {r.word: r.df for r in df.join(own, "word").collect()}
         index = docs.sparkSession.sparkContext.broadcast(  # at most ITEMS_AT_ONCE items
-            build_index([r.item_id for r in rows], [r.text for r in rows], known, stats.n, mean))
+            build_index([r.item_id for r in rows], [r.text for r in rows], known, stats.n, mean,
+                        stats.longest or 0))
         out = _one_pass(out, index, threshold, overlap)
     return out
 
@@ -292,7 +298,7 @@ def _one_pass(docs: DataFrame, index, threshold: float, overlap: float) -> DataF
                 h, doc = words(texts.slice(a, b - a))
                 hits += _hits(index.value, h, doc, b - a, threshold, overlap)
             for i in np.flatnonzero(pa.compute.list_value_length(before).to_numpy(zero_copy_only=False)):
-                hits[i] = before[int(i)].as_py() + hits[i]
+                hits[i] = sorted(before[int(i)].as_py() + hits[i], key=lambda x: x["item_id"])
             columns = list(batch.columns)
             columns[names.index("hits")] = pa.array(hits, _HITS_ARROW)
             yield pa.RecordBatch.from_arrays(columns, names)

@@ -159,9 +159,9 @@ class Model:
     def text_costs(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text and language, and characters counted."""
         n = len(offsets) - 1
-        words = letter_words(raw, offsets)
+        words = letter_words(raw, offsets) if self.languages else None
         if words is None:
-            return np.zeros((n, len(self.languages))), np.zeros(n)
+            return np.zeros((n, max(1, len(self.languages)))), np.zeros(n)
         costs = self.word_costs(words)
         total = np.stack([np.bincount(words.doc, costs[words.word, i], n)
                           for i in range(len(self.languages))], axis=1)
@@ -171,6 +171,8 @@ class Model:
     def decide(self, cost: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language index, its calibrated probability, and whether it is rejected."""
         best = cost.argmin(axis=1)
+        if not self.languages:
+            return best, np.zeros(len(best)), np.ones(len(best), bool)
         rows = np.arange(len(best))
         odds = np.exp(-self.sharpness * (cost - cost[rows, best][:, None]))
         score = 1 / odds.sum(axis=1)
@@ -180,7 +182,10 @@ class Model:
 
 
 def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
-    """Kneser-Ney models of all languages from texts; every fifth text only calibrates."""
+    """Kneser-Ney models of all languages from texts; every fifth text only calibrates.
+
+    Without any letter to learn from, the model has no languages and knows no text.
+    """
     model = Model(sorted(texts))
     count = len(model.languages)
     held: list[tuple[int, str]] = []
@@ -192,7 +197,7 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     raw, offsets = text_buffers(pa.array([t for _, t in learned], pa.large_string()))
     words = letter_words(raw, offsets) if len(learned) else None
     if words is None:
-        raise ValueError("no labelled text with letters to learn from")
+        return Model([])
     tongue = np.array([i for i, _ in learned])
     # occurrences of each distinct word per language: rows language, columns word
     uses = np.bincount(tongue[words.doc] * len(words.size) + words.word,
@@ -269,23 +274,32 @@ def _calibrate(model: Model, texts: list[tuple[int, str]]) -> None:
 
 def sample_texts(docs: DataFrame, per_language: int = SAMPLE_DOCS, longest: int = SAMPLE_CHARS
                  ) -> dict[str, list[str]]:
-    """At most `per_language` whole texts of each language, by the order of a hash of the id."""
-    fair = docs.filter("lang is not null and text is not null").filter(F.length("text") <= longest)
-    ids = stored(hash_sample(fair.select("doc_id", "lang"), "lang", "doc_id", per_language).distinct(),
-                 "language_sample")
+    """At most `per_language` texts of each language, by the order of a hash of the id.
+
+    What reaches the driver is bounded by both parameters: a text of more than `longest`
+    characters takes part as its pieces of that length, each on its own. Rows that repeat
+    an id and language are drawn once.
+    """
+    known = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
+    piece = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / longest).cast("int")))
+    keys = known.select("lang", "doc_id", piece.alias("piece")).distinct().withColumn(
+        "_key", F.concat_ws(":", F.col("doc_id").cast("string"), F.nullif("piece", F.lit(0)).cast("string")))
+    ids = stored(hash_sample(keys, "lang", "_key", per_language), "language_sample")
+    drawn = known.join(ids.withColumnsRenamed({"doc_id": "_id", "lang": "_lang"}),
+                       F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    part = F.substring("text", F.col("piece") * longest + 1, F.lit(longest))
     out: dict[str, list[str]] = {}
-    for row in fair.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"]).orderBy(
-            "lang", F.xxhash64("doc_id"), "text").collect():
-        kept = out.setdefault(row.lang, [])
-        if len(kept) < per_language:
-            kept.append(row.text)
+    for row in drawn.select("lang", "_key", part.alias("text")).filter("text <> ''").groupBy("lang", "_key").agg(
+            F.min("text").alias("text")).orderBy("lang", F.xxhash64("_key"), "text").collect():
+        out.setdefault(row.lang, []).append(row.text)
     return out
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Add lang_pred, lang_score and lang_rejected to all rows, in one pass over the texts.
 
-    Null texts and texts without a letter are `und` with score 0 and rejected. Columns
+    Null texts and texts without a letter are `und` with score 0 and rejected, as are all
+    texts when the model has no languages. Columns
     of these names are replaced; other columns and repeated rows stay as they are.
     """
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")

@@ -73,7 +73,7 @@ def _split(fragments: int, k: int):
     the occurrences of its `many`.
     """
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        first = number = TaskContext.get().partitionId() << 16
         for batch in batches:
             ids, marks = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)
                           for i in (0, 2))
@@ -121,6 +121,8 @@ def _split(fragments: int, k: int):
                         pa.array(columns[0], pa.int32()), pa.array([number] * len(rows), pa.int64()),
                         *[pa.array(c, pa.binary()) for c in columns[1:]], none, none, none], schema=_SENT)
                     number += 1
+                    if number >> 16 != first >> 16:
+                        raise ValueError("more than 65,536 batches of texts in one scan task")
     return apply
 
 

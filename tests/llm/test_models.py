@@ -37,8 +37,31 @@ def test_language_of_held_out_and_odd_texts(spark):
     assert all(got[i].lang_rejected for i in (900, 901, 902, 905))
     assert got[904].lang_pred == "cc" and got[906].lang_pred == "aa" and got[903].lang_pred == rows[0][2]
     assert language.identify(df.limit(0), model).count() == 0
-    with pytest.raises(ValueError):
-        language.fit({})
+
+
+def test_nothing_to_learn_from(spark):
+    """Without labelled letters all texts are unknown, whatever they hold."""
+    schema = "doc_id long, text string, lang string"
+    for rows in ([], [(1, "12 !!", "aa"), (2, "ba no", None)], [(1, None, "aa")], [(1, "", "aa"), (2, "", "aa")]):
+        df = spark.createDataFrame(rows, schema)
+        model = language.fit(language.sample_texts(df))
+        got = language.identify(df, model).collect()
+        assert len(got) == len(rows) and all((r.lang_pred, r.lang_score, r.lang_rejected) == ("und", 0.0, True) for r in got)
+
+
+def test_long_texts_and_repeated_rows_are_learned(spark):
+    """A language that has only very long texts, or many rows of one id, is learned too."""
+    rng = random.Random(3)
+    rows = [(1, tongue(rng, "aa", 4000), "aa"), (2, tongue(rng, "aa", 6000), "aa")]
+    rows += [(3, tongue(rng, "bb", 40), "bb")] * 300 + [(None, tongue(rng, "cc", 50), "cc")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.sample_texts(df, per_language=10, longest=1000)
+    assert {k: len(v) for k, v in sample.items()} == {"aa": 10, "bb": 1, "cc": 1}
+    assert all(len(t) <= 1000 for v in sample.values() for t in v)
+    model = language.fit(sample)
+    asked = [(i, tongue(rng, name, 20), name) for i, name in enumerate(["aa", "bb", "cc"] * 5)]
+    got = language.identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()
+    assert all(r.lang_pred == r.lang for r in got)
 
 
 def plain_kneser_ney(texts, order, alphabet):

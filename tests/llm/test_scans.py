@@ -208,3 +208,23 @@ def test_leaks_are_found_and_clean_texts_left(spark, monkeypatch):
     assert {(r.doc_id, h.item_id) for r in more.collect() for h in r.hits} == held
     assert decontaminate.find_items(df.limit(0), given).count() == 0
     assert all(not r.hits for r in decontaminate.find_items(df, given.limit(0)).collect())
+
+
+def test_hits_do_not_depend_on_the_number_of_passes(spark, monkeypatch):
+    """One long item widens the passages of all others alike, in one index or several."""
+    rng = random.Random(6)
+    items, docs = items_and_docs(rng)
+    items.append((77, " ".join(f"long{i}" for i in range(900))))
+    for d in range(0, 30, 3):  # question and answer lie far apart
+        i = 1 + 2 * rng.randrange(19)
+        question, answer = items[i][1].rsplit(". ", 1)
+        docs.append((200 + d, " ".join([question, *(f"x{rng.randrange(99)}" for _ in range(60 * (d + 1))), answer])))
+    docs.append((300, "a b " + items[-1][1] + " c"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    given = spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for n in (1000, 25, 9):
+        monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", n)
+        found.append(sorted((r.doc_id, [(h.item_id, round(h.score, 9), h.first_word) for h in r.hits])
+                            for r in decontaminate.find_items(df, given).collect()))
+    assert found[0] == found[1] == found[2] and (300, 77) in {(d, h[0]) for d, hits in found[0] for h in hits}
