@@ -12,20 +12,23 @@ from fieldseq.llm.base import stored, table
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents no language model explains; give those without a language the one found.
 
-    Without any labelled text, only documents without letters go.
+    Without any labelled text that has letters, only documents without letters go.
     """
-    texts = language.sample_texts(docs)
-    if not texts:
+    model = language.fit(language.sample_texts(docs))
+    if not model.languages:
         return docs.filter(F.rlike("text", F.lit(r"\p{L}")))
-    found = language.identify(docs, language.fit(texts)).filter("not lang_rejected")
+    found = language.identify(docs, model).filter("not lang_rejected")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays, once if its row
+    repeats; texts without words, and null ones, have no copies and all stay."""
     return ngram_join.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item; null and empty texts stay, repeated rows alike."""
     found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
     return found.filter(F.size("hits") == 0).select(*docs.columns)
 
