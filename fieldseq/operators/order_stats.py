@@ -1,9 +1,10 @@
 """Exact ranks and order statistics without bringing all values to one task.
 
-Equal values are counted together first. Distinct values are then cut into
-buckets by approximate quantiles, ranked inside their bucket, and lifted by the
-total of the buckets before. The result is exact; the approximation only decides
-how evenly the work is spread.
+Equal values are counted together first. Distinct values are then cut into buckets, and
+buckets that still hold more than a limit are cut again, in rounds, by approximate
+quantiles of their own values. They are ranked inside their bucket and lifted by the
+total of the buckets before. The result is exact; the cuts only decide how evenly the
+work is spread.
 """
 
 from __future__ import annotations
@@ -13,27 +14,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
-COARSE = 32
+from fieldseq.operators.skew import spread_join
+from fieldseq.sources.tables import written
 
+#: Most distinct values that are ranked in one task, and parts a larger bucket is cut into.
+IN_BUCKET, CUT = 100_000, 64
 
-def _bucket(value: str) -> Column:
-    """Number of approximate quantiles at or below a value, found in two short scans."""
-    edges = F.col("_edges")
-    below = F.size(F.filter(F.transform(
-        F.sequence(F.lit(COARSE), F.lit(BUCKETS - COARSE), F.lit(COARSE)),
-        lambda i: F.get(edges, i - 1)), lambda e: e <= F.col(value)))
-    near = F.slice(edges, below * COARSE + 1, F.lit(COARSE - 1))
-    return below * COARSE + F.size(F.filter(near, lambda e: e <= F.col(value)))
 
+def in_buckets(counted: DataFrame, value: str, by: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Add `_bucket`: numbers that rise with the value, none with more than `limit` rows of a group.
 
-def _edges(df: DataFrame, value: str) -> Column:
-    at = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    return df.agg(F.percentile_approx(value, at, F.lit(10000)).alias("e")).scalar()
+    Each round cuts every larger bucket by 63 quantiles of its own distinct values, so a
+    round divides sizes by about 64 whatever the values look like.
+    """
+    limit = IN_BUCKET if limit is None else limit
+    rows = written(counted.withColumn("_bucket", F.lit(0).cast("long")), "counted")
+    at = F.array(*[F.lit(i / CUT) for i in range(1, CUT)])
+    while True:
+        sizes = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")).groupBy("_bucket").agg(
+            F.max("_n").alias("_n"))
+        large = sizes.filter(F.col("_n") > limit).select("_bucket")
+        if large.isEmpty():
+            return rows
+        large = written(large, "large_buckets")
+        edges = (rows.join(F.broadcast(large), "_bucket").select("_bucket", value).distinct()
+                 .groupBy("_bucket").agg(F.percentile_approx(value, at, F.lit(1000)).alias("_edges")))
+        cut = spread_join(rows, written(edges, "edges"), ["_bucket"], F.col(value), "left")
+        below = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0))
+        rows = written(cut.withColumn("_bucket", F.col("_bucket") * CUT + F.when(
+            F.col("_edges").isNull(), 0).otherwise(below)).drop("_edges"), "buckets")
 
 
 def cumulative(df: DataFrame, value: str, by: Sequence[str] = (),
-               sums: dict[str, Column] | None = None) -> DataFrame:
+               sums: dict[str, Column] | None = None, limit: int | None = None) -> DataFrame:
     """Distinct values with `n`, `before` (rows with a smaller value) and `total`.
 
     `sums` adds further sums per value, e.g. the number of positives.
@@ -42,9 +55,7 @@ def cumulative(df: DataFrame, value: str, by: Sequence[str] = (),
     df = df.filter(F.col(value).isNotNull())
     extra = [F.sum(c).alias(n) for n, c in (sums or {}).items()]
     counted = df.groupBy(*by, value).agg(F.count("*").alias("n"), *extra)
-    edges = _edges(df, value)
-    counted = (counted.withColumn("_edges", edges)
-               .withColumn("_bucket", _bucket(value)).drop("_edges"))
+    counted = in_buckets(counted, value, by, limit)
     per_bucket = counted.groupBy(*by, "_bucket").agg(F.sum("n").alias("_in_bucket"))
     whole = Window.partitionBy(*by)
     earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldseq.operators import order_stats
+from fieldseq.operators.skew import spread_join
 
 CLIP = 1e-6
 CALIBRATION_BINS = 10
@@ -77,7 +78,7 @@ def calibration(rows: DataFrame, bins: int = CALIBRATION_BINS,
     edges = order_stats.linear_quantiles(rows, "p", [i / bins for i in range(bins + 1)], ["model"])
     edges = edges.select("model", F.array_distinct("edges").alias("edges"))
     inner = F.slice("edges", F.lit(2), F.greatest(F.lit(0), F.size("edges") - 2))
-    binned = rows.join(F.broadcast(edges), "model").withColumn(
+    binned = spread_join(rows, edges, ["model"], F.col("p")).withColumn(
         "bin", F.size(F.filter(inner, lambda e: e <= F.col("p"))))
     return (binned.groupBy("model", "bin")
             .agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("rate"))

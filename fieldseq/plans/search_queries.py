@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldseq.functions import grammar as G
-from fieldseq.operators import bounded, dense, filters, fuse, predicate_index, sparse
+from fieldseq.operators import bounded, dense, filters, fuse, latent, predicate_index, sparse
 from fieldseq.operators.filters import Filters
 from fieldseq.plans.base import (cte, possessions, query, r6, stored_possessions, table,
                                  with_sql)
@@ -404,3 +404,19 @@ def unknown_zones(spark, sf_dir):
         F.explode(filters.unknown_zones(F.split("zone_path", " "), allowed)).alias("zone"))
     times = F.size(F.filter("zones", lambda z: z == F.col("zone")))
     return bad.groupBy("zone").agg(F.sum(times).alias("n"))
+
+
+@query("latent_vectors", with_sql(("pt_post",), """
+select (select count(distinct uid) from pt_post) as n_items, 8 as rank, true as orthonormal,
+  true as explains_more_than_its_share"""))
+def latent_vectors(spark, sf_dir):
+    """Vectors of possessions from their postings: are the directions orthonormal, and do eight of
+    them explain more of the postings than eight of as many equally strong ones would?"""
+    index = token_index(stored_possessions(spark, sf_dir))
+    found = latent.fit(index.postings, rank=8, rounds=4)
+    products = latent.inner_products(found.grams, 8)
+    off = max(abs(products[i, j] - (i == j)) for i in range(8) for j in range(8))
+    share = 8 / max(found.grams.count(), 8)
+    return found.items.agg(F.count("*").alias("n_items")).select(
+        "n_items", F.lit(len(found.singular)).alias("rank"), F.lit(bool(off < 1e-9)).alias("orthonormal"),
+        F.lit(bool(share < found.explained <= 1 + 1e-9)).alias("explains_more_than_its_share"))
