@@ -57,6 +57,7 @@ def hybrid(queries: DataFrame, items: DataFrame, index: sparse.SparseIndex, word
     if use_filters:
         if "filters" not in queries.columns:
             raise ValueError("queries without `filters`; pass use_filters=False to search all items")
+        queries = written(queries, "queries")  # read for the index, the grams and the vectors
         asked = predicate_index.build(queries)
         held = written(asked.probe(items, item_id), "held")
     grams = sparse.query_vectors(queries, index.vocab, words)
@@ -94,6 +95,7 @@ def similar(seeds: DataFrame, index: sparse.SparseIndex, vectors: DataFrame | No
     if "filters" in seeds.columns:
         if items is None:
             raise ValueError("filtered seeds need the items their filters are about")
+        seeds = written(seeds, "seeds")
         asked = predicate_index.build(seeds)
         held = written(asked.probe(items, item_id), "held")
         seeds = asked.asked(seeds)
