@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldseq.functions import grammar as G
-from fieldseq.operators import dense, filters, predicate_index, shapes, sparse
+from fieldseq.operators import bounded, dense, filters, predicate_index, shapes, sparse
 from fieldseq.operators.skew import spread_join, stacked, top_k
 from fieldseq.sources.tables import written
 
@@ -41,15 +41,16 @@ def pooled(rankings: Mapping[str, DataFrame], item_id: str = "uid",
 
 def hybrid(queries: DataFrame, items: DataFrame, index: sparse.SparseIndex, words: Column,
            vectors: DataFrame | None = None, limit: int = LIMIT, pool: int = POOL,
-           use_filters: bool = True, shared: bool = False) -> dict[str, DataFrame]:
+           use_filters: bool = True, shared: bool = False,
+           blocks: bounded.BlockIndex | None = None) -> dict[str, DataFrame]:
     """Sparse, dense and fused rankings for a table of queries.
 
     `queries` has qid, what `words` reads, `filters` (when used) and an
     `embedding` when `vectors` (item id, embedding) are given. Filters decide
     membership for both rankers before anything is scored: a predicate index of the
     query table is probed once per item (`held`, one row per item), and queries must
-    have a `filters` column.
-    With `shared`, the single rankings (at most `pool` rows per query) are written to
+    have a `filters` column. With `blocks`, the same index in blocks, the sparse ranking
+    scores only blocks that can reach the top. With `shared`, the single rankings (at most `pool` rows per query) are written to
     the shared folder once, for callers that read them besides the fused one.
     """
     item_id = index.id_col
@@ -61,9 +62,12 @@ def hybrid(queries: DataFrame, items: DataFrame, index: sparse.SparseIndex, word
         asked = predicate_index.build(queries)
         held = written(asked.probe(items, item_id), "held")
     grams = sparse.query_vectors(queries, index.vocab, words)
-    pairs = sparse.scores(grams if asked is None else asked.asked(grams), index,
-                          small=sparse.is_small(queries, words), held=held)
-    found = {"sparse": sparse.rank(pairs, item_id, pool)}
+    grams = grams if asked is None else asked.asked(grams)
+    if blocks is not None:
+        found = {"sparse": bounded.best(written(grams, "grams"), blocks, pool, held=held)}
+    else:
+        pairs = sparse.scores(grams, index, small=sparse.is_small(queries, words), held=held)
+        found = {"sparse": sparse.rank(pairs, item_id, pool)}
     if vectors is not None:
         found["dense"] = dense.nearest(
             queries if asked is None else asked.asked(queries), _with_held(vectors, held, item_id),

@@ -77,6 +77,11 @@ def shots_of(details: DataFrame, shots: DataFrame) -> DataFrame:
     return clock.join(shots.drop("idx", "minute", "match_id", "possession"), "event_id")
 
 
+def timeline(details: DataFrame, shots: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """All events in detail, with columns of their shot; null for events that are none."""
+    return details.join(shots.select("event_id", *columns), "event_id", "left")
+
+
 def last_frame(details: DataFrame, shots: DataFrame) -> DataFrame:
     """Players seen at the last shot that has a freeze frame, per possession."""
     framed = (details.filter(F.col("type") == "Shot").select("uid", "event_id", "idx")

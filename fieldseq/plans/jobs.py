@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldseq.operators import filters, fuse, notes, phrase_plan, predicate_index, results, shapes
+from fieldseq.operators.bounded import BlockIndex
 from fieldseq.operators.filters import FILTER_TYPE, Filters
 from fieldseq.operators.sparse import SparseIndex
 from fieldseq.spec import SUMMARY_COLUMNS, ZONES
@@ -70,13 +71,14 @@ def with_explicit(plans: DataFrame, explicit: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, items: DataFrame, index: SparseIndex,
            vectors: DataFrame | None = None, shots: DataFrame | None = None,
-           limit: int = fuse.LIMIT) -> Tables:
+           limit: int = fuse.LIMIT, blocks: BlockIndex | None = None) -> Tables:
     """Hybrid search for a table of queries (qid, filters, hint[, embedding]).
 
     Gives `results`, `rankings` (per ranker), `counts` (items passing each query's
-    filters), `notes` and `given`. `shots` with a `my_xg` column adds model totals.
+    filters), `notes` and `given`. `shots` with a `my_xg` column adds model totals; `blocks`
+    (`bounded.in_blocks` of the index) spares the sparse ranking most matches.
     """
-    found = fuse.hybrid(queries, items, index, F.split("hint", " "), vectors, limit)
+    found = fuse.hybrid(queries, items, index, F.split("hint", " "), vectors, limit, blocks=blocks)
     page = _page(found["fused"], items, shots)
     given = queries.select("qid", filters.given_fields(F.col("filters")).alias("given"))
 

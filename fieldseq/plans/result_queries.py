@@ -225,6 +225,16 @@ def last_freeze_frame(spark, sf_dir):
     return results.last_frame(detailed(spark, sf_dir), shots(spark, sf_dir))
 
 
+@query("possession_timeline", with_sql(("detail", "scored"), """
+select d.uid, d.event_id, d.idx, d.type, d.att as is_attacking, round(s.distance, 6) as distance,
+  s.body_part, round(s.my_xg, 6) as my_xg from detail d left join scored s using (event_id)"""))
+def possession_timeline(spark, sf_dir):
+    """Events of all possessions in one table with their shots, where they are shots."""
+    t = results.timeline(detailed(spark, sf_dir), scored_shots(spark, sf_dir), ("distance", "body_part", "my_xg"))
+    return t.select("uid", "event_id", "idx", "type", "is_attacking", r6("distance").alias("distance"),
+                    "body_part", r6("my_xg").alias("my_xg"))
+
+
 @query("possession_shots", with_sql(("detail", "scored"), """
 select d.uid, d.event_id, d.idx, d.minute, round(s.my_xg, 6) as my_xg,
   round(s.provider_xg, 6) as provider_xg from detail d join scored s using (event_id)"""))

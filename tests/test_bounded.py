@@ -65,6 +65,17 @@ def test_bounded_search_keeps_filters(spark):
         assert rows_of(bounded.best(vectors, bounded.in_blocks(index, 10), k, held=held)) == want
 
 
+def test_hybrid_with_blocks_gives_the_same_fused_ranking(spark):
+    from fieldseq.operators import fuse
+    items = spark.createDataFrame(possession_rows(90, 5), POSS)
+    index = sparse.fit_index(items, "uid", words_of()).shared()
+    vectors = items.select("uid", dense.zone_profile(F.col("zone_path")).alias("embedding"))
+    asked = filter_table(spark, WANTED, "hint string, embedding array<double>", lambda q: ("PASS@M-C SHOT@F-C", [1.0] * 15))
+    plain = fuse.hybrid(asked, items, index, words_of("hint"), vectors, 9, pool=12)["fused"]
+    pruned = fuse.hybrid(asked, items, index, words_of("hint"), vectors, 9, pool=12, blocks=bounded.in_blocks(index, 8))
+    assert rows_of(pruned["fused"]) == rows_of(plain)
+
+
 def test_balls_skip_what_is_out_of_reach_only():
     rng = np.random.default_rng(3)
     middles = rng.normal(size=(30, 12))
