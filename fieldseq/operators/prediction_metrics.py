@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldseq.operators import order_stats
-from fieldseq.operators.skew import spread_join
+from fieldseq.sources.tables import written
 
 CLIP = 1e-6
 CALIBRATION_BINS = 10
@@ -76,9 +76,10 @@ def calibration(rows: DataFrame, bins: int = CALIBRATION_BINS,
     Edges are exact quantiles; equal edges are merged and small bins left out.
     """
     edges = order_stats.linear_quantiles(rows, "p", [i / bins for i in range(bins + 1)], ["model"])
-    edges = edges.select("model", F.array_distinct("edges").alias("edges"))
+    # Stored, so that Spark knows how small it is and may broadcast it.
+    edges = written(edges.select("model", F.array_distinct("edges").alias("edges")), "edges")
     inner = F.slice("edges", F.lit(2), F.greatest(F.lit(0), F.size("edges") - 2))
-    binned = spread_join(rows, edges, ["model"], F.col("p")).withColumn(
+    binned = rows.join(edges, "model").withColumn(
         "bin", F.size(F.filter(inner, lambda e: e <= F.col("p"))))
     return (binned.groupBy("model", "bin")
             .agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("rate"))

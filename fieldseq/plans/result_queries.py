@@ -140,21 +140,21 @@ def shape_job(spark, sf_dir):
     return _claim_columns(made["notes"])
 
 
-_PAGE = """select qid, rank, uid, team, opponent, play_pattern, token_string, n_events::bigint as n_events,
+_JOB_PAGE = """select qid, rank, uid, team, opponent, play_pattern, token_string, n_events::bigint as n_events,
   ended_in_shot, round(xg_sum, 6) as xg_sum, round(my_xg_sum, 6) as my_xg_sum from {}_page where rank < 20"""
 
 
-def _page_columns(made):
+def _job_columns(made):
     return made.select("qid", "rank", "uid", "team", "opponent", "play_pattern", "token_string",
                        F.col("n_events").cast("bigint").alias("n_events"), "ended_in_shot",
                        r6("xg_sum").alias("xg_sum"), r6("my_xg_sum").alias("my_xg_sum"))
 
 
-@query("shape_job_page", with_sql(("shape_page",), _PAGE.format("shape")))
+@query("shape_job_page", with_sql(("shape_page",), _JOB_PAGE.format("shape")))
 def shape_job_page(spark, sf_dir):
     """Result page of the job for a table of shapes."""
     made = jobs.shape_table(drawings(spark), stored_possessions(spark, sf_dir), scored_shots(spark, sf_dir))
-    return _page_columns(made["results"])
+    return _job_columns(made["results"])
 
 
 cte("sim_page", """select s.qid, s.rank, p.*, t.my_xg_sum from similar_top s join poss p using (uid)
@@ -170,12 +170,12 @@ def similar_job(spark, sf_dir):
     return _claim_columns(made["notes"])
 
 
-@query("similar_job_page", with_sql(("sim_page",), _PAGE.format("sim")))
+@query("similar_job_page", with_sql(("sim_page",), _JOB_PAGE.format("sim")))
 def similar_job_page(spark, sf_dir):
     items = stored_possessions(spark, sf_dir)
     made = jobs.similar(team_seeds(items), items, token_index(items).shared(),
                         shots=scored_shots(spark, sf_dir))
-    return _page_columns(made["results"])
+    return _job_columns(made["results"])
 
 
 cte("detail", """select concat(match_id, ':', possession) as uid, event_id, idx, period, minute, second,
