@@ -1,7 +1,8 @@
 """Elias-Fano sequences and the n-gram trie made of them, in one memory-mapped file.
 
-A monotone sequence is kept as packed low bits and unary coded high bits. The trie of a
-shard holds the contexts of one last word after another: the words seen after it, the
+A monotone sequence is kept as packed low bits and unary coded high bits, and is searched
+in this form: a select on the high bits gives the bucket of a number, a binary search on
+the low bits its place there, for many numbers at once. The trie of a shard holds the contexts of one last word after another: the words seen after it, the
 words seen before it, and for every such pair the words that followed, written as
 positions in the first list (context-relative). Levels are monotone sequences with
 monotone pointers; probabilities and back-off weights are 16-bit codes.
@@ -15,6 +16,12 @@ from typing import NamedTuple
 import numpy as np
 
 STEPS = 2048  # codes per decade of probability
+BLOCK = 256  # high bits per entry of the directory of ones
+AT_ONCE = 1 << 16  # numbers searched together
+_U = np.uint64
+_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+#: Place of the k-th one (from the lowest bit) of each byte, 8 where it has fewer.
+_PLACE = np.array([([j for j in range(8) if x >> j & 1] + [8] * 8)[:8] for x in range(256)], np.uint8)
 
 
 def coded(p: np.ndarray) -> np.ndarray:
@@ -26,6 +33,98 @@ def log10_of(code: np.ndarray) -> np.ndarray:
     return code.astype(np.float64) / -STEPS
 
 
+def _joined(values: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of `width` bits one after another in 64-bit words, and one more word."""
+    out = np.zeros(len(values) * width // 64 + 2, _U)
+    if not width or not len(values):
+        return out
+    at = np.arange(len(values)) * width
+    word, shift = at >> 6, (at & 63).astype(_U)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+    over = np.flatnonzero((at & 63) + width > 64)  # at most one number crosses into a word
+    out[word[over] + 1] |= values[over] >> (_U(64) - shift[over])
+    return out
+
+
+class Monotone:
+    """An Elias-Fano coded sequence, read where it lies; nothing of it is decoded beforehand."""
+
+    def __init__(self, shape: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
+        self.n, self.width, self.top = (int(x) for x in shape)
+        self._low, self._high, self._ones = low, high, ones
+        self._zeros = np.arange(len(ones)) * BLOCK - ones
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _select(self, k: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
+        """Position of the k-th one (flip 0) or zero (flip 255) among the high bits."""
+        block = np.searchsorted(before, k, "right") - 1
+        k = k - before[block]
+        step = BLOCK // 8
+        part = self._high[(block * step)[:, None] + np.arange(step)] ^ np.uint8(flip)
+        upto = np.cumsum(_ONES[part], axis=1, dtype=np.int32)
+        byte = (upto <= k[:, None]).sum(axis=1)
+        row = np.arange(len(k))
+        k = k - np.where(byte > 0, upto[row, byte - 1], 0)
+        return block * BLOCK + byte * 8 + _PLACE[part[row, byte], k]
+
+    def _low_bits(self, i: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(len(i), _U)
+        at = i * self.width
+        word, shift = at >> 6, (at & 63).astype(_U)
+        # shifted twice, since a shift by 64 has no defined value
+        both = self._low[word] >> shift | (self._low[word + 1] << (_U(63) - shift)) << _U(1)
+        return both & _U((1 << self.width) - 1)
+
+    def _bucket(self, high: np.ndarray) -> np.ndarray:
+        """Number of values whose high bits are below these."""
+        out = np.zeros(len(high), np.int64)
+        some = np.flatnonzero(high > 0)
+        out[some] = self._select(high[some] - 1, self._zeros, 255) + 1 - high[some]
+        return out
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """Values at these places."""
+        out = np.empty(len(places), np.int64)
+        for a in range(0, len(places), AT_ONCE):
+            i = places[a:a + AT_ONCE]
+            high = self._select(i, self._ones, 0) - i
+            out[a:a + AT_ONCE] = high << self.width | self._low_bits(i).astype(np.int64)
+        return out
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the first value not below each number, and whether it equals it.
+
+        Beyond the last value the place is the last one.
+        """
+        at, same = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        if not self.n:
+            return at, same
+        for a in range(0, len(wanted), AT_ONCE):
+            at[a:a + AT_ONCE], same[a:a + AT_ONCE] = self._successor(wanted[a:a + AT_ONCE])
+        return at, same
+
+    def _successor(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        high = wanted >> self.width
+        beyond = high > self.top
+        high = np.minimum(high, self.top)
+        low = np.where(beyond, -1, wanted & ((1 << self.width) - 1)).astype(_U)
+        start, stop = self._bucket(high), self._bucket(high + 1)
+        end = stop.copy()
+        while len(open_ := np.flatnonzero(start < stop)):
+            middle = (start[open_] + stop[open_]) >> 1
+            less = self._low_bits(middle) < low[open_]
+            start[open_[less]] = middle[less] + 1
+            stop[open_[~less]] = middle[~less]
+        at = np.minimum(start, self.n - 1)
+        same = start < end
+        same[same] = self._low_bits(at[same]) == low[same]
+        return at, same & ~beyond
+
+
 class Levels:
     """Writes named arrays one after another to a temporary file and maps them back."""
 
@@ -37,9 +136,9 @@ class Levels:
 
     def put(self, name: str, values: np.ndarray) -> None:
         data = np.ascontiguousarray(values)
-        self._file.write(data.tobytes())
+        self._file.write(data.tobytes() + bytes(-data.nbytes % 8))
         self._at[name] = (self.bytes, len(data), data.dtype)
-        self.bytes += data.nbytes
+        self.bytes += data.nbytes + -data.nbytes % 8
 
     def get(self, name: str) -> np.ndarray:
         start, n, kind = self._at[name]
@@ -48,31 +147,25 @@ class Levels:
         if self._map is None:
             self._file.flush()
             self._map = np.memmap(self._file, np.uint8, "r")
-        return self._map[start:start + n * kind.itemsize].view(kind) \
-            if start % kind.itemsize == 0 else np.frombuffer(
-                self._map[start:start + n * kind.itemsize].tobytes(), kind)
+        return np.asarray(self._map[start:start + n * kind.itemsize]).view(kind)
 
     def put_monotone(self, name: str, values: np.ndarray) -> None:
         """Elias-Fano code of a non-decreasing sequence of non-negative numbers."""
         n = len(values)
         top = int(values[-1]) if n else 0
         low = max(0, (top // max(n, 1)).bit_length() - 1)
-        self.put(f"{name}.shape", np.array([n, low], np.int64))
-        v = values.astype(np.uint64)
-        bits = ((v[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        self.put(f"{name}.low", np.packbits(bits.ravel()))
-        high = np.zeros((top >> low) + n + 1, np.uint8)
-        high[(v >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
-        self.put(f"{name}.high", np.packbits(high))
-
-    def monotone(self, name: str) -> np.ndarray:
-        n, low = (int(x) for x in self.get(f"{name}.shape"))
-        ones = np.flatnonzero(np.unpackbits(self.get(f"{name}.high")))[:n]
-        out = (ones - np.arange(n)) << low
-        bits = np.unpackbits(self.get(f"{name}.low"), count=n * low).reshape(n, low)
-        for j in range(low):
-            out |= bits[:, j].astype(np.int64) << j
-        return out
+        self.put(f"{name}.shape", np.array([n, low, top >> low], np.int64))
+        v = values.astype(_U)
+        self.put(f"{name}.low", _joined(v & _U((1 << low) - 1), low))
+        bits = (top >> low) + n + 1
+        high = np.zeros(-(-bits // BLOCK) * BLOCK, np.uint8)
+        high[(v >> _U(low)).astype(np.int64) + np.arange(n)] = 1
+        self.put(f"{name}.high", np.packbits(high, bitorder="little"))
+        ones = np.add.reduceat(high, np.arange(0, len(high), BLOCK), dtype=np.int64)
+        self.put(f"{name}.ones", np.concatenate(([0], np.cumsum(ones)))[:-1])
+
+    def monotone(self, name: str) -> Monotone:
+        return Monotone(*(self.get(f"{name}.{part}") for part in ("shape", "low", "high", "ones")))
 
     def close(self) -> None:
         self._map = None
@@ -189,14 +282,16 @@ class Trie:
         if self.empty:
             return low[w3]
         get, mono = self.levels.get, self.levels.monotone
-        root, has_root = find(mono("roots"), w2)
-        slot, has_after = find(mono("after"), root * self.width + w3)
+        root, has_root = mono("roots").find(w2)
+        slot, has_after = mono("after").find(root * self.width + w3)
         has_after &= has_root
-        place, has_before = find(mono("before"), root * self.width + w1)
+        place, has_before = mono("before").find(root * self.width + w1)
         has_before &= has_root
-        relative = slot - mono("after_ptr")[root]
-        at, has_follow = find(mono("follow"), relative + _taken(mono("follow_base"), place))
-        has_follow &= has_before & has_after
+        # the third word as its place among those after the second, looked up in this context only
+        both = np.flatnonzero(has_before & has_after)
+        relative = slot[both] - mono("after_ptr").at(root[both])
+        at, has_follow = np.zeros(len(w3), np.int64), np.zeros(len(w3), bool)
+        at[both], has_follow[both] = mono("follow").find(relative + mono("follow_base").at(place[both]))
         p2 = np.where(has_after, log10_of(_taken(get("p2"), slot)), log10_of(get("back2")[root]) + low[w3])
         p2 = np.where(has_root, p2, low[w3])
         p3 = np.where(has_before, log10_of(_taken(get("back3"), place)) + p2, p2)

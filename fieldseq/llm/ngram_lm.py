@@ -7,7 +7,8 @@ Contexts of a word too frequent for one shard are dealt by the word before it; w
 follows that word is counted over all parts first and sent to each of them. The
 unigram level has every word's own count: those of words that make up at least a
 millionth of all tokens (so at most a million) are broadcast, those of the others are
-joined and sent to the shards that ask for them. Only unseen words share a value.
+joined and sent to the shards that ask for them. It is discounted like the others; below
+it every known word and the one class of all unseen words have equal shares.
 """
 
 from __future__ import annotations
@@ -28,15 +29,14 @@ from fieldseq.llm.words import mix, text_buffers, word_spans
 
 GROUP_BYTES, GROUP_DOCS = 4 << 20, 30_000
 SHARD_BYTES, CONTEXT_TOKENS, PARTS = 10 << 20, 1_000_000, 8
-LEAST_SHARE, DISCOUNT, UNSEEN = 1e-6, 0.75, 64  # UNSEEN: tokens set aside for unseen words
+LEAST_SHARE, DISCOUNT = 1e-6, 0.75
 PACK_ROWS = 200_000
 _BEGIN, _END = np.uint64(1), np.uint64(2)
-_LOW = np.uint64((1 << 48) - 1)
 _TRAIN = 0x8000
 
 
 def _text_groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Range of texts, and 48-bit words and text index of their words."""
+    """Range of texts, and hashed words and text index of their words."""
     _, offsets = text_buffers(texts)
     for a0, b0 in groups(offsets, GROUP_BYTES):
         for a in range(a0, b0, GROUP_DOCS):
@@ -44,7 +44,7 @@ def _text_groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
             parts = list(word_spans(texts.slice(a, b - a)))
             word, doc = (np.concatenate([p[i] for p in parts]) for i in range(2)) if parts \
                 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield a, b, np.maximum(word & _LOW, np.uint64(3)), doc
+            yield a, b, np.maximum(word, np.uint64(3)), doc
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,11 +67,14 @@ class Unigrams:
         self.rank = np.argsort(self.words)
         self.sorted = self.words[self.rank]
         self.codes = self.codes_of(self.counts)
-        self.unseen = self.codes_of(np.ones(1))[0]
+        self.unseen = self.codes_of(np.zeros(1))[0]
 
     def codes_of(self, counts: np.ndarray) -> np.ndarray:
-        """Codes of the unigram probabilities of words with these counts."""
-        return coded(np.maximum(counts, 0.5) / (self.total + UNSEEN))
+        """Codes of the unigram probabilities of words with these counts; 0 is the unseen class."""
+        if not self.total:  # nothing known but the end of a text
+            return coded(np.full(len(counts), 0.5))
+        even = DISCOUNT * self.distinct / (self.distinct + 1)
+        return coded((np.maximum(counts - DISCOUNT, 0) + even) / self.total)
 
     def any_dealt(self) -> bool:
         return max(self.n_texts, int(self.counts.max())) > self.context_tokens
@@ -98,7 +101,7 @@ def count_unigrams(docs: DataFrame, least_share: float = LEAST_SHARE
     often = F.col("n") >= F.lit(least_share * total)  # at most 1 / least_share words
     frequent = counts.filter(often).toPandas()
     rare = counts.filter(~often) if len(frequent) < sums.v else None
-    return Unigrams(np.append(frequent["word"].to_numpy(np.uint64), (_END, _BEGIN)),
+    return Unigrams(np.append(frequent["word"].to_numpy(np.int64).view(np.uint64), (_END, _BEGIN)),
                     np.append(frequent["n"].to_numpy(np.int64), (n_texts, 0)), docs.count(),
                     total, distinct), rare
 
@@ -386,8 +389,8 @@ def _score_shard(shared, whole_contexts):
             batches,
             pa.array([_press(p.astype(np.uint16)) for p in parts], pa.binary()),
             pa.array([_press(known[x + p]) for x, p in zip(starts, parts)], pa.binary()),
-            pa.array([_press(base[x + p].astype(np.float32)) for x, p in zip(starts, parts)], pa.binary()),
-            pa.array([_press(score[x + p].astype(np.float32)) for x, p in zip(starts, parts)], pa.binary()),
+            pa.array([_press(base[x + p]) for x, p in zip(starts, parts)], pa.binary()),
+            pa.array([_press(score[x + p]) for x, p in zip(starts, parts)], pa.binary()),
             pa.nulls(len(parts), pa.binary())], names)
     return apply
 
@@ -402,8 +405,8 @@ def _sum_batch(rows: pa.Table) -> pa.Table:
         if rows["at"][i].is_valid:
             at = _unpress(rows["at"][i].as_py(), np.uint16)
             known[at] += _unpress(rows["known"][i].as_py(), np.uint32)
-            base[at] += _unpress(rows["base"][i].as_py(), np.float32)
-            score[at] += _unpress(rows["score"][i].as_py(), np.float32)
+            base[at] += _unpress(rows["base"][i].as_py(), np.float64)
+            score[at] += _unpress(rows["score"][i].as_py(), np.float64)
     return pa.table([pa.array(x) for x in (ids, tokens, known, base, score)],
                     ["doc_id", "n_tokens", "n_known", "base", "score"])
 
@@ -415,8 +418,9 @@ def score_texts(docs: DataFrame, discount_share: float = LEAST_SHARE) -> DataFra
     tasks see the same rows when they are run again. Returns doc_id, n_tokens, n_known,
     train_tokens, base_score and score (both log10) per row. Null texts are empty and
     consist of their end; repeated rows are scored, and learned, as often as they occur.
-    Without training texts all words have the same unigram share. `discount_share` says
-    which counts are broadcast; scores do not depend on it.
+    Without training texts all words have the same unigram share. Every unseen word has the
+    probability of their class. `discount_share` says which counts are broadcast; scores do
+    not depend on it.
     """
     spark = docs.sparkSession
     unigrams, rare = count_unigrams(docs, discount_share)
@@ -459,5 +463,6 @@ _NO_ID = -(1 << 63)  # stands for a null doc_id on the way
 def op6_ngram_lm_scores(spark, sf_dir: str) -> DataFrame:
     held = F.coalesce(is_held_out(5, 1), F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held).alias("train"))
-    return score_texts(docs).select("doc_id", held.alias("held_out"), "n_tokens", "n_known",
-                                    "train_tokens", "base_score", "score")
+    return score_texts(docs).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        (F.col("score") / F.col("n_tokens")).alias("token_score"))

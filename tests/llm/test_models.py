@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from fieldseq.llm import language, ngram_lm, quality_crf
-from fieldseq.llm.elias_fano import Levels, Trie, coded, log10_of
+from fieldseq.llm.elias_fano import Levels, Monotone, Trie, coded, log10_of
 from fieldseq.llm.words import text_buffers
 
 SYLLABLES = {"aa": ["ba", "no", "ti"], "bb": ["ke", "zu", "ño"], "cc": ["я", "шо", "ми"]}
@@ -176,13 +176,34 @@ def test_monotone_round_trip():
         levels.put_monotone(k, v)
         levels.put("x" + k, v.astype(np.uint16))
     for k, v in cases.items():
-        assert (levels.monotone(k) == v).all() and (levels.get("x" + k) == v.astype(np.uint16)).all()
-    assert len(levels.get("a.low")) + len(levels.get("a.high")) < 1000 * 6
+        code = levels.monotone(k)
+        assert len(code) == len(v) and (code.at(np.arange(len(v))) == v).all()
+        assert (levels.get("x" + k) == v.astype(np.uint16)).all()
+        asked = np.concatenate((v, v + 1, np.maximum(v - 1, 0), rng.integers(0, 1 << 48, 500), [0, 1 << 60]))
+        place, same = code.find(asked)
+        assert (same == np.isin(asked, v)).all()
+        assert not len(v) or (place == np.minimum(np.searchsorted(v, asked), len(v) - 1)).all()
+    assert sum(levels.get(f"a.{x}").nbytes for x in ("low", "high", "ones")) < 1000 * 6
     levels.close()
     p = 10.0 ** -rng.uniform(0, 9, 500)
     assert np.abs(log10_of(coded(p)) - np.log10(p)).max() <= 0.5 / 2048 + 1e-12
 
 
+def test_levels_are_searched_in_their_code(monkeypatch):
+    """A lookup reads a few low bits of its bucket; no level is decoded whole."""
+    read = []
+    bits = Monotone._low_bits
+    monkeypatch.setattr(Monotone, "_low_bits", lambda self, i: read.append(len(i)) or bits(self, i))
+    rng = np.random.default_rng(8)
+    v = np.unique(rng.integers(0, 1 << 40, 200_000))
+    levels = Levels()
+    levels.put_monotone("v", v)
+    at, same = levels.monotone("v").find(v[::5000])
+    assert same.all() and (at == np.arange(0, len(v), 5000)).all()
+    assert sum(read) < 6 * len(at)
+    levels.close()
+
+
 def test_trie_equals_plain_model_and_sums_to_one():
     rng = random.Random(5)
     width, d = 9, 0.75
@@ -262,6 +283,49 @@ def stored_texts(spark, n=60):
     return spark.read.parquet(path)
 
 
+def plain_scores(rows):
+    """log10 probabilities under an interpolated Kneser-Ney trigram model, counted with dictionaries."""
+    d, count, triples = 0.75, Counter(), Counter()
+
+    def events(text):
+        w = ["<s>", "<s>", *(text or "").lower().split(), "</s>"]
+        return list(zip(w, w[1:], w[2:]))
+
+    for _, text, train in rows:
+        if train:
+            triples.update(events(text))
+            count.update(z for _, _, z in events(text))
+    n, v = sum(count.values()), len(count)
+    after, follow = {}, {}
+    for (x, y, z), m in triples.items():
+        after.setdefault(y, Counter())[z] += 1
+        follow.setdefault((x, y), {})[z] = m
+
+    def level(seen, z, lower):
+        if not seen:
+            return lower
+        total = sum(seen.values())
+        return max(seen.get(z, 0) - d, 0) / total + d * len(seen) / total * lower
+
+    def word(z):
+        return (max(count[z] - d, 0) + d * v / (v + 1)) / n
+
+    assert abs(sum(word(z) for z in count) + word("never seen") - 1) < 1e-9
+    return {i: sum(math.log10(level(follow.get((x, y)), z, level(after.get(y), z, word(z))))
+                   for x, y, z in events(text)) for i, text, _ in rows}
+
+
+@pytest.mark.parametrize("context_tokens", [1_000_000, 40])
+def test_scores_equal_a_plain_trigram_model(spark, monkeypatch, context_tokens):
+    monkeypatch.setattr(ngram_lm, "CONTEXT_TOKENS", context_tokens)
+    docs = stored_texts(spark, 120)
+    want = plain_scores([tuple(r) for r in docs.select("doc_id", "text", "train").collect()])
+    got = {r.doc_id: r for r in ngram_lm.score_texts(docs).collect()}
+    assert set(got) == set(want)
+    for i, score in want.items():
+        assert abs(got[i].score - score) < 0.001 * got[i].n_tokens, (i, got[i].score, score)
+
+
 def test_scores_do_not_depend_on_which_words_are_broadcast(spark):
     docs = stored_texts(spark)
     all_sent, none_sent = ({r.doc_id: r for r in ngram_lm.score_texts(docs, share).collect()} for share in (1e-6, 0.9))
