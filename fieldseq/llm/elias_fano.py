@@ -16,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 
 STEPS = 2048  # codes per decade of probability
-BLOCK = 256  # high bits per entry of the directory of ones
+BLOCK = 64  # high bits per entry of the directory of ones
 AT_ONCE = 1 << 16  # numbers searched together
 _U = np.uint64
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
@@ -52,8 +52,8 @@ class Monotone:
 
     def __init__(self, shape: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
         self.n, self.width, self.top = (int(x) for x in shape)
-        self._low, self._high, self._ones = low, high, ones
-        self._zeros = np.arange(len(ones)) * BLOCK - ones
+        self._low, self._high, self._ones = low, high.reshape(-1, BLOCK // 8), ones.astype(np.int64)
+        self._zeros = np.arange(len(ones)) * BLOCK - self._ones
 
     def __len__(self) -> int:
         return self.n
@@ -62,10 +62,10 @@ class Monotone:
         """Position of the k-th one (flip 0) or zero (flip 255) among the high bits."""
         block = np.searchsorted(before, k, "right") - 1
         k = k - before[block]
-        step = BLOCK // 8
-        part = self._high[(block * step)[:, None] + np.arange(step)] ^ np.uint8(flip)
-        upto = np.cumsum(_ONES[part], axis=1, dtype=np.int32)
-        byte = (upto <= k[:, None]).sum(axis=1)
+        part = self._high[block] ^ np.uint8(flip)
+        # ones up to each byte, summed for all bytes of a block by one multiplication
+        upto = (_ONES[part].view(_U).ravel() * _U(0x0101010101010101)).view(np.uint8).reshape(part.shape)
+        byte = (upto <= k[:, None].astype(np.uint8)).sum(axis=1)
         row = np.arange(len(k))
         k = k - np.where(byte > 0, upto[row, byte - 1], 0)
         return block * BLOCK + byte * 8 + _PLACE[part[row, byte], k]
@@ -162,7 +162,7 @@ class Levels:
         high[(v >> _U(low)).astype(np.int64) + np.arange(n)] = 1
         self.put(f"{name}.high", np.packbits(high, bitorder="little"))
         ones = np.add.reduceat(high, np.arange(0, len(high), BLOCK), dtype=np.int64)
-        self.put(f"{name}.ones", np.concatenate(([0], np.cumsum(ones)))[:-1])
+        self.put(f"{name}.ones", np.concatenate(([0], np.cumsum(ones)))[:-1].astype(np.uint32))
 
     def monotone(self, name: str) -> Monotone:
         return Monotone(*(self.get(f"{name}.{part}") for part in ("shape", "low", "high", "ones")))
@@ -214,6 +214,13 @@ def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return values[at] if len(values) else np.zeros(len(at), values.dtype)
 
 
+def _find_each(level: Monotone, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `find`, with equal numbers searched once."""
+    kinds, inverse = np.unique(wanted, return_inverse=True)
+    at, same = level.find(kinds)
+    return at[inverse], same[inverse]
+
+
 class Trie:
     """Interpolated Kneser-Ney trigram model of the contexts of one shard.
 
@@ -282,10 +289,10 @@ class Trie:
         if self.empty:
             return low[w3]
         get, mono = self.levels.get, self.levels.monotone
-        root, has_root = mono("roots").find(w2)
-        slot, has_after = mono("after").find(root * self.width + w3)
+        root, has_root = _find_each(mono("roots"), w2)
+        slot, has_after = _find_each(mono("after"), root * self.width + w3)
         has_after &= has_root
-        place, has_before = mono("before").find(root * self.width + w1)
+        place, has_before = _find_each(mono("before"), root * self.width + w1)
         has_before &= has_root
         # the third word as its place among those after the second, looked up in this context only
         both = np.flatnonzero(has_before & has_after)
