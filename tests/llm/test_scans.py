@@ -147,8 +147,34 @@ def test_archives_round_trip(spark):
         (3, 3), (5, 3), (8, 7), (9, 3), (13, 12)]
     import glob
     assert all(gzip.open(f).read(8) == b"WARC/1.1" for f in glob.glob(path + "/*.gz"))
+    ids = [r.record_id for r in got]
+    assert len(set(ids)) == len(ids) and all(r.origin in ids for r in got if r.record_type == "revisit")
     archives.write_archives(df.limit(0), path + "2")
-    assert archives.read_archives(spark, path + "2").count() == 0
+    assert archives.resolve_revisits(archives.read_archives(spark, path + "2")).count() == 0
+
+
+def test_archive_files_are_bounded_in_bytes(spark, monkeypatch):
+    """Long payloads lie apart, a few or one to a file; ids and urls may be missing; a digest may be everywhere."""
+    import glob
+    monkeypatch.setattr(archives, "CLASS_BYTES", (0, 1000, 10_000))
+    rows = [(i, f"u{i}", chr(97 + i % 7) * (500 + i)) for i in range(40)]
+    rows += [(100 + i, "m", f"{i}" * 4000) for i in range(9)] + [(200 + i, "l", f"{i}" * 50_000) for i in range(3)]
+    rows += [(None, "n", "0" * 4000), (None, None, "q" * 4000), (None, None, "q" * 4000)]
+    rows += [(1000 + i, "hot", "same " * 30) for i in range(1500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = tempfile.mkdtemp(prefix="warc-") + "/out"
+    archives.write_archives(df, path, "2024-05-06T07:08:09Z", per_file=50, file_bytes=20_000)
+    for f in glob.glob(path + "/*.gz"):
+        with gzip.open(f) as file:
+            sizes = [len(block) for _, block in archives._parse(file.read())]
+        assert max(sizes) >= 10_000 and len(sizes) == 1 or sum(sizes) <= 20_000 + 150 * len(sizes), sizes
+    got = archives.resolve_revisits(archives.read_archives(spark, path)).collect()
+    assert len(got) == len(rows) and len({r.record_id for r in got}) == len(rows)
+    count = lambda kind: sum(r.record_type == kind for r in got)
+    assert count("revisit") == 1 + 1 + 1499 and count("response") == len(rows) - 1501
+    assert {r.refers_to for r in got if r.page_id is not None and r.page_id > 1000} == {1000}
+    by = {(r.page_id, r.url): r for r in got}
+    assert by[None, "n"].record_type == "revisit" and by[None, "n"].refers_to == 100 and by[None, "n"].payload_bytes == 4000
 
 
 def items_and_docs(rng):
