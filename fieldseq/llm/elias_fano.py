@@ -19,7 +19,7 @@ STEPS = 2048  # codes per decade of probability
 BLOCK = 64  # high bits per entry of the directory of ones
 AT_ONCE = 1 << 16  # numbers searched together
 _U = np.uint64
-_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+_EACH, _HIGHEST = _U(0x0101010101010101), _U(0x8080808080808080)  # the lowest and highest bit of every byte
 #: Place of the k-th one (from the lowest bit) of each byte, 8 where it has fewer.
 _PLACE = np.array([([j for j in range(8) if x >> j & 1] + [8] * 8)[:8] for x in range(256)], np.uint8)
 
@@ -52,23 +52,42 @@ class Monotone:
 
     def __init__(self, shape: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
         self.n, self.width, self.top = (int(x) for x in shape)
-        self._low, self._high, self._ones = low, high.reshape(-1, BLOCK // 8), ones.astype(np.int64)
+        self._low, self._high, self._ones = low, high.view(_U), ones.astype(np.int64)
         self._zeros = np.arange(len(ones)) * BLOCK - self._ones
 
     def __len__(self) -> int:
         return self.n
 
     def _select(self, k: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
-        """Position of the k-th one (flip 0) or zero (flip 255) among the high bits."""
+        """Position of the k-th one (flip 0) or zero (flip -1) among the high bits.
+
+        Inside a block all eight bytes are counted and compared at once, as bytes of one number.
+        """
         block = np.searchsorted(before, k, "right") - 1
-        k = k - before[block]
-        part = self._high[block] ^ np.uint8(flip)
-        # ones up to each byte, summed for all bytes of a block by one multiplication
-        upto = (_ONES[part].view(_U).ravel() * _U(0x0101010101010101)).view(np.uint8).reshape(part.shape)
-        byte = (upto <= k[:, None].astype(np.uint8)).sum(axis=1)
-        row = np.arange(len(k))
-        k = k - np.where(byte > 0, upto[row, byte - 1], 0)
-        return block * BLOCK + byte * 8 + _PLACE[part[row, byte], k]
+        left = (k - before[block]).astype(_U)
+        bits = self._high[block] ^ _U(flip & 0xFFFFFFFFFFFFFFFF)
+        ones = bits - (bits >> _U(1) & _U(0x5555555555555555))
+        ones = (ones & _U(0x3333333333333333)) + (ones >> _U(2) & _U(0x3333333333333333))
+        upto = ((ones + (ones >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _EACH  # ones up to each byte
+        byte = np.bitwise_count((left * _EACH | _HIGHEST) - upto & _HIGHEST).astype(_U)
+        shift = byte << _U(3)
+        left -= (upto << _U(8)) >> shift & _U(255)
+        place = _PLACE[(bits >> shift & _U(255)).astype(np.int64), left.astype(np.int64)]
+        return block * BLOCK + shift.astype(np.int64) + place
+
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place of the values with these high bits, and the place after the last one."""
+        start, at = np.zeros(len(high), np.int64), np.zeros(len(high), np.int64)
+        some = np.flatnonzero(high > 0)
+        at[some] = self._select(high[some] - 1, self._zeros, -1) + 1
+        start[some] = at[some] - high[some]
+        # ones that follow, up to the end of the block; longer runs are selected
+        word, shift = at >> 6, (at & 63).astype(_U)
+        zeros = ~self._high[word] >> shift
+        stop = start + np.bitwise_count((zeros & (~zeros + _U(1))) - _U(1))
+        far = np.flatnonzero(zeros == 0)
+        stop[far] = self._select(high[far], self._zeros, -1) - high[far]
+        return start, stop
 
     def _low_bits(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -79,13 +98,6 @@ class Monotone:
         both = self._low[word] >> shift | (self._low[word + 1] << (_U(63) - shift)) << _U(1)
         return both & _U((1 << self.width) - 1)
 
-    def _bucket(self, high: np.ndarray) -> np.ndarray:
-        """Number of values whose high bits are below these."""
-        out = np.zeros(len(high), np.int64)
-        some = np.flatnonzero(high > 0)
-        out[some] = self._select(high[some] - 1, self._zeros, 255) + 1 - high[some]
-        return out
-
     def at(self, places: np.ndarray) -> np.ndarray:
         """Values at these places."""
         out = np.empty(len(places), np.int64)
@@ -112,7 +124,7 @@ class Monotone:
         beyond = high > self.top
         high = np.minimum(high, self.top)
         low = np.where(beyond, -1, wanted & ((1 << self.width) - 1)).astype(_U)
-        start, stop = self._bucket(high), self._bucket(high + 1)
+        start, stop = self._bucket(high)
         end = stop.copy()
         while len(open_ := np.flatnonzero(start < stop)):
             middle = (start[open_] + stop[open_]) >> 1
@@ -214,9 +226,14 @@ def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return values[at] if len(values) else np.zeros(len(at), values.dtype)
 
 
-def _find_each(level: Monotone, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As `find`, with equal numbers searched once."""
-    kinds, inverse = np.unique(wanted, return_inverse=True)
+def _find_each(level: Monotone, wanted: np.ndarray, ordered: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """As `find`, with equal numbers (in order: runs of them) searched once."""
+    if ordered:
+        first = _runs(wanted)
+        inverse = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(wanted))))
+        kinds = wanted[first]
+    else:
+        kinds, inverse = np.unique(wanted, return_inverse=True)
     at, same = level.find(kinds)
     return at[inverse], same[inverse]
 
@@ -290,7 +307,7 @@ class Trie:
             return low[w3]
         get, mono = self.levels.get, self.levels.monotone
         root, has_root = _find_each(mono("roots"), w2)
-        slot, has_after = _find_each(mono("after"), root * self.width + w3)
+        slot, has_after = _find_each(mono("after"), root * self.width + w3, ordered=False)
         has_after &= has_root
         place, has_before = _find_each(mono("before"), root * self.width + w1)
         has_before &= has_root
