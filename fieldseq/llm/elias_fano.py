@@ -17,7 +17,7 @@ import numpy as np
 
 STEPS = 2048  # codes per decade of probability
 BLOCK = 64  # high bits per entry of the directory of ones
-AT_ONCE = 1 << 16  # numbers searched together
+AT_ONCE = 1 << 14  # numbers searched together
 _U = np.uint64
 _EACH, _HIGHEST = _U(0x0101010101010101), _U(0x8080808080808080)  # the lowest and highest bit of every byte
 #: Place of the k-th one (from the lowest bit) of each byte, 8 where it has fewer.
@@ -123,18 +123,23 @@ class Monotone:
         high = wanted >> self.width
         beyond = high > self.top
         high = np.minimum(high, self.top)
-        low = np.where(beyond, -1, wanted & ((1 << self.width) - 1)).astype(_U)
-        start, stop = self._bucket(high)
-        end = stop.copy()
-        while len(open_ := np.flatnonzero(start < stop)):
-            middle = (start[open_] + stop[open_]) >> 1
-            less = self._low_bits(middle) < low[open_]
-            start[open_[less]] = middle[less] + 1
-            stop[open_[~less]] = middle[~less]
-        at = np.minimum(start, self.n - 1)
-        same = start < end
-        same[same] = self._low_bits(at[same]) == low[same]
-        return at, same & ~beyond
+        low = wanted.astype(_U) & _U((1 << self.width) - 1)
+        at, end = self._bucket(high)
+        same = np.zeros(len(wanted), bool)
+        # in all buckets at once, those still to be searched
+        open_ = np.flatnonzero((at < end) & ~beyond)
+        start, stop, low = at[open_], end[open_], low[open_]
+        while len(open_):
+            middle = (start + stop) >> 1
+            found = self._low_bits(middle)
+            same[open_] |= found == low
+            less = found < low
+            start, stop = np.where(less, middle + 1, start), np.where(less, stop, middle)
+            go = start < stop
+            at[open_[~go]] = start[~go]
+            open_, start, stop, low = open_[go], start[go], stop[go], low[go]
+        at[beyond] = self.n
+        return np.minimum(at, self.n - 1), same
 
 
 class Levels:
