@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -47,6 +48,15 @@ def _text_groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
             yield a, b, np.maximum(word, np.uint64(3)), doc
 
 
+def _kinds(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `np.unique` with the inverse, by hashing: only the kinds are sorted, which are few."""
+    codes, kinds = pd.factorize(values)
+    order = np.argsort(kinds)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return kinds[order], rank[codes]
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, word, _ in _text_groups(batch.column(0)):
@@ -146,7 +156,7 @@ class _Group:
         now[np.arange(len(word)) + doc] = word
         self.owner = np.repeat(np.arange(n, dtype=np.int32), self.per_doc + 1)
         heads = np.concatenate(([0], np.cumsum(self.per_doc + 1)))[:-1]
-        kinds, w3 = np.unique(np.append(now, _BEGIN), return_inverse=True)
+        kinds, w3 = _kinds(np.append(now, _BEGIN))
         often = uni.number(kinds)
         count = np.where(often >= 0, uni.counts[often], -1)
         # numbers of kinds: frequent ones first, most frequent first
@@ -201,7 +211,9 @@ def _events(shards: int, shared, dealt: bool = False):
                 slot = np.zeros(len(kinds), np.int64)
                 for s in np.flatnonzero(np.diff(cut)):
                     take = order[cut[s]:cut[s + 1]]
-                    local = np.unique(np.concatenate((w1[take], w2[take], w3[take])))
+                    used = np.zeros(len(kinds), bool)
+                    used[w1[take]] = used[w2[take]] = used[w3[take]] = True
+                    local = np.flatnonzero(used)
                     slot[local] = np.arange(len(local))
                     split = int((often[local] >= 0).sum())
                     kind = np.uint16 if len(local) < 65536 else np.uint32
@@ -297,8 +309,8 @@ def _unpacked(rows: pa.Table, uni: Unigrams):
         rare.append(np.cumsum(_unpress(rows["words"][i].as_py(), np.uint64), dtype=np.uint64))
         first.append(first[-1] + len(often[-1]) + len(rare[-1]))
     both = np.concatenate([x for pair in zip(often, rare) for x in pair])
-    kinds, slot = np.unique(both, return_inverse=True)
-    number, slot = uni.number(kinds), slot.astype(np.int32)
+    kinds, slot = _kinds(both)
+    number = uni.number(kinds)
     codes = np.where(number >= 0, uni.codes[number], uni.unseen)
     pairs = [np.zeros((3, 0), np.int64)]
     for i in range(len(asked)):
@@ -364,7 +376,7 @@ def _score_shard(shared, whole_contexts):
             if not len(mine):
                 continue
             a, b, c = w1[mine].astype(np.int64), w2[mine], w3[mine]
-            contexts, context = np.unique(b, return_inverse=True)
+            contexts, context = _kinds(b)
             if len(contexts) > whole:
                 raise ValueError("shard too wide for its keys: lower SHARD_BYTES")
             key, inverse = np.unique((context * width + a) * width + c, return_inverse=True)
