@@ -78,7 +78,8 @@ def matches(possessions: DataFrame, shapes: DataFrame, query_id: str = "qid") ->
     if "filters" in shapes.columns:
         index = predicate_index.build(shapes, query_id)
         asked = index.asked(asked.drop("filters"))
-        paths = paths.drop("n_events").join(index.probe(possessions), "uid")
+        # Both sides have a row per item; the signatures are far larger than the columns they are estimated by.
+        paths = paths.drop("n_events").hint("merge").join(index.probe(possessions), "uid")
     paths = written(paths, "paths")
     asked = written(asked, "shapes")
     wanted = sorted(r.c for r in asked.select(F.explode("codes").alias("c")).distinct().collect())

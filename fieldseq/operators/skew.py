@@ -87,10 +87,12 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], seed: Co
     """Join to a much smaller table on keys of which one may hold a large share of the rows.
 
     The small side is repeated `spread` times and rows of one key go to as many
-    tasks. Spark still broadcasts the small side when it turns out to fit.
+    tasks. Spark still broadcasts the small side when its copies turn out to fit; they are
+    a product with a range, because Spark estimates an exploded table as large as before.
     """
     cut = rows.withColumn("_spread", F.pmod(F.xxhash64(seed), F.lit(spread)).cast("int"))
-    copies = table.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    numbers = table.sparkSession.range(spread).select(F.col("id").cast("int").alias("_spread"))
+    copies = table.crossJoin(F.broadcast(numbers))
     return cut.join(copies, [*keys, "_spread"], how).drop("_spread")
 
 

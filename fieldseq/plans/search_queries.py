@@ -362,7 +362,7 @@ select qid, uid, n_events, rank, round_even(coverage, 3) as score from (
     - 1)::int as rank from shape_all) where rank < 20"""))
 def shape_table(spark, sf_dir):
     """The same shapes as `shape_search`, drawn and filtered in a table."""
-    found = fuse.shape_table_search(possessions(spark, sf_dir), drawings(spark))
+    found = fuse.shape_table_search(stored_possessions(spark, sf_dir), drawings(spark))
     return found.select("qid", "uid", F.col("n_events").cast("bigint").alias("n_events"), "rank", "score")
 
 
