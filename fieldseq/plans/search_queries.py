@@ -293,8 +293,9 @@ select qid, doc_id, rank, round(score, 6) as score from doc_sparse where rank <
 def bounded_document_search(spark, sf_dir):
     """Best documents for every benchmark passage."""
     words = G.words(F.col("text"))
-    index = sparse.fit_index(table(spark, sf_dir, "documents"), "doc_id", words)
-    grams = sparse.query_vectors(benchmark_queries(spark, sf_dir), index.vocab, words)
+    asked = benchmark_queries(spark, sf_dir)
+    index = sparse.fit_asked(table(spark, sf_dir, "documents"), "doc_id", words, asked, words)
+    grams = sparse.query_vectors(asked, index.vocab, words)
     found = bounded.best(written(grams, "grams"), bounded.in_blocks(index), 10)
     return found.select("qid", "doc_id", "rank", r6("score").alias("score"))
 
