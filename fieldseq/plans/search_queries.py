@@ -309,8 +309,8 @@ select qid, doc_id, rank, round(score, 6) as score from (
 def hybrid_rrf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     words = G.words(F.col("text"))
-    found = fuse.hybrid(benchmark_queries(spark, sf_dir), docs,
-                        sparse.fit_index(docs, "doc_id", words), words,
+    asked = benchmark_queries(spark, sf_dir)
+    found = fuse.hybrid(asked, docs, sparse.fit_asked(docs, "doc_id", words, asked, words), words,
                         document_vectors(spark, sf_dir), use_filters=False)
     return found["fused"].withColumn("score", r6("score"))
 
