@@ -90,9 +90,10 @@ def matches(possessions: DataFrame, shapes: DataFrame, query_id: str = "qid") ->
                             F.lit(0.0).alias("coverage")).limit(0)
     rarest = F.array_min(F.transform("codes", lambda c: F.struct(F.element_at(rank, c).alias("n"), c.alias("code"))))
     asked = written(asked.withColumn("code", rarest["code"]), "keyed_shapes")
-    anchors = [r.code for r in asked.select("code").distinct().collect()]
-    offered = F.filter(F.array(*[F.lit(c) for c in anchors]), lambda c: _has(F.col("words"), c))
-    met = spread_join(paths.withColumn("code", F.explode(offered)), asked, ["code"], F.col("uid"))
+    # A product with the anchors, because Spark estimates exploded paths as large as before and broadcasts them.
+    anchors = paths.sparkSession.createDataFrame([(r.code,) for r in asked.select("code").distinct().collect()], "code int")
+    offered = paths.join(F.broadcast(anchors), _has(F.col("words"), F.col("code")))
+    met = spread_join(offered, asked, ["code"], F.col("uid"))
     fits = F.forall("codes", lambda c: _has(F.col("words"), c)) & G.is_subsequence(F.col("drawn"), F.col("path"))
     if "filters" in shapes.columns:
         fits = predicate_index.admits() & fits

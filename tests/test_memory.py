@@ -51,3 +51,14 @@ def test_paths_of_filtered_shapes_are_not_broadcast(spark, monkeypatch):
     found = shapes.matches(items, drawn).collect()
     assert [(r.qid, r.uid) for r in found] == [("s", "u")]
     assert "leftHint=(strategy=merge)" in plans["paths"]
+
+
+def test_paths_offered_to_many_shapes_are_not_broadcast(spark):
+    zones = ["D-L", "M-L", "F-L", "D-C", "M-C", "F-C", "D-R", "M-R", "F-R", "D-LI"]
+    ways = [(a, b, c, d) for a in zones for b in zones for c in zones for d in zones if a != b and b != c and c != d]
+    drawn = spark.createDataFrame([(" ".join(w), list(w)) for w in ways], "qid string, zones array<string>")
+    items = spark.createDataFrame([(f"u{i}", 4, " ".join(w)) for i, w in enumerate(ways)],
+                                  "uid string, n_events int, zone_path string")
+    found = shapes.matches(items, drawn)
+    assert not [line for line in plan_of(found).splitlines() if "BroadcastHashJoin" in line]
+    assert found.select("uid").distinct().count() == len(ways) and found.count() == len(ways)
