@@ -5,9 +5,10 @@ import io
 
 from pyspark.sql import functions as F
 
-from fieldseq.operators import shapes
+from fieldseq.operators import metrics, shapes
 from fieldseq.operators.filters import FILTER_TYPE, Filters
 from fieldseq.operators.skew import SPREAD, spread_join
+from fieldseq.sources.tables import written
 
 
 def plan_of(df, mode="simple"):
@@ -62,3 +63,13 @@ def test_paths_offered_to_many_shapes_are_not_broadcast(spark):
     found = shapes.matches(items, drawn)
     assert not [line for line in plan_of(found).splitlines() if "BroadcastHashJoin" in line]
     assert found.select("uid").distinct().count() == len(ways) and found.count() == len(ways)
+
+
+def test_lines_of_audited_possessions_are_not_broadcast(spark):
+    lines = spark.createDataFrame([("u1", "PASS@M-C SHOT@F-C", "M-C F-C", 2, True), ("u2", "PASS@D-C", "D-C", 1, False)],
+                                  "uid string, token_string string, zone_path string, n_events int, ended_in_shot boolean")
+    labels = spark.createDataFrame([("q01", "u1", 1), ("q01", "u2", 0), ("q01", "none", 1)],
+                                   "qid string, uid string, human int")
+    pairs = metrics.audit_pairs(labels, written(lines, "lines"))
+    assert "Broadcast" not in plan_of(pairs)
+    assert sorted((r.uid, r.human) for r in pairs.collect()) == [("u1", 1), ("u2", 0)]
