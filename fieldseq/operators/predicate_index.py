@@ -27,6 +27,8 @@ BANDS = {"start_band": "start_zone", "end_band": "end_zone"}
 _PART = "must_include="
 #: Distinct pairs of thresholds of queries without other filters that are tested at once.
 STEPS = 10_000
+#: Predicates, or queries, that may be broadcast to the items.
+FEW = 100_000
 
 
 def _key(name: str, value: Column) -> Column:
@@ -66,7 +68,7 @@ class PredicateIndex:
         plain = self.predicates.filter(~F.col("key").startswith(_PART))
         keyed = items.select(item_id, *EQUALITY, *FLAGS).select(
             item_id, F.explode(_offered()).alias("key"))
-        found = spread_join(keyed, plain, ["key"], F.col(item_id)).select(item_id, "pid")
+        found = _met(keyed, plain, "key", item_id).select(item_id, "pid")
         parts = self.predicates.filter(F.col("key").startswith(_PART)).select(
             F.col("pid").alias("number"), F.expr(f"substring(key, {len(_PART) + 1})").alias("phrase"))
         said = occurrences(items, parts, item_id, "token_string", once=True)
@@ -87,6 +89,17 @@ class PredicateIndex:
         return rows.join(self.needs, self.query_id)
 
 
+def _met(rows: DataFrame, table: DataFrame, key: str, item_id: str, few: int | None = None) -> DataFrame:
+    """Exploded rows of items joined to a stored table on a key.
+
+    Rows are never the broadcast side: Spark estimates them by the files of the items, before
+    they are exploded.
+    """
+    if table.count() <= (FEW if few is None else few):
+        return rows.join(F.broadcast(table), key)
+    return spread_join(rows.hint("merge"), table, [key], F.col(item_id))
+
+
 def _reaches(min_xg: Column, min_events: Column) -> Column:
     return F.coalesce((min_xg.isNull() | (F.col("xg_sum") >= min_xg))
                       & (min_events.isNull() | (F.col("n_events") >= min_events)), F.lit(False))
@@ -98,7 +111,8 @@ def admits() -> Column:
     return ((F.size("needs") == 0) | (n == F.size("needs"))) & _reaches(F.col("min_xg"), F.col("min_events"))
 
 
-def candidates(needs: DataFrame, held: DataFrame, item_id: str = "uid", query_id: str = "qid") -> DataFrame:
+def candidates(needs: DataFrame, held: DataFrame, item_id: str = "uid", query_id: str = "qid",
+               few: int | None = None) -> DataFrame:
     """(qid, item) of queries with a numbered predicate, found under the rarest one.
 
     For counting and checks; queries without numbered predicates are not listed.
@@ -108,7 +122,7 @@ def candidates(needs: DataFrame, held: DataFrame, item_id: str = "uid", query_id
     asked = needs.filter(F.size("needs") > 0)
     rarest = (asked.select(query_id, F.explode("needs").alias("pid")).join(often, "pid", "left")
               .groupBy(query_id).agg(F.min_by("pid", F.struct(F.coalesce("_n", F.lit(0)), "pid")).alias("pid")))
-    met = spread_join(offered, asked.join(rarest, query_id), ["pid"], F.col(item_id))
+    met = _met(offered, written(asked.join(rarest, query_id), "rarest"), "pid", item_id, few)
     return met.filter(admits()).select(query_id, item_id)
 
 

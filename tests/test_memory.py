@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from fieldseq.operators import metrics, shapes
+from fieldseq.operators import metrics, predicate_index, shapes
 from fieldseq.operators.filters import FILTER_TYPE, Filters
 from fieldseq.operators.skew import SPREAD, spread_join
 from fieldseq.sources.tables import written
@@ -73,3 +73,16 @@ def test_lines_of_audited_possessions_are_not_broadcast(spark):
     pairs = metrics.audit_pairs(labels, written(lines, "lines"))
     assert "Broadcast" not in plan_of(pairs)
     assert sorted((r.uid, r.human) for r in pairs.collect()) == [("u1", 1), ("u2", 0)]
+
+
+def test_numbers_items_hold_are_not_broadcast(spark):
+    held = written(spark.range(300).select(
+        F.concat(F.lit("u"), "id").alias("uid"), F.array(F.col("id") % 3, 3 + F.col("id") % 2).alias("held"),
+        F.lit(0.5).alias("xg_sum"), F.lit(4).cast("long").alias("n_events")), "held")
+    needs = written(spark.createDataFrame([("a", [0, 3], None, None), ("b", [2], None, 5), ("c", [4], 0.1, None)],
+                                          "qid string, needs array<bigint>, min_xg double, min_events int"), "needs")
+    for options, join in (({}, "BroadcastHashJoin"), ({"few": 0}, "SortMergeJoin")):
+        found = predicate_index.candidates(needs, held, **options)
+        plan = plan_of(found)
+        assert join in plan and "BuildLeft" not in plan
+        assert {r.qid: r["count"] for r in found.groupBy("qid").count().collect()} == {"a": 50, "c": 150}
