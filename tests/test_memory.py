@@ -3,11 +3,13 @@
 import contextlib
 import io
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldseq.operators import metrics, predicate_index, shapes
 from fieldseq.operators.filters import FILTER_TYPE, Filters
 from fieldseq.operators.skew import SPREAD, spread_join
+from fieldseq.plans.catalog import QUERIES
 from fieldseq.sources.tables import written
 
 
@@ -86,3 +88,9 @@ def test_numbers_items_hold_are_not_broadcast(spark):
         plan = plan_of(found)
         assert join in plan and "BuildLeft" not in plan
         assert {r.qid: r["count"] for r in found.groupBy("qid").count().collect()} == {"a": 50, "c": 150}
+
+
+@pytest.mark.parametrize("name", ["xg_ensemble_fit"])
+def test_rows_of_a_fit_are_joined_once(spark, name):
+    plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "/rows" in plan and "Join" not in plan
