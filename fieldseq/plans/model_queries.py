@@ -203,8 +203,8 @@ def portable_audit(spark, sf_dir):
 
 @query("xg_baseline_fit")
 def xg_baseline_fit(spark, sf_dir):
-    """Trained baseline's probabilities for the held-out groups."""
-    train, test = xg.split(model_rows(spark, sf_dir), TEST_GROUPS)
+    """Trained baseline's probabilities for the held-out groups. Fitting reads its rows several times."""
+    train, test = xg.split(written(model_rows(spark, sf_dir), "rows"), TEST_GROUPS)
     return xg.predict_baseline(xg.fit_baseline(train), test).select(
         "event_id", "group", "is_goal", "p_base")
 

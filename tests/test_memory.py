@@ -90,7 +90,7 @@ def test_numbers_items_hold_are_not_broadcast(spark):
         assert {r.qid: r["count"] for r in found.groupBy("qid").count().collect()} == {"a": 50, "c": 150}
 
 
-@pytest.mark.parametrize("name", ["xg_ensemble_fit"])
+@pytest.mark.parametrize("name", ["xg_baseline_fit", "xg_ensemble_fit"])
 def test_rows_of_a_fit_are_joined_once(spark, name):
     plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "/rows" in plan and "Join" not in plan
