@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
@@ -236,15 +238,22 @@ class Ensemble:
 
 def fit_ensemble(train: DataFrame, method: str, settings: TreeSettings = TreeSettings(),
                  members: int = 3) -> Ensemble:
-    """Each member learns on all folds but one and is calibrated on that one."""
+    """Each member learns on all folds but one and is calibrated on that one.
+
+    Members are fitted side by side: a level of a tree is one short job, and those of another
+    member fill the tasks it leaves idle.
+    """
     if method == "raw":
         return Ensemble(((fit_trees(train, settings), Calibrator("raw")),), method)
     folded = written(with_folds(train, members, by=None, seed=settings.seed), "members")
-    fitted = []
-    for i in range(members):
+
+    def fit(i: int) -> tuple[PipelineModel, Calibrator]:
         model = fit_trees(folded.filter(F.col("fold") != i), settings)
         held = margins(model, folded.filter(F.col("fold") == i))
-        fitted.append((model, fit_calibrator(held, method)))
+        return model, fit_calibrator(held, method)
+
+    with ThreadPool(members) as pool:
+        fitted = pool.map(inheritable_thread_target(train.sparkSession)(fit), range(members), chunksize=1)
     return Ensemble(tuple(fitted), method)
 
 
