@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldseq.operators import predicate_index
+from fieldseq.operators import predicate_index, sparse
+from fieldseq.operators.asked import AskedIndex
 from fieldseq.operators.skew import salted_lookup, stacked, top_k
 from fieldseq.operators.sparse import POOL, SCORE_DIGITS, SparseIndex
 from fieldseq.sources.tables import written
@@ -98,3 +99,19 @@ def best(vectors: DataFrame, index: BlockIndex, k: int = POOL, first: int = FIRS
     early, _, later = visits(vectors, index, k, first, held, query_id)
     both = stacked([early, _scored(vectors, later, index, k, held, query_id)])
     return top_k(both, [query_id], [F.desc("score"), F.asc(index.id_col)], k)
+
+
+def best_asked(docs: DataFrame, id_col: str, words: Column, queries: DataFrame, asked_words: Column,
+               k: int = POOL, size: Column | None = None) -> DataFrame:
+    """Best k documents of each query text, as the index of all documents ranks them: (qid, id, score, rank).
+
+    While the grams of the queries may be broadcast, each batch of documents ranks its own;
+    more of them search the blocks of the whole index. `size` as in `sparse.fit_asked`.
+    """
+    if not sparse.is_small(queries, asked_words):
+        index = sparse.fit_index(docs, id_col, words)
+        grams = written(sparse.query_vectors(queries, index.vocab, asked_words), "grams")
+        return best(grams, in_blocks(index), k)
+    found = AskedIndex(docs, id_col, words, queries, asked_words, sparse.MIN_DF, sparse.LONGEST, size)
+    grams = sparse.query_vectors(queries, sparse.asked_vocab(found), asked_words)
+    return sparse.rank(found.ranked(grams, k), id_col, k)

@@ -294,9 +294,8 @@ def bounded_document_search(spark, sf_dir):
     """Best documents for every benchmark passage."""
     words = G.words(F.col("text"))
     asked = benchmark_queries(spark, sf_dir)
-    index = sparse.fit_asked(table(spark, sf_dir, "documents"), "doc_id", words, asked, words)
-    grams = sparse.query_vectors(asked, index.vocab, words)
-    found = bounded.best(written(grams, "grams"), bounded.in_blocks(index), 10)
+    found = bounded.best_asked(table(spark, sf_dir, "documents"), "doc_id", words, asked, words, 10,
+                               F.octet_length("text"))
     return found.select("qid", "doc_id", "rank", r6("score").alias("score"))
 
 
