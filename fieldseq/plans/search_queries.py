@@ -309,9 +309,9 @@ def hybrid_rrf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     words = G.words(F.col("text"))
     asked = benchmark_queries(spark, sf_dir)
-    found = fuse.hybrid(asked, docs, sparse.fit_asked(docs, "doc_id", words, asked, words), words,
-                        document_vectors(spark, sf_dir), use_filters=False)
-    return found["fused"].withColumn("score", r6("score"))
+    near = bounded.best_asked(docs, "doc_id", words, asked, words, fuse.POOL, F.octet_length("text"))
+    close = dense.nearest(asked, document_vectors(spark, sf_dir), fuse.POOL, item_id="doc_id")
+    return fuse.fuse([near, close], "doc_id").withColumn("score", r6("score"))
 
 
 SHAPES = {"s1": ["D-C", "M-C", "F-C"], "s2": ["M-L", "F-L"], "s3": ["F-R", "F-R", "F-C"],
